@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .registry import QUERIES, SQL
-from . import panel_queries
+from . import panel_queries, cleaning_queries, feature_queries
 
 
 def all_queries() -> dict:

@@ -158,3 +158,39 @@ def with_sql(*parts: str, recursive: bool = False) -> str:
 
 EVENT_DAILY = with_sql(EVENT_PANEL, sale_flags_sql(), REGULAR, CHANGES, DAILY)
 LONG_DAILY = with_sql(LONG_PANEL, sale_flags_sql(), REGULAR, CHANGES, DAILY)
+
+
+# --- daily grid with the causal regular price -------------------------------------------------------------
+def grid_sql(extra: str = "") -> str:
+    """From ``obs`` (store, segment_id, date, shelf_price, ...) to ``grid``: the fold, one step per calendar day."""
+    return f"""
+spans AS (SELECT store, segment_id, min(date) AS lo, least(max(date) + 4, (SELECT max(date) FROM obs)) AS hi FROM obs GROUP BY ALL),
+days AS (SELECT store, segment_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM spans),
+g0 AS (SELECT d.*, o.shelf_price{extra}, row_number() OVER (PARTITION BY d.store, d.segment_id ORDER BY d.date) AS t
+       FROM days d LEFT JOIN obs o ON o.store = d.store AND o.segment_id = d.segment_id AND o.date = d.date),
+fold AS (
+  SELECT store, segment_id, t, shelf_price AS reg, CAST(NULL AS BIGINT) AS ss, t AS seen FROM g0 WHERE t = 1
+  UNION ALL
+  SELECT g.store, g.segment_id, g.t,
+    CASE WHEN g.shelf_price IS NULL THEN f.reg WHEN g.t - f.seen > 3 THEN g.shelf_price
+         WHEN g.shelf_price < f.reg * 0.995 AND g.t - coalesce(f.ss, g.t) < 21 THEN f.reg ELSE g.shelf_price END,
+    CASE WHEN g.shelf_price IS NULL THEN f.ss WHEN g.t - f.seen > 3 THEN NULL
+         WHEN g.shelf_price < f.reg * 0.995 AND g.t - coalesce(f.ss, g.t) < 21 THEN coalesce(f.ss, g.t) END,
+    CASE WHEN g.shelf_price IS NULL THEN f.seen ELSE g.t END
+  FROM fold f JOIN g0 g ON g.store = f.store AND g.segment_id = f.segment_id AND g.t = f.t + 1),
+grid AS (SELECT g.*, g.shelf_price IS NOT NULL AS observed, CASE WHEN g.t - f.seen <= 3 THEN f.reg END AS R,
+   CASE WHEN g.t - f.seen <= 3 AND f.ss IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS on_sale,
+   CASE WHEN g.shelf_price IS NOT NULL AND f.ss IS NOT NULL THEN g.shelf_price / f.reg - 1 ELSE 0.0 END::DOUBLE AS sale_depth,
+   CASE WHEN g.t - f.seen <= 3 AND f.ss IS NOT NULL THEN g.t - f.ss + 1 ELSE 0 END::DOUBLE AS days_in_sale
+   FROM g0 g JOIN fold f USING (store, segment_id, t))"""
+
+
+def as_segments(panel: DataFrame) -> DataFrame:
+    return panel.select("store", F.col("name").alias("segment_id"), "date", F.col("price").alias("shelf_price"))
+
+
+OBS = """,
+obs AS (SELECT store, name AS segment_id, date, price AS shelf_price FROM panel)"""
+EVENT_GRID = with_sql(EVENT_PANEL, OBS, grid_sql(), recursive=True)
+SPARSE_GRID = with_sql(SPARSE_PANEL, OBS, grid_sql(), recursive=True)
+LONG_GRID = with_sql(LONG_PANEL, OBS, grid_sql(), recursive=True)
