@@ -190,13 +190,13 @@ def _(spark, sf):
     return C.monthly_coverage(D.long_rows(spark, sf))
 
 
-@query("e6_outage_window", with_sql(D.SPARSE_PANEL) + """
-, d AS (SELECT store, date, count(DISTINCT name) AS products FROM sparse_rows GROUP BY ALL),
-u AS (SELECT store, median(products) AS usual FROM d WHERE date < DATE '1998-01-01' GROUP BY ALL)
+@query("e6_outage_window", with_sql(D.EVENT_ROWS) + """
+, d AS (SELECT store, date, count(DISTINCT name) AS products FROM event_rows GROUP BY ALL),
+u AS (SELECT store, median(products) AS usual FROM d WHERE date < DATE '2024-01-16' GROUP BY ALL)
 SELECT store, min(date) AS outage_start, max(date) AS outage_end, count(*) AS outage_days,
- CAST(median(products) AS DOUBLE) AS median_inside FROM d JOIN u USING (store) WHERE products < 0.5 * usual GROUP BY store""")
+ CAST(median(products) AS DOUBLE) AS median_inside FROM d JOIN u USING (store) WHERE products < 0.95 * usual GROUP BY store""")
 def _(spark, sf):
-    return C.outage_window(D.sparse_rows(spark, sf), "1998-01-01")
+    return C.outage_window(D.event_rows(spark, sf), "2024-01-16", fraction=0.95)
 
 
 @query("e7_scrape_health", with_sql(D.EVENT_ROWS) + """
