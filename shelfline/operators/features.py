@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..common import exact_quantiles, moved, ratio, rel_change
 from ..functions import calendar as K
 from .. import fixed_values as V
+from ..session import settle
 from . import cleaning as L
 from .grid import build_segments, causal_grid
 
@@ -234,10 +235,15 @@ def feature_columns(groups: Sequence[str] | None = None) -> list[str]:
 def build_features(regular: DataFrame, shelf: DataFrame, usd: DataFrame, brent: DataFrame, tuik: DataFrame,
                    outage: tuple | None = None, holidays: Sequence[str] = V.HOLIDAYS_2026,
                    weights: Mapping[str, float] = V.COICOP_WEIGHTS) -> DataFrame:
-    """The full feature table, one row per segment and calendar day."""
-    grid = causal_grid(build_segments(regular, shelf))
+    """The full feature table, one row per segment and calendar day.
+
+    The per-segment part is written once to the shared folder. The cross-section reads a few of its columns
+    several times and must not repeat the windows.
+    """
+    grid = causal_grid(build_segments(regular, shelf), data_end=shelf.agg(F.max("date")).scalar())
     for add in (with_lags, with_rolling, with_changes, with_sale_state, with_unit_price):
         grid = add(grid)
+    grid = settle(grid, "grid")
     grid = with_cross_section(grid, weights)
     grid = with_external(grid, usd, brent, tuik)
     return with_targets(with_calendar(grid, holidays), outage)

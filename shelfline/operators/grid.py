@@ -66,19 +66,23 @@ def build_segments(regular: DataFrame, shelf: DataFrame, keys: Sequence[str] = (
     ``regular``: keys, date, price, sale_unresolved, pack (struct), coicop, unit_basis.
     ``shelf``: keys, date, shelf_price (cells incl. sale days).
     """
+    within = (Window.partitionBy(*keys, "pack_segment").orderBy("date")
+              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     numbered = (pack_segments(regular.withColumn("pack_key", T.pack_key("pack")), keys)
-                .withColumn("unit_factor", T.unit_factor("pack")))
-    seg = numbered.select(*keys, "date", "pack_segment", "unit_factor")
-    joined = asof_backward(shelf, seg, keys, ["pack_segment", "unit_factor"])
+                .withColumn("unit_factor", T.unit_factor("pack"))
+                .withColumn("_day", F.col("date"))
+                .withColumn("_static", F.struct(
+                    "pack_segment", F.first("coicop", ignorenulls=True).over(within).alias("coicop"),
+                    F.first("unit_basis", ignorenulls=True).over(within).alias("unit_basis"))))
+    # one as-of pass carries everything; the regular price counts only when the hit is of the same day
+    joined = asof_backward(shelf, numbered, keys, ["_static", "unit_factor", "_day", "price", "sale_unresolved"])
     forward = Window.partitionBy(*keys).orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-    joined = joined.withColumn("pack_segment", F.coalesce(
-        F.first("pack_segment", ignorenulls=True).over(forward), F.lit(1)))
-    segment_keys = [*keys, "pack_segment"]
-    static = numbered.groupBy(*segment_keys).agg(
-        F.min_by("coicop", F.when(F.col("coicop").isNotNull(), F.col("date"))).alias("coicop"),
-        F.min_by("unit_basis", F.when(F.col("unit_basis").isNotNull(), F.col("date"))).alias("unit_basis"))
-    target = numbered.select(*keys, "date", F.col("price").alias("regular_price"), "sale_unresolved")
-    return (joined.join(target, [*keys, "date"], "left").join(static, segment_keys, "left")
+    same_day = F.col("_day") == F.col("date")
+    return (joined.withColumn("_static", F.first("_static", ignorenulls=True).over(forward))
+            .select(*shelf.columns, F.coalesce("_static.pack_segment", F.lit(1)).alias("pack_segment"), "unit_factor",
+                    F.when(same_day, F.col("price")).alias("regular_price"),
+                    F.when(same_day, F.col("sale_unresolved")).alias("sale_unresolved"),
+                    F.col("_static.coicop").alias("coicop"), F.col("_static.unit_basis").alias("unit_basis"))
             .withColumn("segment_id", F.concat(F.col(keys[-1]), F.lit("#"), F.col("pack_segment").cast("string"))))
 
 

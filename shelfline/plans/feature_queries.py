@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..common import r6
 from ..operators import features as X, grid as G
+from ..session import settle
 from . import datasets as D
 from .datasets import with_sql
 from .registry import query
@@ -120,9 +121,11 @@ def regular_and_shelf(spark, sf, panel=None):
     from ..functions import text as T
     from ..operators import sales as S
     panel = D.long_panel(spark, sf) if panel is None else panel
-    regular = (S.flag_sales(panel).where("not is_sale").withColumn("pack", T.parse_pack(pack_text(), compose=False))
-               .select("store", F.col("name").alias("series_id"), "date", "price", F.col("unresolved").alias("sale_unresolved"),
-                       "pack", coicop().alias("coicop"), T.unit_basis("pack").alias("unit_basis")))
+    named = S.flag_sales(panel).where("not is_sale").withColumn("text", pack_text())
+    packs = named.select("text").distinct().withColumn("pack", T.parse_pack("text", compose=False))  # once per distinct name
+    regular = named.join(packs, "text").select(
+        "store", F.col("name").alias("series_id"), "date", "price", F.col("unresolved").alias("sale_unresolved"),
+        "pack", coicop().alias("coicop"), T.unit_basis("pack").alias("unit_basis"))
     shelf = panel.select("store", F.col("name").alias("series_id"), "date", F.col("price").alias("shelf_price"))
     return regular, shelf
 
@@ -139,12 +142,12 @@ held AS (SELECT *, coalesce(last_value(pack_key IGNORE NULLS) OVER (PARTITION BY
   first_value(pack_key IGNORE NULLS) OVER (PARTITION BY store, series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '') AS held FROM basis),
 sw AS (SELECT *, coalesce(held <> lag(held) OVER (PARTITION BY store, series_id ORDER BY date), false) AS sw FROM held),
 seg AS (SELECT *, CAST(sum(CAST(sw AS INT)) OVER (PARTITION BY store, series_id ORDER BY date) + 1 AS INT) AS pack_segment FROM sw),
-asof AS (SELECT p.store, p.name AS series_id, p.date, p.price AS shelf_price, s.pack_segment AS ps, s.unit_factor
+asofed AS (SELECT p.store, p.name AS series_id, p.date, p.price AS shelf_price, s.pack_segment AS ps, s.unit_factor
   FROM panel p ASOF LEFT JOIN seg s ON p.store = s.store AND p.name = s.series_id AND p.date >= s.date),
-filled AS (SELECT *, coalesce(first_value(ps IGNORE NULLS) OVER (PARTITION BY store, series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS pack_segment FROM asof),
+filled AS (SELECT * EXCLUDE (ps), coalesce(first_value(ps IGNORE NULLS) OVER (PARTITION BY store, series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS pack_segment FROM asofed),
 static AS (SELECT store, series_id, pack_segment, arg_min(coicop, date) AS coicop, arg_min(unit_basis, date) AS unit_basis FROM seg GROUP BY ALL),
-obs AS (SELECT f.store, f.series_id, f.date, f.shelf_price, f.pack_segment, f.unit_factor, g.price AS regular_price, g.sale_unresolved, st.coicop, st.unit_basis,
-  f.series_id || '#' || f.pack_segment AS segment_id FROM filled f LEFT JOIN seg g USING (store, series_id, date) LEFT JOIN static st USING (store, series_id, pack_segment))""")
+obs AS (SELECT store, series_id, date, f.shelf_price, pack_segment, f.unit_factor, g.price AS regular_price, g.sale_unresolved, st.coicop, st.unit_basis,
+  series_id || '#' || pack_segment AS segment_id FROM filled f LEFT JOIN (SELECT store, series_id, date, price, sale_unresolved FROM seg) g USING (store, series_id, date) LEFT JOIN static st USING (store, series_id, pack_segment))""")
 
 
 @query("f13_pack_segments", SEGMENTS + " SELECT store, series_id, date, pack_key, pack_segment FROM seg")
@@ -192,7 +195,8 @@ def _(spark, sf):
 
 # --- cross-section, external series, full table -------------------------------------------------------------------
 def segment_grid(spark, sf):
-    return G.causal_grid(G.build_segments(*regular_and_shelf(spark, sf)))
+    regular, shelf = regular_and_shelf(spark, sf)
+    return G.causal_grid(G.build_segments(regular, shelf), data_end=shelf.agg(F.max("date")).scalar())
 
 
 FULL_GRID = (SEGMENTS.replace("WITH ", "WITH RECURSIVE ", 1) + "," + D.grid_sql(
@@ -230,7 +234,7 @@ CROSS_COLS = {c: c for c in ("log_unit_price_lag1", "rel_unit_price_lag1", "stor
 
 @query("f10_f11_f12_e16_e17_cross_section", FULL_GRID + CROSS + f" SELECT store, segment_id, date, {sql_cols(CROSS_COLS)} FROM crossed")
 def _(spark, sf):
-    grid = X.with_unit_price(X.with_changes(segment_grid(spark, sf)))
+    grid = settle(X.with_unit_price(X.with_changes(segment_grid(spark, sf))), "grid")
     return rounded(X.with_cross_section(grid), KEYS, CROSS_COLS)
 
 
@@ -245,8 +249,8 @@ def external(spark, sf):
     """Trading-day series and monthly releases derived from orders."""
     orders = D.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice", "o_orderstatus")
     work = orders.where(F.weekday("date") < 5)
-    usd = work.groupBy("date").agg(F.avg("o_totalprice").alias("usd_try"))
-    brent = work.where("o_orderstatus = 'F'").groupBy("date").agg(F.avg("o_totalprice").alias("brent_usd"))
+    usd = work.groupBy("date").agg((F.avg("o_totalprice") / 10000).alias("usd_try"))
+    brent = work.where("o_orderstatus = 'F'").groupBy("date").agg((F.avg("o_totalprice") / 2500).alias("brent_usd"))
     months = orders.groupBy(F.trunc("date", "month").alias("m")).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
     from pyspark.sql import Window
     w = Window.orderBy("m")
@@ -259,8 +263,8 @@ def external(spark, sf):
 
 EXT = """
 ord AS (SELECT CAST(o_orderdate AS DATE) AS date, o_totalprice, o_orderstatus FROM orders),
-usd AS (SELECT date, avg(o_totalprice) AS usd_try FROM ord WHERE isodow(date) < 6 GROUP BY date),
-brent AS (SELECT date, avg(o_totalprice) AS brent_usd FROM ord WHERE isodow(date) < 6 AND o_orderstatus = 'F' GROUP BY date),
+usd AS (SELECT date, avg(o_totalprice) / 10000 AS usd_try FROM ord WHERE isodow(date) < 6 GROUP BY date),
+brent AS (SELECT date, avg(o_totalprice) / 2500 AS brent_usd FROM ord WHERE isodow(date) < 6 AND o_orderstatus = 'F' GROUP BY date),
 mon AS (SELECT date_trunc('month', date)::DATE AS m, sum(o_totalprice) AS s, count(*) AS n FROM ord GROUP BY 1),
 tuik AS (SELECT m, 100 * (s / lag(s) OVER (ORDER BY m) - 1) AS food, CASE WHEN month(m) <> 5 THEN 100 * (n / lag(n) OVER (ORDER BY m)::DOUBLE - 1) END AS headline,
   CAST(m + INTERVAL 1 MONTH + INTERVAL 2 DAY AS DATE) AS rel FROM mon),
@@ -350,7 +354,7 @@ def _(spark, sf):
 
 
 @query("i5_effective_gap", """WITH s AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS date FROM lineitem GROUP BY ALL), p AS (SELECT *, lag(date) OVER (PARTITION BY l_suppkey ORDER BY date) AS prev FROM s)
-SELECT l_suppkey, date, CAST(date - prev - (SELECT count(*) FROM generate_series(prev + 1, date - 1, INTERVAL 1 DAY) g(d) WHERE d BETWEEN DATE '1998-02-01' AND DATE '1998-02-20') AS INT) AS gap FROM p WHERE prev IS NOT NULL""")
+SELECT l_suppkey, date, CAST(date - prev - greatest(0, least(date - 1, DATE '1998-02-20') - greatest(prev + 1, DATE '1998-02-01') + 1) AS INT) AS gap FROM p WHERE prev IS NOT NULL""")
 def _(spark, sf):
     from pyspark.sql import Window
     from ..functions import calendar as K
@@ -372,15 +376,14 @@ def _(spark, sf):
 FEATURE_OUTAGE = ("1998-02-01", "1998-02-20")
 ALL_NUM = {**LAGS, **ROLL, **{k: v for k, v in CHG.items() if k != "reg_change"}, **SALE, **CROSS_COLS, **EXT_COLS, **CYCLIC}
 FULL = FULL_GRID + CROSS + "," + EXT.replace("{days}", "grid") + f""",
-feat AS (SELECT c.store, segment_id, series_id, c.date, observed, is_sale_day, shelf_price, regular_price AS target_price, sale_unresolved, coicop, unit_basis,
-  c.date BETWEEN DATE '{FEATURE_OUTAGE[0]}' AND DATE '{FEATURE_OUTAGE[1]}' AS in_outage,
-  {", ".join(f"{e.replace('OVER w', 'OVER w')} AS {k}" for k, e in {**LAGS, **ROLL, **{k: v for k, v in CHG.items() if k != 'reg_change'}, **SALE}.items())},
-  {", ".join(CROSS_COLS)}, {", ".join("ext." + k for k in EXT_COLS)}, days_since_tuik_release,
-  {", ".join(f"{e.replace('date', 'c.date')} AS {k}" for k, e in {**CYCLIC, **FLAGS}.items())}
-  FROM crossed c LEFT JOIN ext ON ext.date = c.date WINDOW w AS (PARTITION BY store, segment_id ORDER BY c.date)),
+feat AS (SELECT store, segment_id, series_id, date, observed, is_sale_day, shelf_price, regular_price AS target_price, sale_unresolved, coicop, unit_basis,
+  date BETWEEN DATE '{FEATURE_OUTAGE[0]}' AND DATE '{FEATURE_OUTAGE[1]}' AS in_outage,
+  {", ".join(f"{e} AS {k}" for k, e in {**LAGS, **ROLL, **{k: v for k, v in CHG.items() if k != 'reg_change'}, **SALE}.items())},
+  {", ".join(CROSS_COLS)}, {", ".join(EXT_COLS)}, days_since_tuik_release,
+  {", ".join(f"{e} AS {k}" for k, e in {**CYCLIC, **FLAGS}.items())}
+  FROM (SELECT crossed.*, ext.* EXCLUDE (date) FROM crossed LEFT JOIN ext ON ext.date = crossed.date) WINDOW w AS (PARTITION BY store, segment_id ORDER BY date)),
 features AS (SELECT *, target_price / base_price - 1 AS target_pct_change,
   observed AND target_price IS NOT NULL AND base_price IS NOT NULL AND NOT sale_unresolved AND NOT in_outage AS usable_target FROM feat)"""
-FULL = FULL.replace("PARTITION BY store, segment_id ORDER BY date ROWS BETWEEN", "PARTITION BY store, segment_id ORDER BY date ROWS BETWEEN")
 
 
 def feature_table(spark, sf):
