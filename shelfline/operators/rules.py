@@ -28,7 +28,8 @@ def by_key(daily: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], rate: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(rate).desc_nulls_last(), F.col("key"))
+    # rounding keeps rates that are equal up to summation order tied, so the key decides
+    w = Window.partitionBy(*keys).orderBy(F.round(rate, 12).desc_nulls_last(), F.col("key"))
     return df.withColumn(out, F.row_number().over(w))
 
 
@@ -51,7 +52,7 @@ def top_keys(daily: DataFrame, train_end, k: int, by: str = "dom", shrink: float
 
 def pooled_keys(daily: DataFrame, by: str = "dom", k: int | None = None) -> DataFrame:
     pooled = daily.groupBy(F.col(by).alias("key")).agg(F.avg("rate").alias("pooled"))
-    return pooled if k is None else pooled.orderBy(F.col("pooled").desc(), "key").limit(k)
+    return pooled if k is None else pooled.orderBy(F.round("pooled", 12).desc(), "key").limit(k)
 
 
 def rule_mask(days: DataFrame, keys: DataFrame, by: str = "dom", out: str = "on") -> DataFrame:
@@ -213,7 +214,7 @@ def rank_keys(train: DataFrame) -> DataFrame:
     """Keys of the families 'dow', 'dom' and 'mix' (both) by mean training rate, best first."""
     rates = by_key(train).groupBy("store", "by", "key").agg(F.avg("rate").alias("rate"))
     fam = rates.withColumn("family", F.explode(F.array(F.col("by"), F.lit("mix"))))
-    w = Window.partitionBy("store", "family").orderBy(F.col("rate").desc(), F.col("by").desc(), "key")
+    w = Window.partitionBy("store", "family").orderBy(F.round("rate", 12).desc(), F.col("by").desc(), "key")
     return fam.withColumn("rank", F.row_number().over(w))
 
 

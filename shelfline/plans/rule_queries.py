@@ -49,7 +49,7 @@ def _(spark, sf):
 
 
 @query("r2_g1_top_keys", LONG + """
-SELECT store, key, round(rate, 6) AS rate, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY store ORDER BY rate DESC, key) AS INT) AS rank
+SELECT store, key, round(rate, 6) AS rate, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY store ORDER BY round(rate, 12) DESC, key) AS INT) AS rank
  FROM (SELECT store, dom AS key, sum(rate) / count(*) AS rate FROM d WHERE date <= DATE '1999-06-30' GROUP BY ALL)) WHERE rank <= 6""")
 def _(spark, sf):
     return R.top_keys(dense_long(spark, sf), TRAIN_END, 6).withColumn("rate", r6("rate"))
@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("r2_shrunk_top_keys", LONG + """
 , p AS (SELECT dom AS key, avg(rate) AS pooled FROM d GROUP BY 1)
-SELECT store, key, round(rate, 6) AS rate, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY store ORDER BY rate DESC, key) AS INT) AS rank
+SELECT store, key, round(rate, 6) AS rate, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY store ORDER BY round(rate, 12) DESC, key) AS INT) AS rank
  FROM (SELECT store, key, (s + 2 * coalesce(pooled, (SELECT avg(pooled) FROM p))) / (n + 2) AS rate FROM (SELECT store, dom AS key, sum(rate) AS s, count(*) AS n FROM d
    WHERE date <= DATE '1999-06-30' GROUP BY ALL) LEFT JOIN p USING (key))) WHERE rank <= 6""")
 def _(spark, sf):
@@ -65,7 +65,7 @@ def _(spark, sf):
     return R.top_keys(daily, TRAIN_END, 6, shrink=2.0, pooled=R.pooled_keys(daily)).withColumn("rate", r6("rate"))
 
 
-@query("g2_pooled_top_keys", LONG + " SELECT dom AS key, round(avg(rate), 6) AS pooled FROM d GROUP BY 1 ORDER BY avg(rate) DESC, key LIMIT 4")
+@query("g2_pooled_top_keys", LONG + " SELECT dom AS key, round(avg(rate), 6) AS pooled FROM d GROUP BY 1 ORDER BY round(avg(rate), 12) DESC, key LIMIT 4")
 def _(spark, sf):
     return R.pooled_keys(dense_long(spark, sf), k=4).withColumn("pooled", r6("pooled"))
 
@@ -131,12 +131,12 @@ CAUSAL = {c: c for c in ("hist_dom", "hist_dow", "store_mean", "hist_dom_rel", "
  row_number() OVER (PARTITION BY store, dom ORDER BY date) - 1 AS hist_dom_n, row_number() OVER (PARTITION BY store, dow ORDER BY date) - 1 AS hist_dow_n,
  avg(rate) OVER (PARTITION BY store ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS store_mean,
  avg(rate) OVER (PARTITION BY store ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rate_7d FROM d)
-SELECT h.store, h.date, hist_dom_n, hist_dow_n, round(hist_dom, 6) AS hist_dom, round(hist_dow, 6) AS hist_dow, round(store_mean, 6) AS store_mean,
- round(CASE WHEN store_mean <> 0 THEN hist_dom / store_mean END, 6) AS hist_dom_rel, round(CASE WHEN store_mean <> 0 THEN hist_dow / store_mean END, 6) AS hist_dow_rel,
- round(y.rate, 6) AS rate_lag1, round(rate_7d, 6) AS rate_7d FROM h LEFT JOIN d y ON y.store = h.store AND y.date + 1 = h.date""")
+SELECT h.store, h.date, hist_dom_n, hist_dow_n, round(hist_dom + 1e-9, 6) AS hist_dom, round(hist_dow + 1e-9, 6) AS hist_dow, round(store_mean + 1e-9, 6) AS store_mean,
+ round(CASE WHEN store_mean <> 0 THEN hist_dom / store_mean END + 1e-9, 6) AS hist_dom_rel, round(CASE WHEN store_mean <> 0 THEN hist_dow / store_mean END + 1e-9, 6) AS hist_dow_rel,
+ round(y.rate + 1e-9, 6) AS rate_lag1, round(rate_7d + 1e-9, 6) AS rate_7d FROM h LEFT JOIN d y ON y.store = h.store AND y.date + 1 = h.date""")
 def _(spark, sf):
     return R.causal_day_features(dense_long(spark, sf), HOLIDAYS).select(
-        "store", "date", "hist_dom_n", "hist_dow_n", *[r6(c).alias(c) for c in CAUSAL])
+        "store", "date", "hist_dom_n", "hist_dow_n", *[r6(F.col(c) + 1e-9).alias(c) for c in CAUSAL])
 
 
 @query("j6_calendar_shift", LONG + """ SELECT a.store, a.date, round(b.rate, 6) AS rate_lag1 FROM d a LEFT JOIN d b ON a.store = b.store AND a.date = b.date + 1""")
@@ -151,10 +151,10 @@ def _(spark, sf):
 
 SPLIT = LONG + f"""
 , tr AS (SELECT * FROM d WHERE date <= DATE '{TRAIN_END}'), te AS (SELECT * FROM d WHERE date >= DATE '{TEST_START}'),
-kr AS (SELECT store, 'dow' AS by, dow AS key, avg(rate) AS rate FROM tr GROUP BY ALL UNION ALL SELECT store, 'dom', dom, avg(rate) FROM tr GROUP BY ALL),
-fam AS (SELECT *, by AS family FROM kr UNION ALL SELECT *, 'mix' FROM kr),
-rk AS (SELECT *, row_number() OVER (PARTITION BY store, family ORDER BY rate DESC, by DESC, key) AS rank,
- CASE WHEN by = 'dom' THEN CAST(key AS VARCHAR) ELSE ['Pzt', 'Sal', 'Çar', 'Per', 'Cum', 'Cmt', 'Paz'][key + 1] END AS lbl FROM fam)"""
+kr AS (SELECT store, 'dow' AS "by", dow AS key, avg(rate) AS rate FROM tr GROUP BY ALL UNION ALL SELECT store, 'dom', dom, avg(rate) FROM tr GROUP BY ALL),
+fam AS (SELECT *, "by" AS family FROM kr UNION ALL SELECT *, 'mix' FROM kr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY store, family ORDER BY round(rate, 12) DESC, "by" DESC, key) AS rank,
+ CASE WHEN "by" = 'dom' THEN CAST(key AS VARCHAR) ELSE ['Pzt', 'Sal', 'Çar', 'Per', 'Cum', 'Cmt', 'Paz'][key + 1] END AS lbl FROM fam)"""
 
 
 def split(spark, sf):
@@ -162,7 +162,7 @@ def split(spark, sf):
     return d, d.where(F.col("date") <= F.lit(TRAIN_END).cast("date")), d.where(F.col("date") >= F.lit(TEST_START).cast("date"))
 
 
-@query("r10_rank_keys", SPLIT + " SELECT store, by, key, round(rate, 6) AS rate, family, CAST(rank AS INT) AS rank FROM rk")
+@query("r10_rank_keys", SPLIT + """ SELECT store, "by", key, round(rate, 6) AS rate, family, CAST(rank AS INT) AS rank FROM rk""")
 def _(spark, sf):
     return R.rank_keys(split(spark, sf)[1]).withColumn("rate", r6("rate"))
 
@@ -197,8 +197,8 @@ def _greedy(budgets):
 n AS (SELECT store, family, max(rank) AS last FROM rk GROUP BY ALL),
 g AS (SELECT store, family, budget, CAST(0 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS sel, CAST([] AS VARCHAR[]) AS lab FROM (SELECT DISTINCT store, family FROM rk), bud
  UNION ALL SELECT store, family, budget, rank, CASE WHEN share > budget THEN sel ELSE list_append(sel, kk) END, CASE WHEN share > budget THEN lab ELSE list_append(lab, lbl) END FROM (
-  SELECT g.store, g.family, g.budget, g.rank + 1 AS rank, g.sel, g.lab, rk.lbl, rk.by || rk.key AS kk,
-   (SELECT avg(CASE WHEN list_contains(list_append(g.sel, rk.by || rk.key), 'dom' || t.dom) OR list_contains(list_append(g.sel, rk.by || rk.key), 'dow' || t.dow) THEN 1.0 ELSE 0 END) FROM tr t WHERE t.store = g.store) AS share
+  SELECT g.store, g.family, g.budget, g.rank + 1 AS rank, g.sel, g.lab, rk.lbl, rk."by" || rk.key AS kk,
+   (SELECT avg(CASE WHEN list_contains(list_append(g.sel, rk."by" || rk.key), 'dom' || t.dom) OR list_contains(list_append(g.sel, rk."by" || rk.key), 'dow' || t.dow) THEN 1.0 ELSE 0 END) FROM tr t WHERE t.store = g.store) AS share
   FROM g JOIN rk ON rk.store = g.store AND rk.family = g.family AND rk.rank = g.rank + 1)),
 fin AS (SELECT g.* FROM g JOIN n ON n.store = g.store AND n.family = g.family AND g.rank = n.last)"""
 
@@ -282,9 +282,9 @@ def _(spark, sf):
 
 
 @query("g9_busiest_keys", LONG + """
-, g AS (SELECT store, 'dom' AS by, dom AS key, sum(changes) AS c, sum(products) AS p FROM d GROUP BY ALL UNION ALL SELECT store, 'dow', dow, sum(changes), sum(products) FROM d GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY c DESC, key) AS r, sum(c) OVER (PARTITION BY store) AS tot FROM g WHERE by = 'dow')
-SELECT store, (SELECT key FROM g x WHERE x.store = w.store AND by = 'dom' ORDER BY c::DOUBLE / p DESC, key LIMIT 1) AS top_dom, (SELECT key FROM g x WHERE x.store = w.store AND by = 'dow' ORDER BY c::DOUBLE / p DESC, key LIMIT 1) AS top_dow,
+, g AS (SELECT store, 'dom' AS "by", dom AS key, sum(changes) AS c, sum(products) AS p FROM d GROUP BY ALL UNION ALL SELECT store, 'dow', dow, sum(changes), sum(products) FROM d GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY c DESC, key) AS r, sum(c) OVER (PARTITION BY store) AS tot FROM g WHERE "by" = 'dow')
+SELECT store, (SELECT key FROM g x WHERE x.store = w.store AND "by" = 'dom' ORDER BY c::DOUBLE / p DESC, key LIMIT 1) AS top_dom, (SELECT key FROM g x WHERE x.store = w.store AND "by" = 'dow' ORDER BY c::DOUBLE / p DESC, key LIMIT 1) AS top_dow,
  max(CASE WHEN r = 1 THEN key END) AS first_dow, max(CASE WHEN r = 2 THEN key END) AS second_dow, round(100.0 * sum(CASE WHEN r <= 2 THEN c END) / max(tot), 6) AS top2_share_pct FROM w GROUP BY store""")
 def _(spark, sf):
     return R.busiest_keys(dense_long(spark, sf)).withColumn("top2_share_pct", r6("top2_share_pct"))
