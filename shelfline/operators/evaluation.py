@@ -266,8 +266,9 @@ def spearman(frame: DataFrame, cols: Sequence[str]) -> DataFrame:
 def average_ranks(frame: DataFrame, col: str, pieces: int = 256) -> DataFrame:
     """Average rank of each distinct value: (value, _rank). Two levels, value ranges first, values inside them second."""
     counts = frame.groupBy(col).agg(F.count("*").alias("_n"))
-    edges = counts.agg(F.percentile_approx(col, [i / pieces for i in range(1, pieces)], 10 * pieces)).scalar()
-    binned = counts.withColumn("_bin", F.size(F.filter(edges, lambda e: e < F.col(col))))
+    edges = counts.agg(F.percentile_approx(col, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_edges"))
+    binned = counts.join(F.broadcast(edges), F.lit(True)).withColumn(  # one row of at most ``pieces`` numbers
+        "_bin", F.size(F.filter("_edges", lambda e: e < F.col(col))))
     sizes = binned.groupBy("_bin").agg(F.sum("_n").alias("_s"))
     before = sizes.select("_bin", F.coalesce(F.sum("_s").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum("_n").over(Window.partitionBy("_bin").orderBy(col))

@@ -1,13 +1,431 @@
-from pyspark.sql import DataFrame, functions as F
+"""Linking product names across time: exact and rule matches, blocking, one-to-one assignment.
 
+Text work runs once per distinct name. Joins are equi-joins on names, normal forms, prefixes or grams.
+"""
+from __future__ import annotations
 
-def name_spans(rows, pid="product_id"):
+from collections.abc import Mapping, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..common import ratio
+from ..functions import calendar as K, text as T
+from ..session import settle
+from .. import fixed_values as V
+from .cells import most_frequent
+
+ID = "product_id"
+
+
+def name_spans(rows: DataFrame, pid: str = ID) -> DataFrame:
     return rows.groupBy(pid, "name").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"),
                                          F.countDistinct("date").alias("days"))
 
 
 def method_coverage(panel: DataFrame, before) -> DataFrame:
-    from pyspark.sql import Window
-    early = F.col("date") < F.lit(before).cast("date")
+    early = F.col("date") < F.lit(str(before)[:10]).cast("date")
     table = panel.groupBy("method").agg(F.count("*").alias("all_rows"), F.count_if(early).alias("early_rows"))
-    return table.withColumn("early_pct", 100 * F.col("early_rows") / F.sum("early_rows").over(Window.partitionBy(F.lit(1))))
+    return table.withColumn("early_pct", 100 * ratio("early_rows", F.sum("early_rows").over(Window.partitionBy(F.lit(1)))))
+
+
+def name_table(rows: DataFrame, compose: bool = True) -> DataFrame:
+    """Distinct names with folded, normalised and pack columns, written once because many steps read it."""
+    names = T.distinct_names(rows, compose=compose).withColumn("fold", T.fold("name", compose=compose))
+    return settle(names, "names")
+
+
+def pre_names(pre: DataFrame) -> DataFrame:
+    return pre.groupBy("name").agg(F.count("*").alias("rows"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+
+
+def exact_matches(pre: DataFrame, post: DataFrame) -> DataFrame:
+    """Early names against the IDs that carry the identical name later."""
+    ids = post.groupBy("name").agg(F.countDistinct(ID).alias("n_ids"), F.min(ID).alias("_id"))
+    out = pre_names(pre).join(ids, "name", "left").withColumn("n_ids", F.coalesce("n_ids", F.lit(0)))
+    step = F.when(F.col("n_ids") == 1, "exact_unique").when(F.col("n_ids") > 1, "exact_ambiguous").otherwise("no_exact_match")
+    return out.withColumn("step1", step).withColumn("series_id", F.when(F.col("n_ids") == 1, F.col("_id"))).drop("_id")
+
+
+def rename_pairs(post: DataFrame, names: DataFrame) -> DataFrame:
+    """Consecutive names of one ID with word changes, similarity scores and the kind of difference.
+
+    The successor is looked up inside one day and, at the end of a day, in the ID's next day, so an ID with very
+    many names is spread over its days.
+    """
+    spans = name_spans(post).select(ID, "name", "first_seen")
+    inside = Window.partitionBy(ID, "first_seen").orderBy("name")
+    along = Window.partitionBy(ID).orderBy("first_seen")
+    days = spans.groupBy(ID, "first_seen").agg(F.min("name").alias("_head")).select(
+        ID, "first_seen", F.lead("_head").over(along).alias("_next"), F.lead("first_seen").over(along).alias("_when"))
+    pairs = (spans.withColumn("_in", F.lead("name").over(inside)).join(days, [ID, "first_seen"])
+             .select(ID, F.col("name").alias("old_name"), F.coalesce("_in", "_next").alias("new_name"),
+                     F.when(F.col("_in").isNotNull(), F.col("first_seen")).otherwise(F.col("_when")).alias("switch_date"))
+             .where("new_name is not null"))
+    side = lambda p: names.select(F.col("name").alias(f"{p}_name"), *[F.col(c).alias(f"{p}_{c}") for c in ("norm", "fold", "pack")])
+    pairs = pairs.join(side("old"), "old_name").join(side("new"), "new_name")
+    a, b = F.array_distinct(T.words("old_norm")), F.array_distinct(T.words("new_norm"))
+    ordered = lambda x: F.array_join(F.array_sort(x), " ")
+    return pairs.select(
+        ID, "old_name", "new_name", "switch_date", ordered(F.array_except(a, b)).alias("removed"), ordered(F.array_except(b, a)).alias("added"),
+        T.jaccard(a, b).alias("word1_jaccard"),
+        T.jaccard(T.word_ngrams(T.words("old_norm"), 2), T.word_ngrams(T.words("new_norm"), 2)).alias("word2_jaccard"),
+        T.jaccard(T.char_ngrams("old_norm"), T.char_ngrams("new_norm")).alias("char3_jaccard"),
+        T.classify_pair("old_name", "new_name", "old_fold", "new_fold", "old_norm", "new_norm").alias("diff_type"),
+        T.pack_changed("old_pack", "new_pack").alias("pack_size_changed"))
+
+
+def token_frequency(pairs: DataFrame, col: str, k: int = 15) -> DataFrame:
+    words = pairs.select(F.explode(F.split(col, " ")).alias("token")).where("token <> ''")
+    return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(k)
+
+
+def rename_days(pairs: DataFrame, at_least: int = 10) -> DataFrame:
+    return pairs.groupBy("switch_date").agg(F.count("*").alias("renames")).where(F.col("renames") >= at_least)
+
+
+def prefix_hits(short: DataFrame, full: DataFrame, prefix: str, text: str) -> DataFrame:
+    """Pairs where ``short.prefix`` starts ``full.text``.
+
+    Only the prefix lengths that occur are cut from the full texts, and the join is an equi-join on the prefix,
+    so it emits true matches only.
+    """
+    lengths = [r[0] for r in short.select(F.length(prefix)).distinct().collect()]  # at most the longest name
+    if not lengths:
+        lengths = [0]
+    cut = full.withColumn("_n", F.explode(F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(text))))
+    cut = cut.withColumn("_prefix", F.substring(F.col(text), F.lit(1), F.col("_n"))).drop("_n")
+    return short.join(cut, short[prefix] == cut["_prefix"]).drop("_prefix")
+
+
+def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> DataFrame:
+    """Rule cascade for names without an exact match: truncated prefix, equal normal form, equal word set.
+
+    ``todo``: name. ``candidates``: product_id, name. A rule with more than one ID is ambiguous; a later rule is
+    tried only if the earlier one found nothing.
+    """
+    info = names.select("name", "norm", "word_key", "pack", "truncated")
+    cand = candidates.select(ID, "name").distinct().join(info, "name").select(
+        ID, *[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "word_key", "pack", "truncated")])
+    mine = todo.select("name").distinct().join(info, "name")
+    cut = F.regexp_replace("name", r"\s*\.\.\.$", "")
+    short = mine.where("truncated").withColumn("prefix", cut).withColumn("norm_prefix", T.normalize(cut))
+    raw = prefix_hits(short, cand, "prefix", "c_name")
+    rest = short.join(raw.select("name").distinct(), "name", "left_anti")
+    loose = prefix_hits(rest, cand, "norm_prefix", "c_norm")
+    fits = T.same_pack("pack", "truncated", "c_pack", "c_truncated")
+    by_prefix = raw.unionByName(loose).where(fits).select("name", ID, F.lit("3b_truncated_prefix").alias("rule"))
+    by_norm = mine.join(cand, F.col("norm") == F.col("c_norm")).select("name", ID, F.lit("3c_normalized").alias("rule"))
+    by_words = mine.join(cand, F.col("word_key") == F.col("c_word_key")).select("name", ID, F.lit("3d_word_order").alias("rule"))
+    found = by_prefix.unionByName(by_norm).unionByName(by_words).groupBy("name", "rule").agg(
+        F.countDistinct(ID).alias("n_ids"), F.min(ID).alias("_id"))
+    best = found.groupBy("name").agg(F.min(F.struct("rule", "n_ids", "_id")).alias("_b"))   # rule names sort in priority order
+    one = F.col("_b.n_ids") == 1
+    return mine.select("name").join(best, "name", "left").select(
+        "name", F.when(F.col("_b").isNull(), "no_rule_match").when(one, F.col("_b.rule")).otherwise(F.concat("_b.rule", F.lit("_ambiguous"))).alias("rule"),
+        F.when(one, F.col("_b._id")).alias("series_id"), F.coalesce("_b.n_ids", F.lit(0)).alias("n_ids"))
+
+
+def never_same_day(pairs: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of names without a common day."""
+    days = rows.select("name", "date").distinct()
+    left = pairs.select(a, b).join(days.withColumnRenamed("name", a), a)
+    shared = left.join(days.withColumnRenamed("name", b), [b, "date"], "left_semi").select(a, b).distinct()
+    return pairs.join(shared, [a, b], "left_anti")
+
+
+def truncation_groups(leftover: DataFrame, pre: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, group): a truncated leftover joins the only full leftover it fits; every other name is its own group."""
+    info = leftover.select("name").distinct().join(names.select("name", "norm", "pack", "truncated"), "name")
+    full = info.where("not truncated").select(*[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "pack", "truncated")])
+    hits = prefix_hits(info.where("truncated"), full, "norm", "c_norm").where(T.same_pack("pack", "truncated", "c_pack", "c_truncated"))
+    free = never_same_day(hits.select("name", "c_name"), pre, "name", "c_name")
+    link = free.groupBy("name").agg(F.count("*").alias("_n"), F.min("c_name").alias("_g")).where("_n = 1")
+    return info.select("name").join(link, "name", "left").select("name", F.coalesce("_g", "name").alias("group"))
+
+
+# --- blocking ------------------------------------------------------------------------------------------------
+def char_grams(norm: Column) -> Column:
+    """Character 3- to 5-grams inside each space-padded word, with repeats."""
+    padded = F.transform(F.filter(F.split(norm, " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def of_word(w: Column) -> Column:
+        sizes = F.filter(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: n <= F.length(w))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))
+
+    return F.flatten(F.transform(padded, of_word))
+
+
+def gram_weights(docs: DataFrame) -> DataFrame:
+    """Unit-length TF-IDF vectors (norm, gram, w, df). ``docs``: norm, copies (how often the text counts)."""
+    terms = docs.select("norm", "copies", F.explode(char_grams(F.col("norm"))).alias("gram")).groupBy("norm", "copies", "gram").agg(F.count("*").alias("tf"))
+    n = docs.agg(F.sum("copies")).scalar()
+    df = terms.groupBy("gram").agg(F.sum("copies").alias("df"))
+    raw = terms.join(df, "gram").withColumn("x", F.col("tf") * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
+    length = raw.groupBy("norm").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    return raw.join(length, "norm").select("norm", "gram", (F.col("x") / F.col("len")).alias("w"), "df")
+
+
+def nearest_norms(queries: DataFrame, targets: DataFrame, weights: DataFrame, k: int, probe: int = 8) -> DataFrame:
+    """Exact top-k cosine neighbours (q, c, sim) between two sets of texts.
+
+    A first pass joins only each query's ``probe`` rarest grams and gives a lower bound on its k-th best score.
+    A text that shares none of the rarest grams down to rank r scores at most the length of the remaining part
+    of the query vector. The second pass therefore joins grams only while that length reaches the bound. Frequent
+    grams are joined only for queries that really need them.
+    """
+    weights = settle(weights, "grams")
+    order = Window.partitionBy("q").orderBy("df", "gram")
+    qv = queries.select(F.col("norm").alias("q")).distinct().join(weights.withColumnRenamed("norm", "q"), "q")
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    qv = qv.withColumn("rk", F.row_number().over(order)).withColumn("tail", tail)
+    cv = targets.select(F.col("norm").alias("c")).distinct().join(weights.withColumnRenamed("norm", "c"), "c")
+    as_map = lambda df, key, out: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(out))  # one name's grams
+    qm, cm = as_map(qv, "q", "_q"), as_map(cv, "c", "_c")
+    top = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.map_entries("_q"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("_c", e["key"]), F.lit(0.0)))
+        return (pairs.distinct().join(qm, "q").join(cm, "c").select("q", "c", F.round(dot, 9).alias("sim"))
+                .withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k))
+
+    first = scored(qv.where(F.col("rk") <= probe).select("q", "gram").join(cv.select("c", "gram"), "gram").select("q", "c"))
+    bound = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("bound"))
+    need = qv.join(bound, "q", "left").where(F.col("tail") >= F.coalesce("bound", F.lit(0.0)) - 1e-8)
+    return scored(need.select("q", "gram").join(cv.select("c", "gram"), "gram").select("q", "c")).drop("_r")
+
+
+def blocked_candidates(groups: DataFrame, candidates: DataFrame, names: DataFrame, top_names: int = V.BLOCK_TOP_NAMES,
+                       top_ids: int = V.BLOCK_TOP_IDS) -> DataFrame:
+    """(group, product_id, candidate_name, place): the nearest IDs among each group's nearest candidate names."""
+    info = names.select("name", "norm")
+    g = groups.select(F.col("group").alias("name")).distinct().join(info, "name")
+    c = candidates.select(ID, "name").distinct().join(info, "name")
+    docs = g.select("norm").unionAll(c.select("norm")).groupBy("norm").agg(F.count("*").alias("copies"))
+    near = nearest_norms(g, c, gram_weights(docs), top_names)
+    # more than top_names rows of one text can never be used
+    first = Window.partitionBy("norm").orderBy(ID, "name")
+    few = c.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top_names).drop("_r")
+    rows = (g.withColumnRenamed("name", "group").join(near, F.col("norm") == F.col("q")).select("group", "c", "sim")
+            .join(few.withColumnRenamed("norm", "c"), "c"))
+    place = Window.partitionBy("group").orderBy(F.desc("sim"), "c", ID, "name")
+    rows = rows.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= top_names)
+    ids = rows.groupBy("group", ID).agg(F.min(F.struct("_r", "name", "sim")).alias("_b"))
+    by_place = Window.partitionBy("group").orderBy("_b._r")
+    return (ids.withColumn("place", F.row_number().over(by_place)).where(F.col("place") <= top_ids)
+            .select("group", ID, F.col("_b.name").alias("candidate_name"), F.col("_b.sim").alias("cosine"), "place"))
+
+
+# --- edges and one-to-one assignment -----------------------------------------------------------------------------
+def handover_edges(blocked: DataFrame, group_rows: DataFrame, id_rows: DataFrame, candidates: DataFrame, names: DataFrame,
+                   outage: tuple | None = None) -> DataFrame:
+    """Eligible (group, series_id) links with gap, price ratio, name similarity and score.
+
+    ``group_rows``: group, date, price. ``id_rows``: series_id, date, price. An ID qualifies when all its
+    observations lie after the group's last day, so only its first observation matters.
+    """
+    g = group_rows.groupBy("group").agg(
+        F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("rows"),
+        F.max_by("price", F.when(F.col("price").isNotNull(), F.struct("date", "price"))).alias("last_price"))
+    i = id_rows.groupBy(F.col("series_id").alias(ID)).agg(F.min(F.struct("date", "price")).alias("_f")).select(
+        ID, F.col("_f.date").alias("next_date"), F.col("_f.price").alias("next_price"))
+    info = names.select("name", "norm", "pack", "truncated")
+    e = (blocked.join(g, "group").join(i, ID).where(F.col("next_date") > F.col("last"))
+         .withColumn("price_ratio", ratio("next_price", "last_price"))
+         .where(F.col("price_ratio").between(1 / V.MAX_PRICE_RATIO, V.MAX_PRICE_RATIO))
+         .join(info.select(F.col("name").alias("group"), F.col("norm").alias("g_norm"), F.col("pack").alias("g_pack"), F.col("truncated").alias("g_t")), "group")
+         .join(info.select(F.col("name").alias("candidate_name"), F.col("norm").alias("c_norm"), F.col("pack").alias("c_pack"), F.col("truncated").alias("c_t")), "candidate_name")
+         .where(T.same_pack("g_pack", "g_t", "c_pack", "c_t")))
+    gap = K.effective_gap("last", "next_date", outage) if outage else F.datediff("next_date", "last")
+    e = e.withColumn("gap_days", gap)
+    texts = candidates.select(ID, "name").distinct().join(info.select("name", "norm"), "name").select(ID, F.col("norm").alias("id_norm")).distinct()
+    sims = (e.select("group", ID, "g_norm").join(texts, ID).select("group", ID, T.token_sort_similarity("g_norm", "id_norm").alias("s"))
+            .groupBy("group", ID).agg(F.max("s").alias("name_sim")))
+    enough = F.col("name_sim") >= F.when(F.col("gap_days") <= V.SHORT_GAP_DAYS, V.NAME_MIN_SHORT_GAP).otherwise(V.NAME_MIN_LONG_GAP)
+    close = 1 - F.abs(F.ln("price_ratio")) / F.ln(F.lit(V.MAX_PRICE_RATIO))
+    return (e.join(sims, ["group", ID]).where(enough).where(T.token_guard("g_norm", "c_norm"))
+            .withColumn("score", 0.6 * F.col("name_sim") / 100 + 0.4 * close)
+            .select("group", F.col(ID).alias("series_id"), "candidate_name", "gap_days", "price_ratio", "name_sim", "score"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Adds ``component`` to an edge list: the smallest group name reachable. Min labels travel along edges and
+    are settled every round, so lineage stays short."""
+    labels = settle(edges.select("group", "series_id", F.col("group").alias("component")), "labels")
+    for _ in range(max_rounds):
+        per_id = labels.groupBy("series_id").agg(F.min("component").alias("_i"))
+        step = labels.join(per_id, "series_id")
+        per_group = step.groupBy("group").agg(F.min("_i").alias("_g"))
+        new = settle(step.join(per_group, "group").select("group", "series_id", "component", F.least("_i", "_g").alias("new")), "labels")
+        if new.where("new <> component").limit(1).count() == 0:
+            return edges.join(new.select("group", "series_id", F.col("new").alias("component")), ["group", "series_id"])
+        labels = new.select("group", "series_id", F.col("new").alias("component"))
+    raise RuntimeError("components did not settle; raise max_rounds")
+
+
+def _assign(edges: pd.DataFrame) -> pd.DataFrame:
+    """Most links first, then highest total score: repeated best augmenting paths on one small component."""
+    edges = edges.sort_values(["group", "series_id"]).reset_index(drop=True)
+    left, right = (pd.factorize(edges[c])[0] for c in ("group", "series_id"))
+    n, m = left.max() + 1, right.max() + 1
+    cost = -edges["score"].to_numpy()
+    owner = np.full(m, -1)                    # edge index that currently serves each ID
+    used = np.full(n, -1)
+    while True:
+        dist_l = np.where(used < 0, 0.0, np.inf)
+        dist_r, via = np.full(m, np.inf), np.full(m, -1)
+        for _ in range(n + m):
+            before = dist_r.copy()
+            reach = dist_l[left] + cost
+            for e in np.argsort(reach, kind="stable"):
+                if used[left[e]] != e and reach[e] < dist_r[right[e]] - 1e-12:
+                    dist_r[right[e]], via[right[e]] = reach[e], e
+            taken = owner >= 0
+            back = np.full(n, np.inf)
+            back[left[owner[taken]]] = dist_r[taken] - cost[owner[taken]]
+            dist_l = np.where(used < 0, 0.0, back)
+            if np.array_equal(before, dist_r):
+                break
+        ends = np.flatnonzero((owner < 0) & np.isfinite(dist_r))
+        if not len(ends):
+            break
+        r = ends[np.argmin(dist_r[ends])]
+        while True:                           # flip the path back to a free group
+            e = via[r]
+            g, old = left[e], used[left[e]]
+            owner[r], used[g] = e, e
+            if old < 0:
+                break
+            r = right[old]
+    return edges.loc[np.sort(used[used >= 0])]
+
+
+def assign_links(edges: DataFrame, max_component_edges: int = 50_000) -> DataFrame:
+    """One-to-one links with most pairs first, then the highest total score, solved per component.
+
+    Blocking keeps components small. A component above ``max_component_edges`` stops the job with its name
+    instead of being cut, because a partial answer would not be exact.
+    """
+    parts = components(edges)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    worst = sizes.where(F.col("n") > max_component_edges).limit(1).collect()
+    if worst:
+        raise RuntimeError(f"component {worst[0]['component']} has {worst[0]['n']} edges")
+    tier = F.when(F.col("gap_days") <= V.SHORT_GAP_DAYS, "5_handover_short_gap").otherwise("5_handover_long_gap")
+    return parts.groupBy("component").applyInPandas(_assign, parts.schema).drop("component").withColumn("tier", tier)
+
+
+# --- unified map --------------------------------------------------------------------------------------------------
+def numbered(df: DataFrame, key: str, prefix: str, out: str) -> DataFrame:
+    """Distinct keys with dense text numbers in key order ('n_0000', ...). Numbers are cut into key ranges first."""
+    keys = settle(df.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "keys")
+    sizes = keys.groupBy("_p").agg(F.count("*").alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    number = F.col("_before") + inside - 1
+    text = F.when(number < 10_000, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))
+    return keys.join(F.broadcast(sizes), "_p").select(key, F.concat(F.lit(prefix), text).alias(out))  # one row per partition
+
+
+def leftover_map(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, group, series_id, method): assigned groups take their ID, the others get a series of their own."""
+    joined = groups.join(links.select("group", F.col("series_id").alias("_sid"), "tier"), "group", "left")
+    own = numbered(joined.where("_sid is null"), "group", "n_", "_own")
+    method = F.coalesce("tier", F.lit("6_own_series"))
+    return joined.join(own, "group", "left").select(
+        "name", "group", F.coalesce("_sid", "_own").alias("series_id"),
+        F.when(F.col("name") != F.col("group"), F.concat(method, F.lit("+4_trunc_link"))).otherwise(method).alias("method"))
+
+
+def main_ids(post: DataFrame) -> DataFrame:
+    """Most frequent ID per later name, and whether the name carries several."""
+    best = most_frequent(post, ["name"], ID, "series_id").drop("n")
+    n = post.groupBy("name").agg(F.countDistinct(ID).alias("_n"))
+    return best.join(n, "name").select("name", "series_id", F.when(F.col("_n") > 1, "0_id_era_multi_id").otherwise("0_id_era").alias("method"))
+
+
+def first_source(sources: Sequence[DataFrame], key: str = "name") -> DataFrame:
+    """Union of sources in priority order; the first that knows a key wins."""
+    all_rows = None
+    for i, s in enumerate(sources):
+        s = s.withColumn("_p", F.lit(i))
+        all_rows = s if all_rows is None else all_rows.unionByName(s)
+    others = [c for c in all_rows.columns if c not in (key, "_p")]
+    return all_rows.groupBy(key).agg(F.min(F.struct("_p", *others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others])
+
+
+def method_rank(method: Column, ranks: Mapping[str, int] = V.METHOD_RANK) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    return F.try_element_at(table, F.split_part(method, F.lit("+"), F.lit(1)))
+
+
+def one_name_per_day(pre_map: DataFrame, pre: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Keeps names of a series in priority order and demotes a name that shares a day with a kept one.
+
+    Equal to the sequential greedy choice: in each round a name that is the best undecided name on all of its
+    days is kept, and names sharing a day with it are demoted. No pair of names is ever built.
+    """
+    days = pre.select("name", "date").distinct()
+    rows = pre.groupBy("name").agg(F.count("*").alias("rows"))
+    ranked = pre_map.join(rows, "name").withColumn("_o", F.struct(method_rank(F.col("method")).alias("r"), (-F.col("rows")).alias("n"), F.col("name").alias("x")))
+    open_ = settle(ranked.join(days, "name").select("series_id", "name", "date", "_o"), "overlap")
+    demoted = None
+    for _ in range(max_rounds):
+        best = open_.groupBy("series_id", "date").agg(F.min("_o").alias("_best"))
+        seen = open_.join(best, ["series_id", "date"])
+        kept = seen.groupBy("series_id", "name").agg(F.min((F.col("_o") == F.col("_best")).cast("int")).alias("_k")).where("_k = 1").drop("_k")
+        state = settle(seen.join(kept.withColumn("_kept", F.lit(True)), ["series_id", "name"], "left")
+                       .select("series_id", "name", "date", "_o", F.coalesce("_kept", F.lit(False)).alias("_kept")), "overlap")
+        busy = state.where("_kept").select("series_id", "date").distinct()
+        lost = state.where("not _kept").join(busy, ["series_id", "date"], "left_semi").select("series_id", "name").distinct()
+        demoted = lost if demoted is None else demoted.unionByName(lost)
+        demoted = settle(demoted, "demoted")
+        open_ = settle(state.where("not _kept").join(lost, ["series_id", "name"], "left_anti").select("series_id", "name", "date", "_o"), "overlap")
+        if open_.limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("overlap check did not settle; raise max_rounds")
+    out = pre_map.join(demoted.select("name").distinct().withColumn("_d", F.lit(True)), "name", "left")
+    fresh = numbered(out.where("_d"), "name", "d_", "_new")
+    return out.join(fresh, "name", "left").select(
+        "name", F.coalesce("_new", "series_id").alias("series_id"),
+        F.when(F.col("_d"), "6_own_series (demoted overlap)").otherwise(F.col("method")).alias("method"))
+
+
+def mapped_panel(rows: DataFrame, pre_map: DataFrame) -> DataFrame:
+    """Every row with its series and method; rows that found none keep a null series."""
+    m = pre_map.select("name", F.col("series_id").alias("_s"), F.col("method").alias("_m"))
+    has = F.col(ID).isNotNull()
+    return (rows.join(m, "name", "left").withColumn("series_id", F.coalesce(ID, "_s"))
+            .withColumn("method", F.when(has, "0_id_era").otherwise(F.col("_m"))).drop("_s", "_m"))
+
+
+def unmapped_rows(panel: DataFrame) -> DataFrame:
+    return panel.agg(F.count("*").alias("rows"), F.count_if(F.col("series_id").isNull()).alias("unmapped"))
+
+
+def assignment_quality(links: DataFrame) -> DataFrame:
+    """Per tier: links, exact medians of similarity, gap and absolute price change, share at the same price."""
+    from ..common import exact_quantiles
+    df = links.withColumn("_c", 100 * F.abs(F.col("price_ratio") - 1))
+    out = df.groupBy("tier").agg(F.count("*").alias("groups"),
+                                 F.avg((F.abs(F.col("price_ratio") - 1) <= 1e-8 + 1e-5).cast("double")).alias("same_price_share"))
+    for c, name in (("name_sim", "median_name_sim"), ("gap_days", "median_gap_days"), ("_c", "median_abs_change_pct")):
+        out = out.join(exact_quantiles(df, ["tier"], c, {name: 0.5}), "tier")
+    return out
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, per: int, seed: int = V.SEED) -> DataFrame:
+    """``per`` rows of each stratum in hashed order; the same rows on every run."""
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), key)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per).drop("_r")
+
+
+def validation_sample(links: DataFrame, candidates: DataFrame, per: int = 30) -> DataFrame:
+    """Rows to label by hand, with every name the ID ever had."""
+    texts = candidates.select(F.col(ID).alias("series_id"), "name").distinct().groupBy("series_id").agg(
+        F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("id_names"))
+    picked = stratified_sample(links, "method", "name", per)
+    return picked.join(texts, "series_id", "left").withColumn("is_correct", F.lit(""))
