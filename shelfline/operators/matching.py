@@ -108,7 +108,8 @@ def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> Da
     info = names.select("name", "norm", "word_key", "pack", "truncated")
     cand = candidates.select(ID, "name").distinct().join(info, "name").select(
         ID, *[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "word_key", "pack", "truncated")])
-    mine = todo.select("name").distinct().join(info, "name")
+    cand = settle(cand, "candidates")      # name-level tables, read by several rules
+    mine = settle(todo.select("name").distinct().join(info, "name"), "todo")
     cut = F.regexp_replace("name", r"\s*\.\.\.$", "")
     short = mine.where("truncated").withColumn("prefix", cut).withColumn("norm_prefix", T.normalize(cut))
     raw = prefix_hits(short, cand, "prefix", "c_name")
@@ -137,7 +138,7 @@ def never_same_day(pairs: DataFrame, rows: DataFrame, a: str, b: str) -> DataFra
 
 def truncation_groups(leftover: DataFrame, pre: DataFrame, names: DataFrame) -> DataFrame:
     """(name, group): a truncated leftover joins the only full leftover it fits; every other name is its own group."""
-    info = leftover.select("name").distinct().join(names.select("name", "norm", "pack", "truncated"), "name")
+    info = settle(leftover.select("name").distinct().join(names.select("name", "norm", "pack", "truncated"), "name"), "leftover")
     full = info.where("not truncated").select(*[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "pack", "truncated")])
     hits = prefix_hits(info.where("truncated"), full, "norm", "c_norm").where(T.same_pack("pack", "truncated", "c_pack", "c_truncated"))
     free = never_same_day(hits.select("name", "c_name"), pre, "name", "c_name")
@@ -168,33 +169,39 @@ def gram_weights(docs: DataFrame) -> DataFrame:
     return raw.join(length, "norm").select("norm", "gram", (F.col("x") / F.col("len")).alias("w"), "df")
 
 
-def nearest_norms(queries: DataFrame, targets: DataFrame, weights: DataFrame, k: int, probe: int = 8) -> DataFrame:
+def nearest_norms(queries: DataFrame, targets: DataFrame, weights: DataFrame, k: int, probe: int = 16) -> DataFrame:
     """Exact top-k cosine neighbours (q, c, sim) between two sets of texts.
 
-    A first pass joins only each query's ``probe`` rarest grams and gives a lower bound on its k-th best score.
-    A text that shares none of the rarest grams down to rank r scores at most the length of the remaining part
-    of the query vector. The second pass therefore joins grams only while that length reaches the bound. Frequent
-    grams are joined only for queries that really need them.
+    1. Joining only each query's ``probe`` rarest grams gives partial scores. The k-th best partial score is a
+       lower bound on the k-th best full score.
+    2. The grams of a query are ordered by rarity. What the grams from rank r on can still add is at most the
+       length of that part of the vector, so grams are joined only while that length reaches the bound. Frequent
+       grams are left out for every query that does not need them.
+    3. Pairs whose partial score plus the length of the left-out part stays below the bound are dropped; only
+       the survivors are scored in full.
     """
     weights = settle(weights, "grams")
     order = Window.partitionBy("q").orderBy("df", "gram")
-    qv = queries.select(F.col("norm").alias("q")).distinct().join(weights.withColumnRenamed("norm", "q"), "q")
-    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    qv = qv.withColumn("rk", F.row_number().over(order)).withColumn("tail", tail)
-    cv = targets.select(F.col("norm").alias("c")).distinct().join(weights.withColumnRenamed("norm", "c"), "c")
-    as_map = lambda df, key, out: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(out))  # one name's grams
-    qm, cm = as_map(qv, "q", "_q"), as_map(cv, "c", "_c")
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
+    qv = (queries.select(F.col("norm").alias("q")).distinct()
+          .join(weights.select(F.col("norm").alias("q"), "gram", F.col("w").alias("wq"), "df"), "q")
+          .withColumn("rk", F.row_number().over(order)).withColumn("tail", F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(rest))))
+    cv = targets.select(F.col("norm").alias("c")).distinct().join(
+        weights.select(F.col("norm").alias("c"), "gram", F.col("w").alias("wc")), "c")
+    partial = lambda part: part.join(cv, "gram").groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("part"))
+    best = Window.partitionBy("q").orderBy(F.desc("part"))
+    bound = (partial(qv.where(F.col("rk") <= probe)).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+             .groupBy("q").agg(F.when(F.count("*") >= k, F.min("part")).otherwise(0.0).alias("bound")))
+    marked = qv.join(bound, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    needed = F.col("tail") >= F.col("bound") - 1e-8
+    left_out = marked.groupBy("q").agg(F.first("bound").alias("bound"), F.sqrt(F.coalesce(
+        F.sum(F.when(~needed, F.col("wq") * F.col("wq"))), F.lit(0.0))).alias("slack"))
+    alive = (partial(marked.where(needed)).join(left_out, "q")
+             .where(F.col("part") + F.col("slack") >= F.col("bound") - 1e-8).select("q", "c"))
+    full = (alive.join(qv.select("q", "gram", "wq"), "q").join(cv, ["c", "gram"]).groupBy("q", "c")
+            .agg(F.round(F.sum(F.col("wq") * F.col("wc")), 7).alias("sim")))
     top = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        dot = F.aggregate(F.map_entries("_q"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("_c", e["key"]), F.lit(0.0)))
-        return (pairs.distinct().join(qm, "q").join(cm, "c").select("q", "c", F.round(dot, 9).alias("sim"))
-                .withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k))
-
-    first = scored(qv.where(F.col("rk") <= probe).select("q", "gram").join(cv.select("c", "gram"), "gram").select("q", "c"))
-    bound = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("bound"))
-    need = qv.join(bound, "q", "left").where(F.col("tail") >= F.coalesce("bound", F.lit(0.0)) - 1e-8)
-    return scored(need.select("q", "gram").join(cv.select("c", "gram"), "gram").select("q", "c")).drop("_r")
+    return full.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
 
 
 def blocked_candidates(groups: DataFrame, candidates: DataFrame, names: DataFrame, top_names: int = V.BLOCK_TOP_NAMES,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..common import r6
 from ..functions import text as T
 from ..operators import matching as M
+from ..session import settle
 from .. import fixed_values as V
 from . import datasets as D
 from .cleaning_queries import parsed
@@ -134,13 +135,14 @@ raw AS (SELECT p.name, c.product_id, {same_pack_sql('p', 'c')} AS fits FROM pf2
 loose AS (SELECT p.name, c.product_id, {same_pack_sql('p', 'c')} AS fits FROM pf2 p JOIN cand c ON starts_with(c.norm, p.npfx) WHERE p.name NOT IN (SELECT name FROM raw)),
 hit AS (SELECT name, '3b_truncated_prefix' AS rule, product_id FROM (SELECT * FROM raw UNION ALL SELECT * FROM loose) WHERE fits
   UNION ALL SELECT t.name, '3c_normalized', c.product_id FROM todo t JOIN cand c ON t.norm = c.norm UNION ALL SELECT t.name, '3d_word_order', c.product_id FROM todo t JOIN cand c ON t.word_key = c.word_key),
-fnd AS (SELECT name, rule, count(DISTINCT product_id) AS n_ids, min(product_id) AS id FROM hit GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY name ORDER BY rule) = 1),
+fnd AS (SELECT name, rule, count(DISTINCT product_id) AS n_ids, min(product_id) AS id FROM hit GROUP BY name, rule QUALIFY row_number() OVER (PARTITION BY name ORDER BY rule) = 1),
 ruled AS (SELECT t.name, CASE WHEN rule IS NULL THEN 'no_rule_match' WHEN n_ids = 1 THEN rule ELSE rule || '_ambiguous' END AS rule, CASE WHEN n_ids = 1 THEN id END AS series_id, coalesce(n_ids, 0) AS n_ids FROM todo t LEFT JOIN fnd USING (name))"""
 
 
 def ruled(spark, sf):
-    pre, post = eras(spark, sf)
-    n = names(spark, sf)
+    rows = settle(kept(spark, sf).select("name", "date", "price", "product_id", "is_truncated"), "cleaned")
+    pre, post = rows.where("product_id is null"), rows.where("product_id is not null")
+    n = M.name_table(rows)
     todo = M.exact_matches(pre, post).where("step1 = 'no_exact_match'")
     return M.rule_matches(todo, post, n), n, pre, post
 
@@ -200,7 +202,6 @@ def edges(spark, sf):
     id_rows = post.select(F.col("product_id").alias("series_id"), "date", "price").unionByName(pre.join(linked, "name").select("series_id", "date", "price"))
     blocked = M.blocked_candidates(groups, post, n)
     e = M.handover_edges(blocked, pre.join(groups, "name").select("group", "date", "price"), id_rows, post, n)
-    from ..session import settle
     return settle(e, "edges"), groups, n, pre, post, rules, linked
 
 
