@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .registry import QUERIES, SQL
-from . import panel_queries, cleaning_queries, feature_queries, rule_queries, evaluation_queries, matching_queries
+from . import panel_queries, cleaning_queries, feature_queries, rule_queries, evaluation_queries, matching_queries, source_queries, model_queries
 
 
 def all_queries() -> dict:
