@@ -1,7 +1,7 @@
 """Price files: header census, one read per header shape, dates from names, bad rows set aside; sinks."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -57,11 +57,13 @@ def _pick(names: Sequence[str], wanted: Sequence[str]) -> str | None:
 
 
 def read_price_files(spark: SparkSession, paths: Sequence[str], misfiled: Mapping[str, str] | None = None,
-                     extra: Mapping[str, str] = V.HEADER_RENAMES, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+                     extra: Mapping[str, str] = V.HEADER_RENAMES, sep: str = ",",
+                     naming: Callable[[Column], Column] = lambda path: path) -> tuple[DataFrame, DataFrame]:
     """All files as (store, path, date, name_raw, price_text, + known extras), and the files set aside with a reason.
 
     Files are grouped by header, because one CSV read needs one column order. Distinct headers are few (checked);
-    the files themselves never pass through the driver.
+    the files' rows never pass through the driver. ``naming`` turns a physical path into 'folder/file', for layouts
+    that keep the date in a folder name.
     """
     heads = headers(spark, paths)
     shapes = [r[0] for r in heads.select("header").distinct().limit(MAX_SIDE_ROWS + 1).collect()]
@@ -79,7 +81,7 @@ def read_price_files(spark: SparkSession, paths: Sequence[str], misfiled: Mappin
         cols = ["n", "p"] if headerless else names
         schema = ", ".join(f"`c{i}` string" for i in range(len(cols))) + ", _bad string"
         files = [r[0] for r in heads.where(F.col("header") == header).select("path").toLocalIterator()]
-        df = spark.read.option("recursiveFileLookup", True).csv(files, schema=schema, header=not headerless, sep=sep, mode="PERMISSIVE", enforceSchema=True,
+        df = spark.read.option("recursiveFileLookup", True).option("columnPruning", False).csv(files, schema=schema, header=not headerless, sep=sep, mode="PERMISSIVE", enforceSchema=True,
                             columnNameOfCorruptRecord="_bad", encoding="UTF-8", escape='"')
         at = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
         more = [c for c in dict.fromkeys(extra.values()) if c in at]
@@ -93,23 +95,23 @@ def read_price_files(spark: SparkSession, paths: Sequence[str], misfiled: Mappin
     rows = good[0]
     for g in good[1:]:
         rows = rows.unionByName(g, allowMissingColumns=True)
-    rows = rows.withColumn("store", owner_store("path", misfiled)).withColumn("date", file_date("path"))
-    undated = heads.where(file_date("path").isNull()).select("path", F.lit("no date in the file name").alias("reason"))
+    rows = rows.withColumn("store", owner_store(naming(F.col("path")), misfiled)).withColumn("date", file_date(naming(F.col("path"))))
+    undated = heads.where(file_date(naming(F.col("path"))).isNull()).select("path", F.lit("no date in the file name").alias("reason"))
     return rows.where("_bad is null and date is not null").drop("_bad"), rejected.unionByName(undated)
 
 
-def bad_lines(spark: SparkSession, paths: Sequence[str], columns: int, sep: str = ",") -> DataFrame:
+def bad_lines(spark: SparkSession, paths: Sequence[str], columns: int, sep: str = ",", header: bool = True) -> DataFrame:
     """Lines whose field count does not fit, with their file."""
     schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _bad string"
-    df = spark.read.csv(list(paths), schema=schema, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    df = spark.read.option("columnPruning", False).csv(list(paths), schema=schema, header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     return df.select(F.col("_metadata.file_path").alias("path"), "c0", "_bad").where(
         F.col("_bad").isNotNull() & (F.length(F.concat_ws("", "c0", "_bad")) >= 0)   # the reader wants a data column as well
     ).select("path", F.col("_bad").alias("line"))
 
 
-def load_stores(spark: SparkSession, paths: Sequence[str], misfiled: Mapping[str, str] | None = None) -> DataFrame:
+def load_stores(spark: SparkSession, paths: Sequence[str], misfiled: Mapping[str, str] | None = None, **kw) -> DataFrame:
     """One row per (store, folded name, day) with the highest positive price."""
-    rows, _ = read_price_files(spark, paths, misfiled)
+    rows, _ = read_price_files(spark, paths, misfiled, **kw)
     names = rows.select("name_raw").distinct().withColumn("name", fold("name_raw", wide=True))   # once per distinct name
     priced = rows.withColumn("price", parse_price("price_text")).where("name_raw is not null and price > 0")
     return shelf_cells(priced.join(names, "name_raw"))
