@@ -113,11 +113,10 @@ def grid_span(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))
 
 
-def relative_unit_price(grid: DataFrame, keys: Sequence[str] = ("store", "coicop", "unit_basis", "date")) -> DataFrame:
-    """Log unit price minus the exact cross-sectional median of its group and day."""
-    med = exact_quantiles(grid.where(" and ".join(f"{k} is not null" for k in keys)), list(keys), "log_unit_price_lag1", {"_med": 0.5})
-    return (grid.join(med, list(keys), "left")
-            .withColumn("rel_unit_price_lag1", F.col("log_unit_price_lag1") - F.col("_med")).drop("_med"))
+def unit_price_medians(grid: DataFrame, keys: Sequence[str] = ("store", "coicop", "unit_basis", "date")) -> DataFrame:
+    """Exact cross-sectional median of the log unit price per group and day (``_med``)."""
+    known = grid.where(" and ".join(f"{k} is not null" for k in keys))
+    return exact_quantiles(known, list(keys), "log_unit_price_lag1", {"_med": 0.5})
 
 
 def web_index(grid: DataFrame, weights: Mapping[str, float] = V.COICOP_WEIGHTS, keys: Sequence[str] = SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -138,12 +137,17 @@ def web_index(grid: DataFrame, weights: Mapping[str, float] = V.COICOP_WEIGHTS,
 
 
 def with_cross_section(grid: DataFrame, weights: Mapping[str, float] = V.COICOP_WEIGHTS) -> DataFrame:
-    """Joins the daily store and category tables; they hold one row per (category,) day, not per product."""
-    grid = grid.join(repricing_shares(grid, ["store"], "store"), ["store", "date"], "left")
-    grid = grid.join(repricing_shares(grid, ["store", "coicop"], "cat"), ["store", "coicop", "date"], "left")
-    grid = relative_unit_price(grid)
+    """Joins the daily store and category tables; they hold one row per (category,) day, not per product.
+
+    Every side table is derived from ``grid`` itself, never from a partly joined frame.
+    """
     category, store = web_index(grid, weights)
-    return (grid.join(category, ["store", "coicop", "date"], "left").join(store, ["store", "date"], "left"))
+    median_keys = ["store", "coicop", "unit_basis", "date"]
+    return (grid.join(repricing_shares(grid, ["store"], "store"), ["store", "date"], "left")
+            .join(repricing_shares(grid, ["store", "coicop"], "cat"), ["store", "coicop", "date"], "left")
+            .join(unit_price_medians(grid), median_keys, "left")
+            .join(category, ["store", "coicop", "date"], "left").join(store, ["store", "date"], "left")
+            .withColumn("rel_unit_price_lag1", F.col("log_unit_price_lag1") - F.col("_med")).drop("_med"))
 
 
 # --- external series -----------------------------------------------------------------------------------
@@ -213,9 +217,10 @@ def external_table(days: DataFrame, usd: DataFrame, brent: DataFrame, tuik: Data
     return rate.join(step, "date", "left").join(oil, "date", "left").join(rel, "date", "left")
 
 
-def with_external(grid: DataFrame, usd: DataFrame, brent: DataFrame, tuik: DataFrame) -> DataFrame:
-    days = grid.select("date").distinct()
-    return grid.join(external_table(days, usd, brent, tuik), "date", "left")
+def with_external(grid: DataFrame, usd: DataFrame, brent: DataFrame, tuik: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """``days``: the calendar to cover; by default the grid's own."""
+    days = grid.select("date").distinct() if days is None else days
+    return grid.join(settle(external_table(days, usd, brent, tuik), "external"), "date", "left")
 
 
 def with_calendar(grid: DataFrame, holidays: Sequence[str] = V.HOLIDAYS_2026) -> DataFrame:
@@ -244,8 +249,8 @@ def build_features(regular: DataFrame, shelf: DataFrame, usd: DataFrame, brent:
     for add in (with_lags, with_rolling, with_changes, with_sale_state, with_unit_price):
         grid = add(grid)
     grid = settle(grid, "grid")
-    grid = with_cross_section(grid, weights)
-    grid = with_external(grid, usd, brent, tuik)
+    days = grid.select("date").distinct()
+    grid = with_external(with_cross_section(grid, weights), usd, brent, tuik, days)
     return with_targets(with_calendar(grid, holidays), outage)
 
 

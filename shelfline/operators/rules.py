@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..common import ratio
 from ..functions import calendar as K
+from ..session import settle
 from .. import fixed_values as V
 
 
@@ -95,7 +96,7 @@ def rolling_origins(daily: DataFrame, origins: Sequence[str], holidays: Sequence
 
     One plan for all stores, origins and methods. ``gate`` (store, date, gate) adds a learned mask.
     """
-    daily = daily.where(F.col("products") >= min_products)
+    daily = settle(daily.where(F.col("products") >= min_products), "daily")   # one row per store and day, read three times
     stats = training_stats(daily, origins).withColumn("rate", ratio("s", "n"))
     pooled = (stats.where("by = 'dom'").groupBy("origin", "key").agg(ratio(F.sum("s"), F.sum("n")).alias("pooled")))
     level = pooled.groupBy("origin").agg(F.avg("pooled").alias("level"))
@@ -140,6 +141,7 @@ def store_best(results: DataFrame, candidates: Sequence[str] = V.STORE_BEST_CAND
     """Adds 'store_best': the candidate with the largest excess capture on the store's earlier origins."""
     past = Window.partitionBy("store", "method").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.sum(c).over(past)
+    results = settle(results, "origins")
     excess = ratio(total("sel_changes"), F.greatest(total("changes"), F.lit(1))) - ratio(total("sel_days"), total("days"))
     place = (F.when(F.col("_x").isNotNull(), F.struct(-F.col("_x"), F.col("method")))
              .when(F.col("method") == default, F.struct(F.lit(float("inf")), F.col("method"))))

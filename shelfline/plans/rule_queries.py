@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..common import r6
 from ..functions import calendar as K
 from ..operators import rules as R
+from ..session import settle
 from .. import fixed_values as V
 from . import datasets as D
 from .cleaning_queries import event_daily, long_daily
@@ -24,7 +25,7 @@ def rounded(df, cols):
 
 
 def dense_long(spark, sf):
-    return long_daily(spark, sf).where(F.col("products") >= MIN)
+    return settle(long_daily(spark, sf).where(F.col("products") >= MIN), "daily")
 
 
 LONG = D.LONG_DAILY + f", d AS (SELECT * FROM daily WHERE products >= {MIN})"
