@@ -242,13 +242,13 @@ def build_features(regular: DataFrame, shelf: DataFrame, usd: DataFrame, brent:
                    weights: Mapping[str, float] = V.COICOP_WEIGHTS) -> DataFrame:
     """The full feature table, one row per segment and calendar day.
 
-    The per-segment part is written once to the shared folder. The cross-section reads a few of its columns
-    several times and must not repeat the windows.
+    The grid and the per-segment windows are written to the shared folder. The cross-section reads a few columns
+    of them several times and must not repeat the work.
     """
-    grid = causal_grid(build_segments(regular, shelf), data_end=shelf.agg(F.max("date")).scalar())
+    grid = settle(causal_grid(build_segments(regular, shelf), data_end=shelf.agg(F.max("date")).scalar()), "grid")
     for add in (with_lags, with_rolling, with_changes, with_sale_state, with_unit_price):
         grid = add(grid)
-    grid = settle(grid, "grid")
+    grid = settle(grid, "windows")
     days = grid.select("date").distinct()
     grid = with_external(with_cross_section(grid, weights), usd, brent, tuik, days)
     return with_targets(with_calendar(grid, holidays), outage)
