@@ -25,7 +25,7 @@ def listings(spark, sf_dir):
     k = F.col("l_partkey") % 10
     early = (F.when(k == 0, F.upper(full)).when(k == 1, F.concat_ws(" ", "p_brand", "p_name", "p_type", size))
              .when(k == 2, F.concat(F.concat_ws(" ", "p_name", "p_brand"), F.lit(" ..."))).when(k == 3, F.replace(full, F.lit(" Gr"), F.lit(" gram")))
-             .when(k == 4, F.concat_ws(" ", "p_name", "p_brand", F.lit("Xtra"), "p_type", size)).otherwise(full))
+             .when(k == 4, F.concat_ws(" ", "p_name", "p_brand", F.concat("p_type", F.lit("X")), size)).otherwise(full))
     late = F.when((F.col("l_partkey") % 7 == 0) & (d >= F.lit(RENAME_DAY).cast("date")),
                   F.concat(F.lit("Yeni "), full)).otherwise(full)
     per_kg = (F.col("l_linenumber") == 7) & (F.col("l_quantity") > 45)
@@ -60,7 +60,7 @@ named AS (SELECT *, CAST(l_shipdate AS DATE) AS date,
 eras AS (SELECT *, CASE WHEN date < DATE '{ID_START}' THEN CASE l_partkey % 10
       WHEN 0 THEN upper(fullname) WHEN 1 THEN p_brand || ' ' || p_name || ' ' || p_type || ' ' || p_size || ' Gr'
       WHEN 2 THEN p_name || ' ' || p_brand || ' ...' WHEN 3 THEN replace(fullname, ' Gr', ' gram')
-      WHEN 4 THEN p_name || ' ' || p_brand || ' Xtra ' || p_type || ' ' || p_size || ' Gr' ELSE fullname END
+      WHEN 4 THEN p_name || ' ' || p_brand || ' ' || p_type || 'X ' || p_size || ' Gr' ELSE fullname END
    WHEN l_partkey % 7 = 0 AND date >= DATE '{RENAME_DAY}' THEN 'Yeni ' || fullname ELSE fullname END AS shown FROM named),
 listings AS (SELECT l_orderkey AS row_a, l_linenumber AS row_b, date,
    CASE WHEN per_kg AND l_quantity > 48 THEN shown || '_1kg' ELSE shown END AS name,
