@@ -18,7 +18,7 @@ HEADLINE = (
 
 def main() -> None:
     from shelfline.plans import all_queries
-    from shelfline.session import build_session
+    from shelfline.session import build_session, clear_scratch
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -32,6 +32,7 @@ def main() -> None:
         t = time.time()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
+        clear_scratch(spark)
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))

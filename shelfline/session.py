@@ -1,7 +1,6 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +25,13 @@ def build_session(app: str = "shelfline", master: str | None = None, **conf: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder inside the warehouse.
 
-    A local session without that setting gets a private temporary folder. On a cluster the setting is
-    required, because executors could not see a folder of the driver's machine.
+    Both are shared by the driver and all executors, so a settled table outlives a lost executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="shelfline-")
-    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shelfline-scratch"
         spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -45,11 +40,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/shelfline-{label}-{uuid.uuid4().hex[:12]}"
 
 
+_settled: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the tables settled so far in this process; call it when their results have been consumed."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_settled)
+    while _settled:
+        path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative or many-times-read results. The copy survives lost executors.
     """
     path = scratch_path(df.sparkSession, label)
+    _settled.append(path)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,7 +73,7 @@ def compare(df, con, sql: str) -> list[str]:
 
 def main(argv):
     import __spark_entry__ as entry
-    from shelfline.session import build_session
+    from shelfline.session import build_session, clear_scratch
     sf = "/root/testdata/sf0.01"
     if "--sf" in argv:
         k = argv.index("--sf")
@@ -98,6 +98,7 @@ def main(argv):
                 issues = [] if n else ["no rows"]
         except Exception as e:  # report and go on with the next query
             issues = [f"{type(e).__name__}: {str(e)[:600]}"]
+        clear_scratch(spark)
         bad += bool(issues)
         print(f"{'FAIL' if issues else 'ok  '} {time.time() - t0:6.1f}s {'' if name in sqls else '(rows only) '}{name}",
               *issues, sep="\n      " if issues else " ", flush=True)

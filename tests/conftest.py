@@ -10,7 +10,8 @@ sys.path[:0] = [str(pathlib.Path(__file__).resolve().parents[1]), str(pathlib.Pa
 def spark(tmp_path_factory):
     from shelfline.session import build_session
     s = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                                              "spark.ui.showConsoleProgress": "false"})
+                                              "spark.ui.showConsoleProgress": "false",
+                                              "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
