@@ -80,7 +80,7 @@ def fit(documents: DataFrame, modulo: int = 3, held_out: int = 1, per_language:
         k: int = CENTROIDS) -> dict:
     """Learns the model from text and non-null language of the rows outside the held-out fold.
 
-    Inverse document frequencies cover every such row. Clustering runs as one Spark task per language on at
+    Inverse document frequencies cover every such row. Sizes per language, one row each, are broadcast. Clustering runs as one Spark task per language on at
     most about ``per_language`` texts. The model holds k centroids per language and the similarity that all
     but one in a thousand of a centroid's own texts reach. No training rows give a model without languages.
     """
@@ -88,7 +88,7 @@ def fit(documents: DataFrame, modulo: int = 3, held_out: int = 1, per_language:
     n, df = _document_frequency(training)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     sizes = training.groupBy("lang").agg(F.count("*").alias("_n"))
-    sample = training.join(sizes, "lang").where(hash_share("doc_id") < F.lit(float(per_language)) / F.col("_n")).select("lang", "text")
+    sample = training.join(F.broadcast(sizes), "lang").where(hash_share("doc_id") < F.lit(float(per_language)) / F.col("_n")).select("lang", "text")
 
     def centroids(key, rows):
         parts = [gram_counts(rows["text"].iloc[at:at + 256]) for at in range(0, len(rows), 256)]

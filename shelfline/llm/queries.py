@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, quality_mil, toxicity
+from . import langid, mixing, packing, quality_mil, quality_rules, toxicity
 from .textkit import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_minimum_slack_packing")
+def op2(spark, sf_dir):
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op3_pfair_mixing")
+def op3(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "source", "mix_phase", "mix_slot", "mix_block", "mix_chars")
+
+
 @query("op4_attention_quality")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +57,11 @@ def op6(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op7_line_first_rules", quality_rules.SQL)
+def op7(spark, sf_dir):
+    return quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality_rules.QUERY_COLUMNS)
+
+
 @query("op10_centroid_language")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
