@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, packing, quality_mil, quality_rules, toxicity
+from . import langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
 from .textkit import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op4(spark, sf_dir):
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_passages", "top_passage")
 
 
+@query("op5_prefix_tree_join")
+def op5(spark, sf_dir):
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query("op6_toxicity_factorization")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
