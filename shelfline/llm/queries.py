@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
+from . import grid_join, langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
 from .textkit import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op7(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality_rules.QUERY_COLUMNS)
 
 
+@query("op9_epsilon_grid_join")
+def op9(spark, sf_dir):
+    return grid_join.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 @query("op10_centroid_language")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
