@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import grid_join, langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity
+from . import grid_join, html_suffix, langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity, warc
 from .textkit import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_warc_derivatives")
+def op1(spark, sf_dir):
+    records = warc.derive(warc.response_records(table(spark, sf_dir, "pages")))
+    return records.withColumn("n_bytes", F.octet_length("block").cast("long")).withColumn("headers_crc32", F.crc32("headers")).drop("block", "headers")
+
+
 @query("op2_minimum_slack_packing")
 def op2(spark, sf_dir):
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
@@ -67,6 +73,11 @@ def op7(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*quality_rules.QUERY_COLUMNS)
 
 
+@query("op8_host_suffix_array")
+def op8(spark, sf_dir):
+    return html_suffix.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op9_epsilon_grid_join")
 def op9(spark, sf_dir):
     return grid_join.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
