@@ -47,12 +47,6 @@ def date_lit(value) -> Column:
     return F.lit(str(value)[:10]).cast("date")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistributes a scan that has fewer splits than the session has cores; a large input is left as it is."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def calendar_days(df: DataFrame, date: str = "date", keys: Sequence[str] = ()) -> DataFrame:
     """Every calendar day between the first and the last date, per key. Bounded by the calendar."""
     span = df.groupBy(*keys).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))

@@ -31,15 +31,6 @@ HEADER_RENAMES = {
     "eski_fiyat": "old_price",
     "tarih": "source_date",
 }
-# spelling of headers once lowered, with "_" and " " turned into "-"
-LONG_TABLE_RENAMES = {
-    "product-name": "product_name",
-    "product-price": "price",
-    "product-id": "product_id",
-    "kategori": "category",
-    "tarih": "source_date",
-    "eski-fiyat": "old_price",
-}
 PER_KG_SUFFIX = r"_1kg$"
 TRUNCATION_MARK = "..."
 URL_ID_PATTERN = r"-(\d+)-p/?$"
@@ -80,7 +71,6 @@ PAIR_ORDER = "word order"
 PAIR_ADDED = "words added (e.g. brand/descriptor)"
 PAIR_REMOVED = "words removed"
 PAIR_REWRITE = "rewrite (words added and removed)"
-SAFE_PAIRS = (PAIR_CASE, PAIR_FORMAT, PAIR_ORDER)
 SCORE_BIN_EDGES = (0.0, 0.3, 0.5, 0.7, 0.9, 1.0001)
 SCORE_BIN_LABELS = ("<0.3", "0.3-0.5", "0.5-0.7", "0.7-0.9", "0.9-1.0")
 
@@ -149,7 +139,6 @@ FEATURE_SETS = {
 }
 
 # --- calendar rules and back-testing -------------------------------------------------------------
-FIXED_RULES = ("every_day", "pilot_1_14_15_16_hol", "spec_1_15_end_hol", "1st_only")
 STORE_BEST_CANDIDATES = ("1st_only", "dom_top2", "dom_top4", "dom_top4_shrunk", "dow_top1", "dow_top2",
                          "dom_top2+dow_top1", "pilot_1_14_15_16_hol")
 STORE_BEST_DEFAULT = "pilot_1_14_15_16_hol"

@@ -44,12 +44,8 @@ def top_row_per_cell(rows: DataFrame, keys: Sequence[str], price: str, ties: Seq
 
 def duplicate_cells(rows: DataFrame, keys: Sequence[str], price: str = "price", method: str | None = None) -> DataFrame:
     """Cells with more than one row: row count, distinct prices, first method."""
-    aggs = [F.count("*").alias("n"), F.countDistinct(price).alias("n_prices")]
-    out = rows.groupBy(*keys).agg(*aggs).where("n > 1")
-    if method:
-        firsts = rows.groupBy(*keys).agg(F.min(method).alias(method))
-        out = out.join(firsts, list(keys))
-    return out
+    first = [F.min(method).alias(method)] if method else []
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(price).alias("n_prices"), *first).where("n > 1")
 
 
 def products_per_day(rows: DataFrame, keys: Sequence[str] = ("store",), name: str = "name") -> DataFrame:
@@ -197,5 +193,3 @@ def missing_by_group(df: DataFrame, groups: dict) -> DataFrame:
         for g, cols in groups.items()]))
     return wide.select(rows.alias("r")).select("r.*")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

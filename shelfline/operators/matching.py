@@ -4,9 +4,10 @@ Text work runs once per distinct name. Joins are equi-joins on names, normal for
 """
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +15,7 @@ from ..common import ratio
 from ..functions import calendar as K, text as T
 from ..session import settle
 from .. import fixed_values as V
+from . import graph
 from .cells import most_frequent
 
 ID = "product_id"
@@ -117,10 +119,14 @@ def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> Da
     loose = prefix_hits(rest, cand, "norm_prefix", "c_norm")
     fits = T.same_pack("pack", "truncated", "c_pack", "c_truncated")
     by_prefix = raw.unionByName(loose).where(fits).select("name", ID, F.lit("3b_truncated_prefix").alias("rule"))
-    by_norm = mine.join(cand, F.col("norm") == F.col("c_norm")).select("name", ID, F.lit("3c_normalized").alias("rule"))
-    by_words = mine.join(cand, F.col("word_key") == F.col("c_word_key")).select("name", ID, F.lit("3d_word_order").alias("rule"))
-    found = by_prefix.unionByName(by_norm).unionByName(by_words).groupBy("name", "rule").agg(
-        F.countDistinct(ID).alias("n_ids"), F.min(ID).alias("_id"))
+    few = (F.countDistinct(ID).alias("n_ids"), F.min(ID).alias("_id"))
+
+    def equal(key: str, rule: str) -> DataFrame:
+        """IDs are counted per key first: a frequent key is one row of the join, not one per ID."""
+        ids = cand.groupBy(F.col(f"c_{key}").alias(key)).agg(*few)
+        return mine.join(ids, key).select("name", F.lit(rule).alias("rule"), "n_ids", "_id")
+    found = (by_prefix.groupBy("name", "rule").agg(*few)
+             .unionByName(equal("norm", "3c_normalized")).unionByName(equal("word_key", "3d_word_order")))
     best = found.groupBy("name").agg(F.min(F.struct("rule", "n_ids", "_id")).alias("_b"))   # rule names sort in priority order
     one = F.col("_b.n_ids") == 1
     return mine.select("name").join(best, "name", "left").select(
@@ -257,70 +263,69 @@ def handover_edges(blocked: DataFrame, group_rows: DataFrame, id_rows: DataFrame
             .select("group", F.col(ID).alias("series_id"), "candidate_name", "gap_days", "price_ratio", "name_sim", "score"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Adds ``component`` to an edge list: the smallest group name reachable. Min labels travel along edges and
-    are settled every round, so lineage stays short."""
-    labels = settle(edges.select("group", "series_id", F.col("group").alias("component")), "labels")
-    for _ in range(max_rounds):
-        per_id = labels.groupBy("series_id").agg(F.min("component").alias("_i"))
-        step = labels.join(per_id, "series_id")
-        per_group = step.groupBy("group").agg(F.min("_i").alias("_g"))
-        new = settle(step.join(per_group, "group").select("group", "series_id", "component", F.least("_i", "_g").alias("new")), "labels")
-        if new.where("new <> component").limit(1).count() == 0:
-            return edges.join(new.select("group", "series_id", F.col("new").alias("component")), ["group", "series_id"])
-        labels = new.select("group", "series_id", F.col("new").alias("component"))
-    raise RuntimeError("components did not settle; raise max_rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """Adds ``component``, the smallest group name reachable, to (group, series_id) links of any length of chain."""
+    nodes = edges.select(F.concat(F.lit("g"), "group").alias("a"), F.concat(F.lit("s"), F.col("series_id").cast("string")).alias("b"))
+    found = graph.components(nodes).where("node like 'g%'").select(F.substring("node", 2, 1 << 30).alias("group"), F.substring("component", 2, 1 << 30).alias("component"))
+    return edges.join(found, "group")
 
 
 def _assign(edges: pd.DataFrame) -> pd.DataFrame:
-    """Most links first, then highest total score: repeated best augmenting paths on one small component."""
+    """Most links first, then highest total score, within one component.
+
+    Every group may also stay alone, at a cost above any sum of scores. Groups enter in turn; each follows
+    the cheapest way over reduced costs, which prices keep from being negative, to an ID nobody holds or to
+    a group that is cheapest left alone. A heap settles every ID at most once per group.
+    """
     edges = edges.sort_values(["group", "series_id"]).reset_index(drop=True)
-    left, right = (pd.factorize(edges[c])[0] for c in ("group", "series_id"))
-    n, m = left.max() + 1, right.max() + 1
-    cost = -edges["score"].to_numpy()
-    owner = np.full(m, -1)                    # edge index that currently serves each ID
-    used = np.full(n, -1)
-    while True:
-        dist_l = np.where(used < 0, 0.0, np.inf)
-        dist_r, via = np.full(m, np.inf), np.full(m, -1)
-        for _ in range(n + m):
-            before = dist_r.copy()
-            reach = dist_l[left] + cost
-            for e in np.argsort(reach, kind="stable"):
-                if used[left[e]] != e and reach[e] < dist_r[right[e]] - 1e-12:
-                    dist_r[right[e]], via[right[e]] = reach[e], e
-            taken = owner >= 0
-            back = np.full(n, np.inf)
-            back[left[owner[taken]]] = dist_r[taken] - cost[owner[taken]]
-            dist_l = np.where(used < 0, 0.0, back)
-            if np.array_equal(before, dist_r):
+    left, right = (pd.factorize(edges[c])[0].tolist() for c in ("group", "series_id"))
+    cost = (edges["score"].max() - edges["score"]).tolist()
+    n, m = max(left) + 1, max(right) + 1
+    alone = (n + 1) * (max(cost) + 1.0)
+    ways = [[(m + g, alone, -1)] for g in range(n)]            # (place, cost, edge); places from m on mean alone
+    for e, g in enumerate(left):
+        ways[g].append((right[e], cost[e], e))
+    worth, price, holder, held = [0.0] * n, [0.0] * (m + n), [-1] * (m + n), [-1] * n
+    for source in range(n):
+        far, came, done, heap = {}, {}, {}, []
+        g, base = source, 0.0
+        while True:
+            for place, c, e in ways[g]:
+                d = base + c - worth[g] - price[place]
+                if place not in done and d < far.get(place, math.inf):
+                    far[place], came[place] = d, (g, e)
+                    heapq.heappush(heap, (d, place))
+            base, place = heapq.heappop(heap)
+            while place in done:
+                base, place = heapq.heappop(heap)
+            done[place] = base
+            if holder[place] < 0:
                 break
-        ends = np.flatnonzero((owner < 0) & np.isfinite(dist_r))
-        if not len(ends):
-            break
-        r = ends[np.argmin(dist_r[ends])]
-        while True:                           # flip the path back to a free group
-            e = via[r]
-            g, old = left[e], used[left[e]]
-            owner[r], used[g] = e, e
-            if old < 0:
+            g = holder[place]
+        worth[source] += base
+        for p, d in done.items():
+            if p != place:
+                worth[holder[p]] += base - d
+            price[p] -= base - d
+        while True:
+            g, e = came[place]
+            holder[place], before = g, held[g]
+            held[g] = place
+            if g == source:
                 break
-            r = right[old]
-    return edges.loc[np.sort(used[used >= 0])]
+            place = before
+    kept = {(g, p) for g, p in enumerate(held) if p < m}
+    return edges.loc[[e for e in range(len(edges)) if (left[e], right[e]) in kept]]
 
 
-def assign_links(edges: DataFrame, max_component_edges: int = 50_000) -> DataFrame:
+def assign_links(edges: DataFrame) -> DataFrame:
     """One-to-one links with most pairs first, then the highest total score, solved per component.
 
-    Blocking keeps components small. A component above ``max_component_edges`` stops the job with its name
-    instead of being cut, because a partial answer would not be exact.
+    Blocking (at most 25 IDs a group) keeps components small. A large component is solved whole, in one task,
+    in time that grows with its groups times its edges.
     """
-    parts = components(edges)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    worst = sizes.where(F.col("n") > max_component_edges).limit(1).collect()
-    if worst:
-        raise RuntimeError(f"component {worst[0]['component']} has {worst[0]['n']} edges")
     tier = F.when(F.col("gap_days") <= V.SHORT_GAP_DAYS, "5_handover_short_gap").otherwise("5_handover_long_gap")
+    parts = components(edges)
     return parts.groupBy("component").applyInPandas(_assign, parts.schema).drop("component").withColumn("tier", tier)
 
 
@@ -368,7 +373,7 @@ def method_rank(method: Column, ranks: Mapping[str, int] = V.METHOD_RANK) -> Col
     return F.try_element_at(table, F.split_part(method, F.lit("+"), F.lit(1)))
 
 
-def one_name_per_day(pre_map: DataFrame, pre: DataFrame, max_rounds: int = 200) -> DataFrame:
+def one_name_per_day(pre_map: DataFrame, pre: DataFrame) -> DataFrame:
     """Keeps names of a series in priority order and demotes a name that shares a day with a kept one.
 
     Equal to the sequential greedy choice: in each round a name that is the best undecided name on all of its
@@ -379,7 +384,7 @@ def one_name_per_day(pre_map: DataFrame, pre: DataFrame, max_rounds: int = 200)
     ranked = pre_map.join(rows, "name").withColumn("_o", F.struct(method_rank(F.col("method")).alias("r"), (-F.col("rows")).alias("n"), F.col("name").alias("x")))
     open_ = settle(ranked.join(days, "name").select("series_id", "name", "date", "_o"), "overlap")
     demoted = None
-    for _ in range(max_rounds):
+    while True:      # the best undecided name of a series is kept in every round, so the rounds end
         best = open_.groupBy("series_id", "date").agg(F.min("_o").alias("_best"))
         seen = open_.join(best, ["series_id", "date"])
         kept = seen.groupBy("series_id", "name").agg(F.min((F.col("_o") == F.col("_best")).cast("int")).alias("_k")).where("_k = 1").drop("_k")
@@ -392,8 +397,6 @@ def one_name_per_day(pre_map: DataFrame, pre: DataFrame, max_rounds: int = 200)
         open_ = settle(state.where("not _kept").join(lost, ["series_id", "name"], "left_anti").select("series_id", "name", "date", "_o"), "overlap")
         if open_.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("overlap check did not settle; raise max_rounds")
     out = pre_map.join(demoted.select("name").distinct().withColumn("_d", F.lit(True)), "name", "left")
     fresh = numbered(out.where("_d"), "name", "d_", "_new")
     return out.join(fresh, "name", "left").select(

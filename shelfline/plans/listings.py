@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..common import spread
 from .datasets import table
 
 ID_START = "1998-07-01"
@@ -34,7 +33,7 @@ def listings(spark, sf_dir):
         F.col("l_partkey") % 3 == 0, F.concat(F.col("l_partkey").cast("string"), F.lit(".0"))
     ).otherwise(F.concat(F.lit(" "), F.col("l_partkey").cast("string"))))
     text = price_text(F.col("l_extendedprice"), F.col("l_orderkey") % 3)
-    line = spread(table(spark, sf_dir, "lineitem").where("l_extendedprice > 0").select(
+    line = (table(spark, sf_dir, "lineitem").where("l_extendedprice > 0").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus"))
     return line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("row_a"), F.col("l_linenumber").alias("row_b"), d.alias("date"),

@@ -80,11 +80,12 @@ def _(spark, sf):
                                    r6(T.unit_price(F.lit(100.0), "pack")).alias("unit_price"))
 
 
-@query("c4_same_pack", with_sql(NAMES) + f" SELECT a.name AS a, b.name AS b, {same_pack_sql('a', 'b')} AS same FROM names a JOIN names b ON substr(a.norm, 1, 14) = substr(b.norm, 1, 14) AND a.truncated AND NOT b.truncated")
+@query("c4_same_pack", with_sql(NAMES) + f" SELECT a.name AS a, b.name AS b, {same_pack_sql('a', 'b')} AS same FROM names a JOIN names b ON starts_with(b.name, regexp_replace(a.name, '\\s*\\.\\.\\.$', '')) AND a.truncated AND NOT b.truncated")
 def _(spark, sf):
-    n = names(spark, sf).withColumn("k", F.substring("norm", 1, 14)).select("k", "name", "pack", "truncated")
-    a, b = n.where("truncated").toDF("k", "a", "pa", "ta"), n.where("not truncated").toDF("k", "b", "pb", "tb")
-    return a.join(b, "k").select("a", "b", T.same_pack("pa", "ta", "pb", "tb").alias("same"))
+    n = names(spark, sf).select("name", "pack", "truncated")
+    a = n.where("truncated").select(F.col("name").alias("a"), F.col("pack").alias("pa"), F.col("truncated").alias("ta"), F.regexp_replace("name", r"\s*\.\.\.$", "").alias("cut"))
+    b = n.where("not truncated").select(F.col("name").alias("b"), F.col("pack").alias("pb"), F.col("truncated").alias("tb"))
+    return M.prefix_hits(a, b, "cut", "b").select("a", "b", T.same_pack("pa", "ta", "pb", "tb").alias("same"))
 
 
 @query("l1_exact_matches", with_sql(NAMES) + """
@@ -106,15 +107,17 @@ pairs AS (SELECT *, list_sort(list_filter(wa, lambda x: NOT list_contains(wb, x)
 
 
 @query("l2_c5_c8_c9_s4_rename_pairs", with_sql(PAIRS) + """
-, g AS (SELECT *, list_distinct(list_transform(range(1, length(an) + 1), lambda i: substr(' ' || an || ' ', i, 3))) AS ga, list_distinct(list_transform(range(1, length(bn) + 1), lambda i: substr(' ' || bn || ' ', i, 3))) AS gb FROM pairs)
+, g AS (SELECT *, list_distinct(list_transform(range(1, length(an) + 1), lambda i: substr(' ' || an || ' ', i, 3))) AS ga, list_distinct(list_transform(range(1, length(bn) + 1), lambda i: substr(' ' || bn || ' ', i, 3))) AS gb,
+  string_split(an, ' ') AS la, string_split(bn, ' ') AS lb, list_distinct(list_transform(range(1, len(la)), lambda i: la[i] || ' ' || la[i + 1])) AS ba, list_distinct(list_transform(range(1, len(lb)), lambda i: lb[i] || ' ' || lb[i + 1])) AS bb FROM pairs)
 SELECT product_id, old_name, new_name, switch_date, array_to_string(rem, ' ') AS removed, array_to_string(ad, ' ') AS added,
- round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))::DOUBLE, 6) AS word1_jaccard, round(len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))::DOUBLE, 6) AS char3_jaccard,
+ round(len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))::DOUBLE, 6) AS word1_jaccard,
+ round(CASE WHEN len(ba) + len(bb) = 0 THEN 1.0 ELSE len(list_intersect(ba, bb)) / len(list_distinct(list_concat(ba, bb)))::DOUBLE END, 6) AS word2_jaccard, round(len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))::DOUBLE, 6) AS char3_jaccard,
  CASE WHEN old_name = new_name THEN 'identical' WHEN lower(old_name) = lower(new_name) THEN 'case/whitespace/Turkish chars' WHEN an = bn THEN 'unit/number formatting' WHEN len(rem) = 0 AND len(ad) = 0 THEN 'word order'
   WHEN len(rem) = 0 THEN 'words added (e.g. brand/descriptor)' WHEN len(ad) = 0 THEN 'words removed' ELSE 'rewrite (words added and removed)' END AS diff_type,
  coalesce(sa <> sb, false) OR coalesce(ca <> cb, false) AS pack_size_changed FROM g""")
 def _(spark, sf):
-    out = M.rename_pairs(eras(spark, sf)[1], names(spark, sf)).drop("word2_jaccard")
-    return rounded(out, ["word1_jaccard", "char3_jaccard"])
+    out = M.rename_pairs(eras(spark, sf)[1], names(spark, sf))
+    return rounded(out, ["word1_jaccard", "word2_jaccard", "char3_jaccard"])
 
 
 @query("g5_token_frequency", with_sql(PAIRS) + " SELECT token, count(*) AS n FROM (SELECT unnest(ad) AS token FROM pairs) GROUP BY token ORDER BY n DESC, token LIMIT 15")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..common import r6
 from ..functions import calendar as K
-from ..operators import rules as R
+from ..operators import rules as R, sales as S
+from ..operators.cells import shelf_cells
 from ..session import settle
 from .. import fixed_values as V
 from . import datasets as D
@@ -14,7 +15,6 @@ from .registry import query
 
 HOLIDAYS = ("1998-03-19", "1998-04-23", "1998-05-01", "1998-10-29", "2024-01-05")
 HOL = ", ".join(f"DATE '{h}'" for h in HOLIDAYS)
-ORIGINS = [f"1998-{m:02d}-01" for m in range(1, 13)]
 MIN = 2
 TRAIN_END, TEST_START = "1999-06-30", "1999-08-01"
 TDATA = f"(dom IN (1, 14, 15, 16) OR date IN ({HOL}))"
@@ -71,8 +71,11 @@ def _(spark, sf):
     return R.pooled_keys(dense_long(spark, sf), k=4).withColumn("pooled", r6("pooled"))
 
 
-ORIGIN_SQL = LONG + f"""
-, o AS (SELECT CAST(unnest([{", ".join(f"DATE '{x}'" for x in ORIGINS)}]) AS DATE) AS origin),
+# back-test panel: the two line states are the stores, so a day has several products at every scale; each month is an origin
+STATE_PANEL = """panel AS (SELECT l_linestatus AS store, CAST(l_linenumber AS VARCHAR) AS name, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"""
+ORIGIN_SQL = D.with_sql(STATE_PANEL, D.sale_flags_sql(), D.REGULAR, D.CHANGES, D.DAILY) + f"""
+, d AS (SELECT * FROM daily WHERE products >= {MIN}),
+o AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS origin FROM d),
 tr AS (SELECT origin, d.* FROM o JOIN d ON d.date < origin), te AS (SELECT origin, d.* FROM o JOIN d ON d.date >= origin AND d.date <= last_day(origin)),
 pl AS (SELECT origin, dom, avg(rate) AS pooled FROM tr GROUP BY ALL), plm AS (SELECT origin, avg(pooled) AS pm FROM pl GROUP BY ALL),
 kd AS (SELECT store, origin, dom, sum(rate) AS s, count(*) AS n FROM tr GROUP BY ALL),
@@ -100,7 +103,11 @@ res2 AS (SELECT *, CAST(NULL AS VARCHAR) AS picked FROM res UNION ALL BY NAME SE
 
 
 def backtest(spark, sf):
-    return R.rolling_origins(long_daily(spark, sf), ORIGINS, HOLIDAYS, min_products=MIN)
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("store"), F.col("l_linenumber").cast("string").alias("name"),
+                                                 F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("price"))
+    daily = settle(S.daily_rates(S.count_changes(S.regular_prices(shelf_cells(rows)))), "daily")
+    months = daily.where(F.col("products") >= MIN).select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()   # one per calendar month
+    return R.rolling_origins(daily, [str(r["m"]) for r in months], HOLIDAYS, min_products=MIN)
 
 
 @query("r4_rolling_origins", ORIGIN_SQL + " SELECT * REPLACE (round(err, 4) AS err, round(sel_err, 4) AS sel_err) FROM res")

@@ -79,7 +79,7 @@ def main(argv):
         k = argv.index("--sf")
         sf = argv[k + 1]
         argv = argv[:k] + argv[k + 2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
+    spark = build_session(master="local[4]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
                                                 "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)

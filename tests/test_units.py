@@ -158,6 +158,17 @@ def test_assignment_is_optimal():
         assert (len(got), round(got["score"].sum(), 9)) == best_assignment(edges)
 
 
+def test_large_components_are_solved(spark):
+    """A chain of 71 groups and 70 IDs, and a dense component, larger than any size that was a limit."""
+    chain = [(f"g{k:03d}", f"i{k + d:03d}", 0.5 + 0.4 * d, 3) for k in range(71) for d in (-1, 0) if 0 <= k + d < 70]
+    out = M.assign_links(spark.createDataFrame(chain, "group string, series_id string, score double, gap_days int")).collect()
+    assert len(out) == 70 and len({r.group for r in out}) == len({r.series_id for r in out}) == 70
+    rng = random.Random(2)
+    edges = pd.DataFrame([(f"g{g}", f"i{i}", rng.random()) for g in range(250) for i in rng.sample(range(260), 12)], columns=["group", "series_id", "score"])
+    got = M._assign(edges)
+    assert len(got) >= 248 and got["group"].is_unique and got["series_id"].is_unique
+
+
 def test_one_name_per_day_equals_the_greedy_order(spark):
     rng = random.Random(9)
     names = [(f"n{i}", "s%d" % (i % 3), rng.choice(["1_exact", "3c_normalized", "6_own_series"])) for i in range(18)]
@@ -215,6 +226,6 @@ def test_hurdle_beats_persistence_on_a_planted_signal(spark):
     df = (df.withColumn("is_target_data", F.col("is_target_spec")).withColumn("target_pct_change", F.col("target_price") / F.col("base_price") - 1)
           .withColumn("usable_target", F.lit(True)).withColumn("in_outage", F.lit(False)))
     block = {"train_start": "2026-03-01", "train_end": "2026-05-15", "test_start": "2026-05-16", "test_end": "2026-06-28"}
-    _, pred, _ = models.train_block("hurdle", {"max_iter": 3, "max_depth": 2, "min_trees": 2, "min_rows": 1}, df, block, ["dom"])
+    _, pred, _ = models.forecast("hurdle", {"max_iter": 3, "max_depth": 2, "min_trees": 2, "min_rows": 1}, df, block, ["dom"])
     r = pred.agg(F.avg(F.abs(F.col("pred_price") - F.col("target_price"))).alias("m"), F.avg(F.abs(F.col("base_price") - F.col("target_price"))).alias("b")).first()
     assert r.m < r.b
