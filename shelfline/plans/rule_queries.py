@@ -71,8 +71,8 @@ def _(spark, sf):
     return R.pooled_keys(dense_long(spark, sf), k=4).withColumn("pooled", r6("pooled"))
 
 
-# back-test panel: the two line states are the stores, so a day has several products at every scale; each month is an origin
-STATE_PANEL = """panel AS (SELECT l_linestatus AS store, CAST(l_linenumber AS VARCHAR) AS name, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"""
+# back-test panel: stores are the two line states, products odd and even lines, so that days are full at every scale; each month is an origin
+STATE_PANEL = """panel AS (SELECT l_linestatus AS store, CAST(l_linenumber % 2 AS VARCHAR) AS name, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL)"""
 ORIGIN_SQL = D.with_sql(STATE_PANEL, D.sale_flags_sql(), D.REGULAR, D.CHANGES, D.DAILY) + f"""
 , d AS (SELECT * FROM daily WHERE products >= {MIN}),
 o AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS origin FROM d),
@@ -103,7 +103,7 @@ res2 AS (SELECT *, CAST(NULL AS VARCHAR) AS picked FROM res UNION ALL BY NAME SE
 
 
 def backtest(spark, sf):
-    rows = D.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("store"), F.col("l_linenumber").cast("string").alias("name"),
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("store"), (F.col("l_linenumber") % 2).cast("string").alias("name"),
                                                  F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("price"))
     daily = settle(S.daily_rates(S.count_changes(S.regular_prices(shelf_cells(rows)))), "daily")
     months = daily.where(F.col("products") >= MIN).select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()   # one per calendar month
