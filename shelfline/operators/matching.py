@@ -435,7 +435,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, per: int, seed: int
 
 def validation_sample(links: DataFrame, candidates: DataFrame, per: int = 30) -> DataFrame:
     """Rows to label by hand, with every name the ID ever had."""
-    texts = candidates.select(F.col(ID).alias("series_id"), "name").distinct().groupBy("series_id").agg(
-        F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("id_names"))
-    picked = stratified_sample(links, "method", "name", per)
+    picked = settle(stratified_sample(links, "method", "name", per), "sample")      # ``per`` rows a method
+    texts = (candidates.select(F.col(ID).alias("series_id"), "name").join(picked.select("series_id").distinct(), "series_id", "left_semi").distinct()
+             .groupBy("series_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("id_names")))
     return picked.join(texts, "series_id", "left").withColumn("is_correct", F.lit(""))

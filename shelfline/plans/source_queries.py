@@ -31,6 +31,37 @@ def dated(col):
     return F.regexp_replace(col, r".*/(shop\d)/day=([0-9-]+)/.*", "$1/prices_$2.csv")
 
 
+def days_of_listing():
+    return [f"2026-01-{d:02d}" for d in range(1, 26)]
+
+
+def odd_files(spark, sf):
+    """Customers as price files in folders with a blank: renamed columns, short, over-long and quoted lines, files
+    without a header, and files without a price column."""
+    root, key = scratch_path(spark, "odd files"), F.col("c_custkey")
+    item, price = F.concat(F.lit("item "), key.cast("string")), F.concat(key.cast("string"), F.lit(".5"))
+    long_ = F.when(key % 11 == 0, F.lit(",,one too many"))
+    lines = {0: ("isim,fiyat,kategori", F.concat_ws(",", F.concat(F.lit('"'), item, F.lit('"')), price, F.when(key % 3 > 0, "x"), long_)),
+             1: ("price,product_name,kategori", F.concat_ws(",", price, item, F.when(key % 3 > 0, F.lit('"a, b"')), long_)),
+             2: (None, F.concat_ws(",", item, price)), 3: ("kategori,name,price (TL)", F.concat_ws(",", F.lit("x"), item, price, long_))}
+    rows = D.table(spark, sf, "customer").withColumn("shop", key % 4).withColumn("day", F.date_format(F.date_add(F.lit("2026-01-01"), F.col("c_nationkey").cast("int")), "yyyy-MM-dd"))
+    body = F.array(*[F.when(F.col("shop") == s, line) for s, (_, line) in lines.items()])
+    head = F.array(*[F.lit(h) for h, _ in lines.values()])
+    at = F.col("shop").cast("int") + 1
+    no_price = F.col("c_nationkey") >= 20
+    # one file a shop and day: its header, if it has one, sorts before its lines
+    held = rows.select("shop", "day", F.lit(1).alias("o"), F.when(no_price, item).otherwise(F.element_at(body, at)).alias("value")).unionByName(
+        rows.select("shop", "day", F.lit(0).alias("o"), F.when(no_price, F.lit("item")).otherwise(F.element_at(head, at)).alias("value")).distinct())
+    for shop in lines:
+        (held.where((F.col("shop") == shop) & F.col("value").isNotNull()).repartition("day").sortWithinPartitions("day", "o").select("day", "value")
+         .write.partitionBy("day").text(f"{root}/shop {shop}"))
+    return root
+
+
+def listed(col):
+    return F.regexp_replace(col, r".*/(shop \d)/day=([0-9-]+)/.*", "$1/list $2.csv")
+
+
 @query("a4_file_dates", """SELECT CAST(l_shipdate AS DATE) AS date, CAST(CASE WHEN day(l_shipdate) = 31 THEN NULL ELSE l_shipdate END AS DATE) AS parsed FROM lineitem GROUP BY ALL""")
 def _(spark, sf):
     days = D.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
@@ -51,6 +82,19 @@ def _(spark, sf):
         F.count("*").alias("rows"), F.countDistinct("name_raw").alias("names"))
 
 
+@query("a5_a7_a8_load_stores", "SELECT CASE WHEN c_custkey % 4 = 3 THEN 'owner shop' ELSE 'shop ' || c_custkey % 4 END AS store, 'item ' || c_custkey AS name, DATE '2026-01-01' + CAST(c_nationkey AS INT) AS date, "
+       "CAST(c_custkey AS DOUBLE) + 0.5 AS price FROM customer WHERE (c_custkey % 11 <> 0 OR c_custkey % 4 = 2) AND c_nationkey < 20")
+def _(spark, sf):
+    return S.load_stores(spark, [odd_files(spark, sf)], {f"shop 3/list {d}.csv": "owner shop" for d in days_of_listing()}, naming=listed).select("store", "name", "date", "price")
+
+
+@query("a8_files_set_aside", "SELECT DISTINCT 'shop ' || c_custkey % 4 || '/list ' || strftime(DATE '2026-01-01' + CAST(c_nationkey AS INT), '%Y-%m-%d') || '.csv' AS file, 'no name or price column' AS reason "
+       "FROM customer WHERE c_nationkey >= 20")
+def _(spark, sf):
+    _, aside = S.read_price_files(spark, [odd_files(spark, sf)], naming=listed)
+    return aside.where("reason <> 'no line to read'").select(listed(F.col("path")).alias("file"), "reason").distinct()
+
+
 @query("a3_header_census", with_sql(CSV_SQL) + """ SELECT CASE store WHEN 'shop0' THEN 'product_name,price' WHEN 'shop1' THEN 'isim,fiyat' ELSE 'name,price (TL)' END AS header, count(DISTINCT date) AS files,
  min(date) AS first, max(date) AS last FROM csvrows GROUP BY 1""")
 def _(spark, sf):

@@ -5,10 +5,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..common import MAX_SIDE_ROWS, col
+from ..common import col
 from ..functions.prices import parse_price
 from ..functions.text import fold
 from ..operators.cells import shelf_cells
+from ..session import settle
 from .. import fixed_values as V
 
 
@@ -38,12 +39,34 @@ def owner_store(path, misfiled: Mapping[str, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(table, tail), folder_store(path))
 
 
+def _path() -> Column:
+    """Path of the file a row is from; the reader gives it URI-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _n_fields(line: Column, sep: str) -> Column:
+    """Fields of a CSV line: separators outside quotes, and one."""
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+
+
+def _fields(line: Column, n: int, sep: str) -> Column:
+    """The first ``n`` fields of a CSV line as an array; missing ones are null."""
+    parsed = F.from_csv(line, ", ".join(f"c{i} string" for i in range(n)), {"sep": sep, "escape": '"', "quote": '"', "mode": "PERMISSIVE"})
+    return F.array(*[parsed[f"c{i}"] for i in range(n)])
+
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, line, block) of every line that is not empty, without byte-order marks."""
+    return spark.read.option("recursiveFileLookup", True).text(list(paths)).select(
+        _path().alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("block")).where("line <> ''")
+
+
 def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, header) of every file: only the first line of each file leaves the scan."""
-    lines = spark.read.option("recursiveFileLookup", True).text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.regexp_replace("value", "^﻿", "").alias("header"), F.monotonically_increasing_id().alias("i"))
-    return lines.where("block = 0").groupBy("path").agg(F.min_by("header", "i").alias("header"))
+    """(path, header) of every file with a line. One row per file, taken in the task that reads its beginning."""
+    first = _lines(spark, paths).where("block = 0").withColumn("i", F.monotonically_increasing_id())
+    return first.groupBy("path").agg(F.min_by("line", "i").alias("header"))
 
 
 def header_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -52,8 +75,18 @@ def header_census(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return h.groupBy("header").agg(F.count("*").alias("files"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-def _pick(names: Sequence[str], wanted: Sequence[str]) -> str | None:
-    return next((w for w in wanted if w in names), None)
+def _layout(heads: DataFrame, extra: Mapping[str, str], sep: str) -> tuple[DataFrame, int]:
+    """Per file: number of columns, places of name and price and of known extras, and whether the first line is data."""
+    heads = heads.withColumn("columns", _n_fields(F.col("header"), sep))
+    widest = heads.agg(F.max("columns")).first()[0] or 2
+    known = F.create_map(*[F.lit(x) for kv in extra.items() for x in kv])
+    names = F.transform(_fields(F.col("header"), widest, sep), lambda c: F.coalesce(F.try_element_at(known, F.trim(c)), F.trim(c)))
+    place = lambda wanted: F.coalesce(*[F.nullif(F.array_position("_names", w), F.lit(0)) for w in wanted])
+    heads = heads.withColumn("_names", names).withColumn("_n", place(V.NAME_HEADERS)).withColumn("_p", place(V.PRICE_HEADERS))
+    bare = (F.col("_n").isNull() | F.col("_p").isNull()) & (F.col("columns") == 2)
+    extras = {c: F.when(~bare, place([c])).alias(f"_at_{c}") for c in dict.fromkeys(extra.values())}
+    return heads.select("path", "header", "columns", bare.alias("headerless"), F.when(bare, 1).otherwise(F.col("_n")).alias("name_at"),
+                        F.when(bare, 2).otherwise(F.col("_p")).alias("price_at"), *extras.values()), widest
 
 
 def read_price_files(spark: SparkSession, paths: Sequence[str], misfiled: Mapping[str, str] | None = None,
@@ -61,52 +94,35 @@ def read_price_files(spark: SparkSession, paths: Sequence[str], misfiled: Mappin
                      naming: Callable[[Column], Column] = lambda path: path) -> tuple[DataFrame, DataFrame]:
     """All files as (store, path, date, name_raw, price_text, + known extras), and the files set aside with a reason.
 
-    Files are grouped by header, because one CSV read needs one column order. Distinct headers are few (checked);
-    the files' rows never pass through the driver. ``naming`` turns a physical path into 'folder/file', for layouts
-    that keep the date in a folder name.
+    Every line is read once as text and split by its own file's header, so files of any number of layouts
+    go through one plan. Short lines keep what they have; lines with more fields than their header are
+    skipped. A file with two columns and no known header is all data. Files without a name or price column,
+    without a date in the name, or without a line are set aside (Spark's readers do not show files of no bytes). The table of headers, one row a file, is
+    settled, so Spark knows its size when it joins it. ``naming`` turns a physical path into 'folder/file'.
     """
-    heads = headers(spark, paths)
-    shapes = [r[0] for r in heads.select("header").distinct().limit(MAX_SIDE_ROWS + 1).collect()]
-    if len(shapes) > MAX_SIDE_ROWS:
-        raise ValueError("too many distinct headers; are these price files?")
-    good, bad = [], {}
-    for header in sorted(shapes):
-        raw = [c.strip().strip('"') for c in header.split(sep)]
-        names = [extra.get(c, c) for c in raw]
-        name, price = _pick(names, V.NAME_HEADERS), _pick(names, V.PRICE_HEADERS)
-        headerless = (name is None or price is None) and len(raw) == 2
-        if (name is None or price is None) and not headerless:
-            bad[header] = "no name or price column"
-            continue
-        cols = ["n", "p"] if headerless else names
-        schema = ", ".join(f"`c{i}` string" for i in range(len(cols))) + ", _bad string"
-        files = [r[0] for r in heads.where(F.col("header") == header).select("path").toLocalIterator()]
-        df = spark.read.option("recursiveFileLookup", True).option("columnPruning", False).csv(files, schema=schema, header=not headerless, sep=sep, mode="PERMISSIVE", enforceSchema=True,
-                            columnNameOfCorruptRecord="_bad", encoding="UTF-8", escape='"')
-        at = {c: F.col(f"c{i}") for i, c in enumerate(cols)}
-        more = [c for c in dict.fromkeys(extra.values()) if c in at]
-        n, p = ("n", "p") if headerless else (name, price)
-        good.append(df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(at[n], "^﻿", "").alias("name_raw"),
-                              at[p].alias("price_text"), *[at[c].alias(c) for c in more], "_bad"))
-    rejected = heads.where(F.col("header").isin(*bad)) if bad else heads.where("false")
-    rejected = rejected.select("path", F.lit("no name or price column").alias("reason"))
-    if not good:
-        raise ValueError("no readable price file")
-    rows = good[0]
-    for g in good[1:]:
-        rows = rows.unionByName(g, allowMissingColumns=True)
-    rows = rows.withColumn("store", owner_store(naming(F.col("path")), misfiled)).withColumn("date", file_date(naming(F.col("path"))))
-    undated = heads.where(file_date(naming(F.col("path"))).isNull()).select("path", F.lit("no date in the file name").alias("reason"))
-    return rows.where("_bad is null and date is not null").drop("_bad"), rejected.unionByName(undated)
+    heads = settle(headers(spark, paths), "headers")
+    layout, widest = _layout(heads, extra, sep)
+    date = file_date(naming(F.col("path")))
+    no_columns = F.col("name_at").isNull() | F.col("price_at").isNull()
+    reason = F.when(no_columns, "no name or price column").when(date.isNull(), "no date in the file name")
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select(_path().alias("path"))
+    aside = (layout.select("path", reason.alias("reason")).where("reason is not null")
+             .unionByName(every.join(heads.select("path"), "path", "left_anti").select("path", F.lit("no line to read").alias("reason"))))
+    rows = (_lines(spark, paths).join(layout.where(~no_columns), "path").where(F.col("headerless") | (F.col("line") != F.col("header")))
+            .where(_n_fields(F.col("line"), sep) <= F.col("columns")).withColumn("_f", _fields(F.col("line"), widest, sep)))
+    at = lambda c: F.try_element_at("_f", F.col(c).cast("int"))
+    extras = [at(f"_at_{c}").alias(c) for c in dict.fromkeys(extra.values())]
+    rows = rows.select(owner_store(naming(F.col("path")), misfiled).alias("store"), "path", date.alias("date"), at("name_at").alias("name_raw"),
+                       at("price_at").alias("price_text"), *extras).where("date is not null")
+    return rows, aside
 
 
 def bad_lines(spark: SparkSession, paths: Sequence[str], columns: int, sep: str = ",", header: bool = True) -> DataFrame:
-    """Lines whose field count does not fit, with their file."""
-    schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _bad string"
-    df = spark.read.option("columnPruning", False).csv(list(paths), schema=schema, header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    return df.select(F.col("_metadata.file_path").alias("path"), "c0", "_bad").where(
-        F.col("_bad").isNotNull() & (F.length(F.concat_ws("", "c0", "_bad")) >= 0)   # the reader wants a data column as well
-    ).select("path", F.col("_bad").alias("line"))
+    """Lines with more or fewer fields than ``columns``, with their file."""
+    lines = _lines(spark, paths)
+    if header:
+        lines = lines.join(headers(spark, paths), "path").where(F.col("line") != F.col("header"))
+    return lines.where(_n_fields(F.col("line"), sep) != columns).select("path", "line")
 
 
 def load_stores(spark: SparkSession, paths: Sequence[str], misfiled: Mapping[str, str] | None = None, **kw) -> DataFrame:

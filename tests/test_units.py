@@ -229,3 +229,20 @@ def test_hurdle_beats_persistence_on_a_planted_signal(spark):
     _, pred, _ = models.forecast("hurdle", {"max_iter": 3, "max_depth": 2, "min_trees": 2, "min_rows": 1}, df, block, ["dom"])
     r = pred.agg(F.avg(F.abs(F.col("pred_price") - F.col("target_price"))).alias("m"), F.avg(F.abs(F.col("base_price") - F.col("target_price"))).alias("b")).first()
     assert r.m < r.b
+
+
+def test_loader_keeps_short_lines_and_odd_paths(spark, tmp_path):
+    from shelfline.sources import files
+    shop = tmp_path / "shop a+b"
+    shop.mkdir()
+    (shop / "y z_2026-01-04.csv").write_text('name,price,kategori\nBread,2.5\n"Milk, fresh",3,x\nEggs,4,x,too,long\n\n', encoding="utf-8")
+    (shop / "2026-01-05.csv").write_text("Tea,1.5\nSugar,2\n", encoding="utf-8")
+    (shop / "2026-01-06.csv").write_text("what,ever,else\n1,2,3\n", encoding="utf-8")
+    (shop / "undated.csv").write_text("name,price\nSalt,1\n", encoding="utf-8")
+    (shop / "2026-01-07.csv").write_text("\n\n", encoding="utf-8")
+    rows, aside = files.read_price_files(spark, [str(tmp_path)])
+    got = sorted((r.store, str(r.date), r.name_raw, r.price_text, r.category) for r in rows.collect())
+    assert got == [("shop a+b", "2026-01-04", "Bread", "2.5", None), ("shop a+b", "2026-01-04", "Milk, fresh", "3", "x"),
+                   ("shop a+b", "2026-01-05", "Sugar", "2", None), ("shop a+b", "2026-01-05", "Tea", "1.5", None)]
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in aside.collect()) == [
+        ("2026-01-06.csv", "no name or price column"), ("2026-01-07.csv", "no line to read"), ("undated.csv", "no date in the file name")]
