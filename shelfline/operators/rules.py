@@ -197,8 +197,12 @@ def bootstrap_day_rates(daily: DataFrame, reps: int = V.BOOTSTRAP_REPS, seed: in
         F.transform(F.array_sort(F.collect_list(F.struct("date", "rate"))), lambda x: x["rate"]).alias("_r")))
     n = F.size("_r")
 
+    def drawn(rep: Column, i: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in (rep, i, F.col("store"), F.col("dom"))]))
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n.cast("long")).cast("int")
+
     def mean_of_draw(rep: Column) -> Column:
-        draw = F.transform("_r", lambda _, i: F.get(F.col("_r"), F.pmod(F.xxhash64(F.lit(seed), rep, i, "store", "dom"), n).cast("int")))
+        draw = F.transform("_r", lambda _, i: F.get(F.col("_r"), drawn(rep, i)))
         return F.aggregate(draw, F.lit(0.0), lambda a, x: a + x) / n
 
     sample = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(reps)), mean_of_draw))

@@ -152,9 +152,19 @@ def _(spark, sf):
     return R.shifted_rate(dense_long(spark, sf)).select("store", "date", r6("rate_lag1").alias("rate_lag1"))
 
 
-@query("r9_bootstrap_day_rates")
+def _quantile(q: float, n: int) -> str:
+    at = q * (n - 1)
+    return f"s[{int(at) + 1}] + {at - int(at)} * (s[{int(at) + 2}] - s[{int(at) + 1}])"
+
+
+@query("r9_bootstrap_day_rates", LONG + f"""
+, g AS (SELECT store, dom, count(*) AS n, avg(rate) AS rate, list(rate ORDER BY date) AS r FROM d GROUP BY ALL),
+m AS (SELECT store, dom, rep, sum(r[1 + ('0x' || substr(md5(concat_ws('|', {V.SEED}, rep, i, store, dom)), 1, 8))::BIGINT % n]) / any_value(n) AS m
+ FROM (SELECT *, unnest(range(0, n)) AS i FROM g) x, (SELECT unnest(range(1, {V.BOOTSTRAP_REPS + 1})) AS rep) y GROUP BY ALL),
+b AS (SELECT store, dom, list_sort(list(m)) AS s FROM m GROUP BY ALL)
+SELECT store, dom, n AS n_dates, round(rate, 6) AS rate, round({_quantile(0.05, V.BOOTSTRAP_REPS)}, 6) AS lo, round({_quantile(0.95, V.BOOTSTRAP_REPS)}, 6) AS hi FROM g JOIN b USING (store, dom)""")
 def _(spark, sf):
-    return R.bootstrap_day_rates(long_daily(spark, sf), reps=200, min_products=MIN)
+    return rounded(R.bootstrap_day_rates(long_daily(spark, sf), min_products=MIN), ["rate", "lo", "hi"])
 
 
 SPLIT = LONG + f"""
