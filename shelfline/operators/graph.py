@@ -1,10 +1,38 @@
 """Connected components by alternating stars, for graphs of any diameter and any degree."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shelfline.session import settle
 
+CHUNK_EDGES = 400_000       # edges that one task contracts at a time
+
+
+def _stars_of(batches):
+    """The edges of one task as stars: every node linked to the smallest it reaches over these edges."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for b in batches:
+        for x, y in zip(b["u"].tolist(), b["v"].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if root[x] != x]
+    yield pd.DataFrame({"u": nodes, "v": [find(x) for x in nodes]}) if nodes else b.iloc[:0]
+
+
+def _contract(edges: DataFrame, n: int) -> DataFrame:
+    def stars(batches):
+        batches = list(batches)
+        return _stars_of(batches) if batches else iter(())
+    return edges.repartition(n).mapInPandas(stars, edges.schema)
+
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """Each node's smallest neighbour, itself included. Combined map-side, so a hub is one row per task."""
@@ -25,23 +53,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", chunk: int = CHUNK_EDGES) -> DataFrame:
     """(node, component) for every node of an edge: the smallest node reachable over the edges.
 
-    Large-star and small-star steps alternate until the edges stand still, which takes a number of rounds
-    that grows with the logarithm of the graph's size, not with its diameter. No node's neighbours meet in
-    one row: minima are combined map-side and joined back, and AQE splits the join of a hub. Each round is
-    one settled table. Loops, repeated edges and an empty table are fine; a null end is no edge.
+    First each task replaces a chunk of at most about ``chunk`` edges by stars. If there was more than one
+    chunk, large-star and small-star steps alternate until the edges stand still, which takes a number of
+    rounds that grows with the logarithm of the graph's size, not with its diameter. No node's neighbours
+    meet in one row: minima are combined map-side and joined back, and AQE splits the join of a hub. Each
+    round is one settled table. Loops, repeated edges and an empty table are fine; a null end is no edge.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    ends = settle(ends, "edges")
     alone = ends.where("u = v").select("u").distinct()
-    edges, seen = settle(ends.where("u <> v").distinct(), "edges"), None
-    while True:
+    chunks = max(1, -(-ends.where("u <> v").count() // chunk))
+    edges, seen = settle(_contract(ends.where("u <> v"), chunks), "stars"), None
+    while chunks > 1:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == tuple(state):
             break
         seen = tuple(state)
-        edges = settle(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), "stars")
+        edges = settle(_small_star(_large_star(edges).where("u <> v")).where("u <> v").distinct(), "stars")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     inner = stars.unionByName(roots)
