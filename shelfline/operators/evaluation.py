@@ -53,6 +53,19 @@ def evaluate(frame: DataFrame, keys: Sequence[str] = ("block", "model"), pred: s
     return price_metrics(long, [*keys, "subset"], "_p")
 
 
+def block_summary(results: DataFrame, model: str, baseline: str = "persistence_causal_regular") -> DataFrame:
+    """One row per block: error, direction and rows of the baseline and the model on data target days, and the
+    error of the whole system, where the model speaks on data days only and the base price stands otherwise."""
+    data, whole = SUBSETS[2], SUBSETS[3]
+
+    def of(name: str, subset: str, column: str, out: str) -> Column:
+        return F.max(F.when((F.col("model") == name) & (F.col("subset") == subset), F.col(column))).alias(out)
+    return results.groupBy("block").agg(
+        of(baseline, data, "rows", "data_rows"), of(baseline, data, "mae", "dummy_mae"), of(model, data, "mae", "model_mae"),
+        of(baseline, data, "rmse", "dummy_rmse"), of(model, data, "rmse", "model_rmse"),
+        of(baseline, whole, "mae", "system_dummy_mae"), of(model, whole, "mae", "system_model_mae"))
+
+
 def add_improvement(results: DataFrame) -> DataFrame:
     """Improvement over each persistence variant and the better one, per block and subset."""
     refs = results.groupBy("block", "subset").agg(*[

@@ -368,6 +368,24 @@ def first_source(sources: Sequence[DataFrame], key: str = "name") -> DataFrame:
     return all_rows.groupBy(key).agg(F.min(F.struct("_p", *others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others])
 
 
+def name_map(post: DataFrame, pre_map: DataFrame) -> DataFrame:
+    """Every name with series, method and era: later names by their main ID, earlier ones as mapped.
+
+    A name of both eras has a row for each; ``pre_id_method`` of its later row says how the early one was mapped.
+    """
+    early = pre_map.select("name", "series_id", "method")
+    later = main_ids(post).select("name", "series_id", "method").join(early.select("name", F.col("method").alias("pre_id_method")), "name", "left")
+    return (later.withColumn("era", F.lit("id_era"))
+            .unionByName(early.withColumn("pre_id_method", F.col("method")).withColumn("era", F.lit("pre_id"))))
+
+
+def unassigned_by_month(group_rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups without a link, and their rows, by the month in which they were last seen. ``group_rows``: group, date."""
+    last = group_rows.groupBy("group").agg(F.max("date").alias("last"), F.count("*").alias("rows"))
+    return (last.join(links.select("group").distinct(), "group", "left_anti").groupBy(F.date_format("last", "yyyy-MM").alias("month"))
+            .agg(F.count("*").alias("groups"), F.sum("rows").alias("rows")))
+
+
 def method_rank(method: Column, ranks: Mapping[str, int] = V.METHOD_RANK) -> Column:
     table = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
     return F.try_element_at(table, F.split_part(method, F.lit("+"), F.lit(1)))

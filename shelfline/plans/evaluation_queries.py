@@ -95,6 +95,17 @@ def _(spark, sf):
     return metric_round(results(spark, sf))
 
 
+_H25 = {f"{who}_{m}": (model, m) for m in ("mae", "rmse") for who, model in (("dummy", "persistence_causal_regular"), ("model", "rolling_mean"))}
+
+
+@query("h25_block_summary", EVAL + " SELECT block, max(rows) FILTER (model = 'persistence_causal_regular' AND subset = 'data target days') AS data_rows, " + ", ".join(
+    f"round(max({m}) FILTER (model = '{model}' AND subset = 'data target days'), 4) AS {name}" for name, (model, m) in _H25.items()) + ", " + ", ".join(
+    f"round(max(mae) FILTER (model = '{_H25[who + '_mae'][0]}' AND subset = 'global (model on data days)'), 4) AS system_{who}_mae" for who in ("dummy", "model")) + " FROM ev GROUP BY block")
+def _(spark, sf):
+    out = E.block_summary(results(spark, sf), "rolling_mean")
+    return out.select(*[r6(c, 4).alias(c) if c.endswith(("mae", "rmse")) else F.col(c) for c in out.columns])
+
+
 IM = ["impr_vs_causal_regular_pct", "impr_vs_shelf_pct", "impr_vs_best_pct"]
 
 

@@ -228,6 +228,25 @@ def _(spark, sf):
     return M.one_name_per_day(pre_map, pre)
 
 
+@query("l7_id_era_names", with_sql(NAMES) + """
+, c AS (SELECT name, product_id, count(*) AS n FROM kept WHERE product_id IS NOT NULL GROUP BY ALL)
+SELECT name, product_id AS series_id, CASE WHEN k > 1 THEN '0_id_era_multi_id' ELSE '0_id_era' END AS method, 'id_era' AS era
+FROM (SELECT *, count(*) OVER (PARTITION BY name) AS k, row_number() OVER (PARTITION BY name ORDER BY n DESC, product_id) AS r FROM c) WHERE r = 1""")
+def _(spark, sf):
+    pre, post = eras(spark, sf)
+    exact = M.exact_matches(pre, post).where("series_id is not null").select("name", "series_id", F.lit("1_exact").alias("method"))
+    return M.name_map(post, exact).where("era = 'id_era'").select("name", "series_id", "method", "era")
+
+
+@query("l10_unassigned_by_month", with_sql(RULES) + """
+, l AS (SELECT name, max(date) AS last, count(*) AS rows FROM kept WHERE product_id IS NULL AND name IN (SELECT name FROM todo) GROUP BY name)
+SELECT strftime(last, '%Y-%m') AS month, count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows FROM l WHERE name NOT IN (SELECT name FROM ruled WHERE series_id IS NOT NULL) GROUP BY 1""")
+def _(spark, sf):
+    rules, _, pre, _ = ruled(spark, sf)
+    rows = pre.join(rules.select("name"), "name").select(F.col("name").alias("group"), "date")
+    return M.unassigned_by_month(rows, rules.where("series_id is not null").select(F.col("name").alias("group")))
+
+
 @query("l9_panel_fully_mapped", with_sql(NAMES) + " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS unmapped FROM kept")
 def _(spark, sf):
     pre_map, pre, _ = full_map(spark, sf)
