@@ -15,6 +15,8 @@ PERCENT = 80
 BLOCK_ROWS = 1_000          # sets of a block that one tree holds
 PIVOTS = 16                 # sets that every part of a split block also holds
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
+COMMON_DOCS = 4             # different sets of a batch that make an n-gram common there
+COMMON_GRAMS = 400_000      # common n-grams that tasks know, at most
 
 
 def ngram_sets(texts, n: int) -> list[np.ndarray]:
@@ -56,41 +58,56 @@ class Segments:
     Sizes fall into classes so wide that linked sets are in the same or in neighbouring classes; a set has
     keys for its own class and the next. In a class, two linked sets differ in at most d n-grams. The order
     of n-grams is cut into m > d stretches, so m - d stretches or more hold the same n-grams in both: the
-    class, the stretch and its n-grams are a key. A set that leaves more stretches empty than m - d - 1, so
-    that the common ones might all be empty, also has its single n-grams up to the prefix length as keys.
+    class, the stretch and its n-grams are a key. ``common`` n-grams (any set of them) are left out of the
+    stretches, so that a passage of many documents makes no keys. What is common to both may then be empty
+    stretches only; a set with more than m - d - 1 empty ones therefore has keys over all its n-grams too,
+    and if those leave as many stretches empty, its single n-grams up to the prefix length.
     """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent, self.low = percent, [1]
+        self.common = np.zeros(0, np.uint64) if common is None else np.sort(common)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.common & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def _class_of(self, size: int) -> int:
         while self.low[-1] <= size:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.low, size, "right")) - 1
 
+    def _rare(self, s: np.ndarray) -> np.ndarray:
+        out = np.flatnonzero(self.maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if not len(out) or not len(self.common):
+            return s
+        at = np.minimum(np.searchsorted(self.common, s[out]), len(self.common) - 1)
+        return np.delete(s, out[self.common[at] == s[out]])
+
+    @staticmethod
+    def _stretches(s: np.ndarray, m: int, tag: int) -> np.ndarray:
+        if not len(s):
+            return s
+        stretch = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+        return mix(np.add.reduceat(mix(s + np.uint64(7)), start) + mix((stretch[start] << np.uint64(20)) + np.uint64(tag)))
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         if not len(s):
             return s
-        own, found, mixed = self._class_of(len(s)), [], mix(s + np.uint64(7))
+        own, found, rare = self._class_of(len(s)), [], self._rare(s)
         for c in (own, own + 1):
             self._class_of(self.low[c])
             d = 2 * (self.low[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 1 + d // 16
+            spare = 1 + d // 8
             m = d + 1 + spare
-            stretch = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            start = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
-            head = mix((stretch[start] << np.uint64(20)) + np.uint64(c * 2 + 1))
-            found.append(mix(np.add.reduceat(mixed, start) + head))
-            if m - len(start) > spare:
+            found.append(self._stretches(rare, m, 4 * c))
+            if m - len(found[-1]) > spare and len(rare) < len(s):
+                found.append(self._stretches(s, m, 4 * c + 1))
+            if m - len(found[-1]) > spare:
                 prefix = len(s) - -(-len(s) * self.percent // 100) + 1
-                found.append(mix(s[:prefix] + mix(np.array([c * 2 + 2], np.uint64))))
+                found.append(mix(s[:prefix] + mix(np.array([4 * c + 2], np.uint64))))
         return np.concatenate(found)
 
 
-def _linked(inter: int, a: int, b: int, percent: int) -> bool:
-    return 100 * inter >= percent * (a + b - inter)
-
-
 class Forest:
     """Smallest-root union-find over positions."""
 
@@ -109,119 +126,138 @@ class Forest:
         return a != b
 
 
-class _Node:
-    __slots__ = ("gram", "kids", "members", "least", "most", "any", "mixed")
-
-    def __init__(self, gram: np.ndarray):
-        self.gram, self.kids, self.members, self.least, self.most, self.any, self.mixed = gram, {}, [], 1 << 60, 0, None, False
-
-    def note(self, size: int, member: int, forest: Forest) -> None:
-        """A set is added below. ``mixed`` says that the sets below were of several components at that time."""
-        self.least, self.most = min(self.least, size), max(self.most, size)
-        if self.any is None:
-            self.any = member
-        elif not self.mixed and forest.find(self.any) != forest.find(member):
-            self.mixed = True
-
-
 class PrefixTree:
-    """A path-compressed trie of sorted n-gram sets.
+    """A path-compressed trie of n-gram sets, kept level by level in arrays.
 
-    Sets with a common beginning share the nodes of it, and a probe's overlap with them is counted once.
-    ``least`` and ``most`` are the sizes of the sets below a node.
+    The order of n-grams is by falling frequency among the sets, so that similar sets begin alike and share
+    nodes. A probe's overlap with a node is counted once for all sets below it, for a whole level at a time.
     """
 
-    def __init__(self, percent: int, forest: Forest):
-        self.root, self.percent, self.forest = _Node(np.zeros(0, np.uint64)), percent, forest
-
-    def add(self, s: np.ndarray, member: int) -> None:
-        node, at = self.root, 0
-        while True:
-            node.note(len(s), member, self.forest)
-            if at == len(s):
-                node.members.append(member)
-                return
-            kid = node.kids.get(int(s[at]))
-            if kid is None:
-                kid = node.kids[int(s[at])] = _Node(s[at:])
-                kid.note(len(s), member, self.forest)
-                kid.members.append(member)
-                return
-            n = min(len(kid.gram), len(s) - at)
-            differ = np.flatnonzero(kid.gram[:n] != s[at:at + n])
-            same = int(differ[0]) if len(differ) else n
-            if same < len(kid.gram):
-                upper = _Node(kid.gram[:same])
-                upper.least, upper.most, upper.any, upper.mixed = kid.least, kid.most, kid.any, kid.mixed
-                kid.gram = kid.gram[same:]
-                upper.kids[int(kid.gram[0])] = kid
-                node.kids[int(s[at])] = kid = upper
-            node, at = kid, at + same
-
-    def _possible(self, got: int, passed: int, depth: int, size: int, node: _Node) -> bool:
-        """Whether a set below may still link: its overlap is at most got plus what is left on either side."""
-        best = got + min(size - passed, node.most - depth)
-        return _linked(min(best, size), size, max(node.least, best), self.percent)
-
-    def connect(self, s: np.ndarray, member: int, out: list[tuple[int, int]]) -> None:
-        """Joins ``member`` to every component that holds a set linked to ``s``.
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        vocabulary, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(vocabulary))
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        tokens = rank[inverse]
+        tokens = tokens[np.lexsort((tokens, owner))]
+        self.words, self.sets = len(vocabulary), np.split(tokens, np.cumsum([len(s) for s in sets])[:-1])
+        order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
+        length = np.array([len(self.sets[i]) for i in order])
+        same = np.zeros(len(order), np.int64)                   # n-grams that a set shares with the one before it
+        for k in range(1, len(order)):
+            x, y = self.sets[order[k - 1]], self.sets[order[k]]
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(x[:n] != y[:n])
+            same[k] = differ[0] if len(differ) else n
+        self.levels = []
+        open_ = [(lo, hi, 0, 0) for lo, hi in self._cut(same, 0, len(order), 0)]
+        while open_:
+            grams, rows, members, below = [], [], [], []
+            for at, (lo, hi, depth, parent) in enumerate(open_):
+                end = min(int(same[lo + 1:hi].min()), int(length[lo])) if hi - lo > 1 else int(length[lo])
+                grams.append(self.sets[order[lo]][depth:end])
+                rows.append((parent, end, int(grams[-1][-1]), int(length[lo:hi].min()), int(length[lo:hi].max())))
+                while lo < hi and length[lo] == end:
+                    members.append((at, order[lo]))
+                    lo += 1
+                below += [(x, y, end, at) for x, y in self._cut(same, lo, hi, end)]
+            start = np.cumsum([0, *[len(g) for g in grams[:-1]]])
+            self.levels.append((np.concatenate(grams), start, *np.array(rows).T, np.array(members, np.int64).reshape(-1, 2).T))
+            open_ = below
+
+    @staticmethod
+    def _cut(same: np.ndarray, lo: int, hi: int, depth: int) -> list[tuple[int, int]]:
+        """Runs of sets in order that agree beyond ``depth``."""
+        cuts = [lo, *(lo + 1 + np.flatnonzero(same[lo + 1:hi] <= depth)).tolist(), hi]
+        return [(x, y) for x, y in zip(cuts[:-1], cuts[1:]) if x < y]
+
+    def linked(self, probe: int) -> np.ndarray:
+        """Sets linked to a set of the tree, itself included.
 
         Down a path, ``got`` n-grams are common, ``passed`` of the probe's and ``depth`` of the path's lie
-        behind. Subtrees that cannot link, or whose sets are all connected to the probe by now, are left out.
+        behind. The overlap cannot exceed got plus what is left on either side; a subtree whose smallest
+        union is too large for that goes, and a level without any other ends the search.
         """
-        find, size = self.forest.find, len(s)
-        stack = [(self.root, 0, 0, 0)] if self.root.any is not None else []
-        while stack:
-            node, got, passed, depth = stack.pop()
-            if not node.mixed and find(node.any) == find(member) or not self._possible(got, passed, depth, size, node):
-                continue
-            at, step, possible = 0, 64, True
-            while at < len(node.gram) and possible:
-                piece = node.gram[at:at + step]
-                here = np.searchsorted(s, piece)
-                got += int((s[np.minimum(here, size - 1)] == piece).sum())
-                passed, depth = max(passed, int(np.searchsorted(s, piece[-1], "right"))), depth + len(piece)
-                possible = self._possible(got, passed, depth, size, node)
-                at, step = at + step, step * 2
-            if not possible:
-                continue
-            for m in node.members:
-                if find(m) != find(member) and _linked(got, size, depth, self.percent):
-                    self.forest.join(m, member)
-                    out.append((m, member))
-            stack += [(kid, got, passed, depth) for kid in node.kids.values()]
+        own = self.sets[probe]
+        size, mark, found = len(own), np.zeros(self.words, np.int64), []
+        mark[own] = 1
+        behind = np.cumsum(mark)
+        got, alive = np.zeros(1, np.int64), np.ones(1, bool)
+        for grams, start, parent, depth, last, least, most, (at, member) in self.levels:
+            got, alive = got[parent] + np.add.reduceat(mark[grams], start), alive[parent]
+            best = np.minimum(got + np.minimum(size - behind[last], most - depth), size)
+            alive = alive & (100 * best >= self.percent * (size + np.maximum(least, best) - best))
+            if not alive.any():
+                break
+            ends = alive[at] & (100 * got[at] >= self.percent * (size + depth[at] - got[at]))
+            found.append(member[ends])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def spanning_links(sets: list[np.ndarray], start: list[int], percent: int, needed: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what links connect, given that equal ``start`` values are connected already.
 
-    Sets go into the trees from the smallest to the largest. A pair in one component by then is not
-    compared. If ``needed`` is given, pairs of two sets that are both not needed are left out.
+    If ``needed`` is given, pairs of two sets that are both not needed are left out. The search ends when
+    all sets are one component.
     """
     forest, seen, out = Forest(len(sets)), {}, []
-    for i, c in enumerate(start):
-        forest.join(i, seen.setdefault(c, i))
-    asked, other = PrefixTree(percent, forest), PrefixTree(percent, forest)
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        if not len(sets[i]):
+    some = [i for i, s in enumerate(sets) if len(s)]
+    left = len(some)
+    for i in some:
+        left -= forest.join(i, seen.setdefault(start[i], i))
+    if left < 2:
+        return out
+    tree = PrefixTree([sets[i] for i in some], percent)
+    for k, i in enumerate(some):
+        if needed is not None and not needed[i]:
             continue
-        mine = needed is None or bool(needed[i])
-        asked.connect(sets[i], i, out)
-        if mine:
-            other.connect(sets[i], i, out)
-        (asked if mine else other).add(sets[i], i)
+        for other in tree.linked(k):
+            j = some[other]
+            if forest.join(i, j):
+                out.append((i, j))
+                left -= 1
+        if left < 2:
+            break
     return out
 
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the 128-bit digest of the n-gram set, per row."""
+    """Per row doc_id, n_shingles and the 128-bit digest of the n-gram set (``docs`` is 0), and per task the
+    n-grams that at least COMMON_DOCS different sets of one batch hold (doc_id null, h1 the n-gram, ``docs``
+    how many): one pass over all texts for both."""
     def sign(batches):
         for b in batches:
             sets = ngram_sets(b["text"], n)
             d = [digest(s) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_shingles": np.array([len(s) for s in sets], np.int64),
-                                "h1": np.array([x[0] for x in d], np.int64), "h2": np.array([x[1] for x in d], np.int64)})
-    return documents.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, h1 long, h2 long")
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": np.array([len(s) for s in sets], np.int64),
+                                "h1": np.array([x[0] for x in d], np.int64), "h2": np.array([x[1] for x in d], np.int64), "docs": np.int64(0)})
+            different = list(dict(zip(d, sets)).values())
+            grams = np.sort(np.concatenate(different)) if different else np.zeros(0, np.uint64)
+            at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+            held = np.diff(np.append(at, len(grams)))
+            often = held >= COMMON_DOCS
+            if often.any():
+                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": np.int64(0),
+                                    "h1": signed(grams[at[often]]), "h2": np.int64(0), "docs": held[often].astype(np.int64)})
+    return documents.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, h1 long, h2 long, docs long")
+
+
+def common_grams(signs: DataFrame, most: int) -> np.ndarray:
+    """The most frequent n-grams, ``most`` at most, as far as a threshold on a power of two allows.
+
+    Any set of n-grams gives exact results; this one keeps passages of many documents from making candidate
+    pairs. Its size is bounded by the parameter, so it is sent to the tasks.
+    """
+    counts = settle(signs.where("docs > 0").groupBy("h1").agg(F.sum("docs").alias("docs")), "common")
+    sizes = {r["p"]: r["n"] for r in counts.groupBy(F.floor(F.log2("docs")).alias("p")).agg(F.count("*").alias("n")).collect()}
+    total, power = 0, max(sizes, default=0) + 1
+    for p in sorted(sizes, reverse=True):
+        total += sizes[p]
+        if total > most:
+            break
+        power = p
+    return np.array([r["h1"] for r in counts.where(F.col("docs") >= 2 ** int(power)).select("h1").toLocalIterator()], np.int64).view(np.uint64)
 
 
 def _chain(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +269,7 @@ def _chain(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(([True], ~again)) if len(key) else np.zeros(0, bool), order, edge[edge[:, 0] != edge[:, 1]]
 
 
-def candidates(documents: DataFrame, n: int, percent: int) -> DataFrame:
+def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a key of ``Segments``; settled.
 
     Keys of a chunk of documents are thinned before the shuffle: of the documents with a key in common one
@@ -241,7 +277,7 @@ def candidates(documents: DataFrame, n: int, percent: int) -> DataFrame:
     k documents makes k - 1 edges, never all pairs.
     """
     def emit(batches):
-        maker = Segments(percent)
+        maker = Segments(percent, common)
         for b in batches:
             ids = b["doc_id"].to_numpy()
             for at in range(0, len(b), 2000):
@@ -294,13 +330,15 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
     4. Components of all links found.
 
     Null or empty texts have no shingles and link with nothing. A null doc_id links with nothing and has a
-    null component. Rows that repeat a doc_id share its component. Other columns are not read.
+    null component. Rows that repeat a doc_id with other texts share the smallest of their components. Other
+    columns are not read.
     """
-    signs = settle(signatures(documents, n), "signatures")
+    passed = settle(signatures(documents, n), "signatures")
+    signs = passed.where("docs = 0").drop("docs")
     sets = signs.where("doc_id is not null and n_shingles > 0").select("doc_id", "h1", "h2").distinct()
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     copies = settle(sets.join(reps, ["h1", "h2"]).select("doc_id", "rep"), "copies")
-    edges = candidates(documents, n, percent)
+    edges = candidates(documents, n, percent, common_grams(passed, COMMON_GRAMS))
     blocks = components(edges)
     members = (copies.where("doc_id = rep").join(blocks, copies["doc_id"] == blocks["node"])
                .select("doc_id", F.col("component").alias("block")))
@@ -326,8 +364,9 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
     links = settle(_compare(with_texts(first), n, percent), "links")
     if not split.isEmpty():
         links = settle(links.unionByName(_across(split, links, with_texts, n, percent)), "links")
-    links = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    comp = components(links).select(F.col("node").alias("doc_id"), "component")
+    comp = components(links)
+    comp = (copies.join(comp, copies["rep"] == comp["node"], "left")
+            .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component")))
     return (signs.join(comp, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 

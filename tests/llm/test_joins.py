@@ -51,6 +51,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed,n,percent,block", [(1, 4, 85, 1000), (2, 5, 80, 1000), (3, 4, 85, 3), (4, 3, 60, 4)])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, n, percent, block):
+    monkeypatch.setattr(ngram_join, "COMMON_DOCS", 2 + seed)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(ngram_join, "PIVOTS", 1 if block < 10 else 16)
     texts = corpus(seed)
@@ -61,10 +62,11 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, n, percent, block)
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(percent)
-    maker = ngram_join.Segments(percent)
+    pool = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))
+    maker = ngram_join.Segments(percent, pool)
     for _ in range(1500):
         size = int(rng.choice([1, 2, 3, 5, 8, 13, 21, 40, 100, 300]))
-        a = np.unique(rng.integers(0, 2 ** 63, size).astype(np.uint64))
+        a = np.unique(np.concatenate([rng.integers(0, 2 ** 63, size).astype(np.uint64), rng.choice(pool, int(rng.choice([0, 1, 5, 40, 300])))]))
         drop = rng.integers(0, int(len(a) * (1 - percent / 100)) + 1)
         keep = rng.permutation(a)[drop:]
         add = rng.integers(0, max(1, int(len(a) * (100 / percent - 1))) + 1)
