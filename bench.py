@@ -12,7 +12,7 @@ HEADLINE = (
     "flagship_change_days", "e1_max_price_per_cell", "t1_sale_filter_events", "t1_sale_filter_sparse",
     "t2_t4_causal_grid_events", "e15_daily_store_rates", "e21_threshold_sensitivity", "e23_boundary_summary",
     "b1_price_text_to_number", "b6_health_summary", "f23_row_features", "t6_sale_window_sensitivity",
-    "r4_rolling_origins", "r8_rule_summary", "h8_h9_subset_evaluation", "h17_policies", "l1_exact_matches",
+    "r4_rolling_origins", "r8_rule_summary", "h8_h9_subset_evaluation", "h17_policies", "l1_exact_matches", "a5_a7_a8_load_stores", "h25_block_summary",
 )
 
 
