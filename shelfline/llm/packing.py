@@ -34,6 +34,45 @@ def _encoder(tokenizer_json: str):
     return _workers[key]
 
 
+def _printable() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
+_ALPHABET = _printable()
+
+
+def _fresh_words(new: list[str], cache: dict[str, bytes], tokenizer) -> dict[str, bytes]:
+    """Ids of words that the cache does not hold. Letters, and letters with stops behind them, are cut into
+    letters and stops, as the tokenizer's own pattern cuts them; the rest goes through it whole."""
+    fresh: dict[str, bytes] = {}
+    model, rest = tokenizer.model, []
+
+    def letters(word: str) -> bytes:
+        found = cache.get(word) or fresh.get(word)
+        if found is None:
+            found = np.array([t.id for t in model.tokenize(word.encode("utf-8").decode("latin-1").translate(_ALPHABET))], "<u4").tobytes()
+            fresh[word] = found
+        return found
+
+    def stops(tail: str) -> bytes:
+        found = cache.get(tail) or fresh.get(tail)
+        if found is None:
+            found = fresh[tail] = np.array(tokenizer.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+    for w in new:
+        base = w.rstrip(".,;:!?")
+        if not base.isalpha():
+            rest.append(w)
+        elif len(base) == len(w):
+            letters(w)
+        else:
+            fresh[w] = letters(base) + stops(w[len(base):])
+    fresh.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+    return fresh
+
+
 def token_bytes(texts: list[str | None], tokenizer_json: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, exactly as the tokenizer gives them.
 
@@ -49,7 +88,7 @@ def token_bytes(texts: list[str | None], tokenizer_json: str) -> list[bytes]:
         new = list(set().union(*cut).difference(cache))
         known = cache
         if new:
-            fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            fresh = _fresh_words(new, cache, tokenizer)
             if len(cache) + len(fresh) <= CACHE_WORDS:
                 cache.update(fresh)
             else:

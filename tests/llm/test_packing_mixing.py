@@ -13,7 +13,8 @@ from shelfline.llm import mixing, packing
 from shelfline.llm.queries import tokenizer_path
 
 TEXTS = [None, "", " ", "Hello, World! it's 42", "ÄÖÜ straße İstanbul ΣΑΣ", "a\x1cb\x85c\xa0d", "x<|endoftext|>y <|ENDOFTEXT|>", "été ⅷ ½²", "wort " * 6000,
-         "'s 'LL it'S don't", "日本語 テキスト", "a­b _under_ ##"]
+         "'s 'LL it'S don't", "日本語 テキスト", "a­b _under_ ##",
+         "été, naïve! çœur... ßtraße? ÿ; ñandú: a,b ª º µ'll. don't, x.y ...", "thĳs ŉ ĸ."]
 
 
 def test_ids_equal_the_tokenizer():
