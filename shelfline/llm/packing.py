@@ -13,7 +13,7 @@ from shelfline.session import settle
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000       # words whose ids a Python worker remembers
+CACHE_WORDS = 300_000       # words whose ids a Python worker remembers
 GROUP_ROWS = 50_000         # pieces of one length that are numbered in one group
 
 # Texts of these characters may be lower-cased and cut at blanks before tokenizing: none of them combines
@@ -81,21 +81,18 @@ def token_bytes(texts: list[str | None], tokenizer_json: str) -> list[bytes]:
     """
     tokenizer, cache, simple = _encoder(tokenizer_json)
     out: list[bytes] = []
-    for at in range(0, len(texts), 200):
-        parts = [t or "" for t in texts[at:at + 200]]
+    for at in range(0, len(texts), 400):
+        parts = [t or "" for t in texts[at:at + 400]]
         plain = [bool(simple(t)) and "<|" not in t for t in parts]
         cut = [t.lower().split() if ok else [] for t, ok in zip(parts, plain)]
-        new = list(set().union(*cut).difference(cache))
-        known = cache
-        if new:
-            fresh = _fresh_words(new, cache, tokenizer)
-            if len(cache) + len(fresh) <= CACHE_WORDS:
-                cache.update(fresh)
-            else:
-                known = {w: cache[w] if w in cache else fresh[w] for ws in cut for w in ws}
+        fresh = _fresh_words(list(set().union(*cut).difference(cache)), cache, tokenizer)
+        cache.update(fresh)
         for t, ok, ws in zip(parts, plain, cut):
-            out.append(b"".join(map(known.__getitem__, ws)) if ok
+            out.append(b"".join(map(cache.__getitem__, ws)) if ok
                        else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+        if len(cache) > CACHE_WORDS:          # the cache is full: words of these texts alone are forgotten again
+            for w in fresh:
+                del cache[w]
     return out
 
 
