@@ -14,8 +14,10 @@ WORDS = 5
 PERCENT = 80
 BLOCK_ROWS = 1_000          # sets of a block that one tree holds
 PIVOTS = 16                 # sets that every part of a split block also holds
+KEYS_PER_TASK = 2_000_000   # candidate keys that a task compares, about
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
-COMMON_DOCS = 4             # different sets of a batch that make an n-gram common there
+SIGN_ROWS = 3_000           # documents of a batch in which n-grams are counted
+COMMON_DOCS = 3             # different sets of a batch that make an n-gram common there
 COMMON_GRAMS = 400_000      # common n-grams that tasks know, at most
 
 
@@ -227,7 +229,7 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
     n-grams that at least COMMON_DOCS different sets of one batch hold (doc_id null, h1 the n-gram, ``docs``
     how many): one pass over all texts for both."""
     def sign(batches):
-        for b in batches:
+        for b in (whole.iloc[at:at + SIGN_ROWS] for whole in batches for at in range(0, len(whole), SIGN_ROWS)):
             sets = ngram_sets(b["text"], n)
             d = [digest(s) for s in sets]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": np.array([len(s) for s in sets], np.int64),
@@ -269,9 +271,12 @@ def _chain(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(([True], ~again)) if len(key) else np.zeros(0, bool), order, edge[edge[:, 0] != edge[:, 1]]
 
 
-def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
+def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray | None, grams: int) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a key of ``Segments``; settled.
 
+    ``grams`` is the number of n-grams of all sets. From it follows how many tasks the keys are dealt to: a
+    pair with many keys in common is found by each task that gets one of them.
+
     Keys of a chunk of documents are thinned before the shuffle: of the documents with a key in common one
     goes on, and the others are chained to it. So a frequent key is one row per chunk, and a key shared by
     k documents makes k - 1 edges, never all pairs.
@@ -285,22 +290,23 @@ def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray |
                 doc = np.repeat(ids[at:at + 2000], [len(k) for k in keys])
                 key = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
                 first, order, edge = _chain(key, doc)
-                yield pd.DataFrame({"key": key[order][first], "a": doc[order][first], "b": pd.array([None] * int(first.sum()), "Int64")})
+                alone = doc[order][first]
+                yield pd.DataFrame({"key": key[order][first], "a": alone, "b": alone})
                 if len(edge):
-                    yield pd.DataFrame({"key": signed(mix(edge[:, 0].astype(np.uint64))), "a": edge[:, 0],
-                                        "b": pd.array(edge[:, 1], "Int64")})
+                    yield pd.DataFrame({"key": signed(mix(edge[:, 0].astype(np.uint64))), "a": edge[:, 0], "b": edge[:, 1]})
 
     def join(batches):
-        found = [b for b in batches]
-        if found:
-            rows = pd.concat(found)
-            pair = rows["b"].notna().to_numpy()
-            _, _, edge = _chain(rows["key"].to_numpy()[~pair], rows["a"].to_numpy()[~pair])
-            own = rows[pair][["a", "b"]].astype("int64").to_numpy()
-            edge = np.unique(np.concatenate([edge, own]), axis=0)
+        parts = [b.to_numpy(np.int64) for b in batches]
+        if parts:
+            key, a, b = np.concatenate(parts).T
+            parts.clear()
+            pair = a != b
+            _, _, edge = _chain(key[~pair], a[~pair])
+            edge = np.unique(np.concatenate([edge, np.stack([a[pair], b[pair]], 1)]), axis=0)
             yield pd.DataFrame({"a": edge[:, 0], "b": edge[:, 1]})
     rows = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(emit, "key long, a long, b long")
-    return settle(rows.repartition("key").mapInPandas(join, "a long, b long").distinct(), "candidates")
+    tasks = max(1, -(-grams * 3 * (100 - percent) // (100 * KEYS_PER_TASK)))
+    return settle(rows.repartition(tasks, "key").mapInPandas(join, "a long, b long").distinct(), "candidates")
 
 
 def _compare(members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -338,7 +344,8 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
     sets = signs.where("doc_id is not null and n_shingles > 0").select("doc_id", "h1", "h2").distinct()
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     copies = settle(sets.join(reps, ["h1", "h2"]).select("doc_id", "rep"), "copies")
-    edges = candidates(documents, n, percent, common_grams(passed, COMMON_GRAMS))
+    grams = signs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    edges = candidates(documents, n, percent, common_grams(passed, COMMON_GRAMS), grams)
     blocks = components(edges)
     members = (copies.where("doc_id = rep").join(blocks, copies["doc_id"] == blocks["node"])
                .select("doc_id", F.col("component").alias("block")))
@@ -346,7 +353,8 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
     members = settle(members.join(sizes, "block"), "members")
     parts = F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")
     where = F.when(F.col("size") <= BLOCK_ROWS, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), parts)).cast("int")
-    texts = documents.select("doc_id", "text")
+    # only members' texts are read again and again, so they are set aside once
+    texts = settle(documents.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
     def with_texts(rows: DataFrame) -> DataFrame:
         """Rows (doc_id, block, part, comp, needed) with their texts and a bin of about BIN_ROWS rows."""
