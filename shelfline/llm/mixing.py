@@ -5,13 +5,13 @@ import heapq
 from collections.abc import Mapping
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_CHARS = 50_000        # characters of a block
 TEMPER = 0.7                # target weights are shares of characters to this power, unless given
 PERIOD = 4096               # slots of one turn of the schedule, at least
-GROUP_ROWS = 50_000         # rows of a source that are summed in one group
+GROUP_ROWS = 5_000          # rows of a source, texts included, that are summed in one group
 
 
 def quantise(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -128,16 +128,15 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
     inside = Window.partitionBy("_source", "_group").orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = (salted.withColumn("_to", F.sum("mix_chars").over(inside)).join(offset, ["_source", "_group"])
            .withColumn("mix_block", F.floor((F.col("_to") + F.col("_before") - F.col("mix_chars")) / F.lit(block_chars)).cast("long")))
-    kept = [*base.schema.fields, T.StructField("mix_block", T.LongType()), T.StructField("mix_chars", T.LongType())]
-    ready = cut.select("_source", *[F.col(f"`{f.name}`") for f in kept])
-
-    def slots(batches):
-        for b in batches:
-            source, block = np.array(b.column("_source").to_pylist(), object), b.column("mix_block").to_numpy()
-            phase, slot = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
-            for s in set(source):
-                own = source == s
-                phase[own], slot[own] = place(s, block[own], phases)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(phase), pa.array(slot)],
-                                             [*b.schema.names[1:], "mix_phase", "mix_slot"])
-    return ready.mapInArrow(slots, T.StructType([*kept, T.StructField("mix_phase", T.LongType()), T.StructField("mix_slot", T.LongType())]))
+
+    @F.pandas_udf("phase long, slot long")
+    def placed(source: pd.Series, block: pd.Series) -> pd.DataFrame:
+        phase, slot = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+        for s in source.unique():
+            own = (source == s).to_numpy()
+            phase[own], slot[own] = place(s, block.to_numpy()[own], phases)
+        return pd.DataFrame({"phase": phase, "slot": slot})
+    # only source and block go to Python; texts stay where they are
+    return (cut.withColumn("_placed", placed("_source", "mix_block"))
+            .select(*[F.col(f"`{c}`") for c in base.columns], "mix_block", "mix_chars", F.col("_placed.phase").alias("mix_phase"),
+                    F.col("_placed.slot").alias("mix_slot")))
