@@ -14,7 +14,7 @@ WORDS = 5
 PERCENT = 80
 BLOCK_ROWS = 1_000          # sets of a block that one tree holds
 PIVOTS = 16                 # sets that every part of a split block also holds
-KEYS_PER_TASK = 2_000_000   # candidate keys that a task compares, about
+KEYS_PER_TASK = 700_000     # candidate keys that a task holds and compares, about
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
 SIGN_ROWS = 3_000           # documents of a batch in which n-grams are counted
 COMMON_DOCS = 3             # different sets of a batch that make an n-gram common there
