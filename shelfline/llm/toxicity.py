@@ -12,7 +12,8 @@ PER_CLASS = 3_000           # sampled labelled documents per class
 FACTORS = 4
 STEMS = (4, 5)              # leading bytes of a word that are terms of their own
 EPOCHS = 80
-L1 = 0.01                   # a weight's pull towards zero while the terms are chosen
+L1 = 0.01                   # a weight's pull towards zero while the frequent terms are chosen
+CHANCE = 0.05               # chance that a term, or a pair, without a tie to the classes is told
 
 
 def terms(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -49,44 +50,106 @@ def _shrink(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
+def evidence(n: np.ndarray, toxic: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """How surprising it is that ``toxic`` of ``n`` texts are toxic where the model expects ``expected``: chance
+    comes this far in one of exp(evidence) cases at most (Hoeffding)."""
+    n, toxic, expected = np.maximum(n, 1e-9).astype(float), toxic.astype(float), expected.astype(float)
+    a, b = np.clip(toxic / n, 0, 1), np.clip(expected / n, 1e-9, 1 - 1e-9)
+    part = lambda x, y: np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / y), 0)
+    return n * (part(a, b) + part(1 - a, 1 - b))
+
+
+def telling_pairs(r: np.ndarray, c: np.ndarray, y: np.ndarray, p: np.ndarray, m: int, chance: float = CHANCE) -> np.ndarray:
+    """Which of ``m`` terms form, with another, a pair whose texts the model ``p`` misjudges beyond chance.
+
+    All pairs are tried of terms frequent enough to tell: the evidence of fewer texts than ``least`` cannot
+    reach the bound at the classes' shares.
+    """
+    told, share, n = np.zeros(m, bool), min(y.mean(), 1 - y.mean()), len(y)
+    least = np.log(max(m * m / 2, 1) / chance) / -np.log(share)
+    often = np.flatnonzero(np.bincount(c, minlength=m) >= least)
+    q = len(often)
+    slot = np.full(m, -1)
+    slot[often] = np.arange(q)
+    inside = slot[c] >= 0
+    x = np.zeros((n, q), bool)
+    x[r[inside], slot[c[inside]]] = True
+    bound = np.log(max(q * q / 2, 1) / chance)
+    few = bound / -np.log(max(min(p.min(), 1 - p.max()), 1e-9))          # fewer texts cannot reach it under any of p
+    for lo in range(0, q, 512):
+        left = x[:, lo:lo + 512].astype(np.float32).T
+        toxic, expected = left * y.astype(np.float32), left * p.astype(np.float32)
+        for at in range(lo, q, 2048):
+            right = x[:, at:at + 2048].astype(np.float32)
+            both = left @ right
+            i, j = np.nonzero(both >= few)
+            other = i + lo != j + at
+            i, j = i[other], j[other]
+            found = evidence(both[i, j], (toxic @ right)[i, j], (expected @ right)[i, j]) >= bound
+            told[often[i[found] + lo]] = told[often[j[found] + at]] = True
+    return told
+
+
+def _descend(row: np.ndarray, term: np.ndarray, y: np.ndarray, v: np.ndarray | None, pull: np.ndarray, epochs: int):
+    """Bias, weights, factors and margins by full-batch Adagrad on the logistic loss, both classes weighing the same."""
+    n, m = len(y), len(pull)
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w, bias, sw, sb = np.zeros(m), 0.0, np.full(m, 1e-8), 1e-8
+    factors = 0 if v is None else v.shape[1]
+    sv, z = np.full((m, factors), 1e-8), np.zeros(n)
+    for _ in range(epochs):
+        z = bias + np.bincount(row, w[term], n)
+        if factors:
+            sums = np.stack([np.bincount(row, v[term, f], n) for f in range(factors)], 1)
+            z += 0.5 * (sums ** 2 - np.stack([np.bincount(row, v[term, f] ** 2, n) for f in range(factors)], 1)).sum(1)
+        g = (sigmoid(z) - y) * weight
+        gw, gb = np.bincount(term, g[row], m), g.sum()
+        sw, sb = sw + gw ** 2, sb + gb ** 2
+        w = _shrink(w - 0.3 * gw / np.sqrt(sw), 0.3 * pull / np.sqrt(sw))
+        bias -= 0.3 * gb / np.sqrt(sb)
+        for f in range(factors):
+            gv = np.bincount(term, g[row] * sums[row, f], m) - gw * v[:, f]
+            sv[:, f] += gv ** 2
+            v[:, f] = _shrink(v[:, f] - 0.05 * gv / np.sqrt(sv[:, f]), 0.05 * pull / np.sqrt(sv[:, f]))
+    return bias, w, v, z
+
+
 def train(row: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> dict:
-    """Full-batch Adagrad on the logistic loss, both classes weighing the same, in two passes.
+    """Learns the weights and factors of all terms that tell the classes apart, alone or in pairs, together.
 
-    The first pass learns linear weights under a soft threshold that leaves only terms whose presence tells
-    the classes apart by more than chance. The second learns their weights and factors together, so that
-    pairs of telling terms interact and the thousands of other terms of a long text add no noise.
+    Every term of three or more texts is tried. Told are those that keep a linear weight under a soft
+    threshold; those, however rare, whose texts the fitted model misjudges beyond chance; and those of pairs
+    whose texts it does, even if neither term alone tells anything. After each addition the model is fitted
+    anew, until nothing is left beyond chance. Terms at chance get no weight, as the thousands of them in a
+    long text would drown the others. A rarer term is pulled to zero less, so that it can reach its weight.
     """
     size = 1 << BITS
     model = {"bias": 0.0, "w": np.zeros(size), "v": np.zeros((size, factors)), "live": np.zeros(size, bool)}
     if not len(y) or y.min() == y.max():
         model["bias"] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return model
-    n = len(y)
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    keep, v = np.flatnonzero(np.bincount(term, minlength=size) >= 3), None
-    for pull in (L1, L1 / 8):
-        slot = np.full(size, -1)
-        slot[keep] = np.arange(len(keep))
-        inside = slot[term] >= 0
-        r, c, m = row[inside], slot[term[inside]], len(keep)
-        w, bias, sw, sb = np.zeros(m), 0.0, np.full(m, 1e-8), 1e-8
-        for _ in range(epochs):
-            z = bias + np.bincount(r, w[c], n)
-            if v is not None:
-                sums = np.stack([np.bincount(r, v[c, f], n) for f in range(factors)], 1)
-                z += 0.5 * (sums ** 2 - np.stack([np.bincount(r, v[c, f] ** 2, n) for f in range(factors)], 1)).sum(1)
-            g = (sigmoid(z) - y) * weight
-            gw, gb = np.bincount(c, g[r], m), g.sum()
-            sw, sb = sw + gw ** 2, sb + gb ** 2
-            w = _shrink(w - 0.3 * gw / np.sqrt(sw), 0.3 * pull / np.sqrt(sw))
-            bias -= 0.3 * gb / np.sqrt(sb)
-            for f in range(factors if v is not None else 0):
-                gv = np.bincount(c, g[r] * sums[r, f], m) - gw * v[:, f]
-                sv[:, f] += gv ** 2
-                v[:, f] = _shrink(v[:, f] - 0.05 * gv / np.sqrt(sv[:, f]), 0.05 * pull / np.sqrt(sv[:, f]))
-        if v is None:
-            keep = keep[w != 0]
-            v, sv = np.random.default_rng(7).normal(0, 0.02, (len(keep), factors)), np.full((len(keep), factors), 1e-8)
+    prior = np.log((y == 1).sum() / (y == 0).sum())
+    keep = np.flatnonzero(np.bincount(term, minlength=size) >= 3)
+    slot = np.full(size, -1)
+    slot[keep] = np.arange(len(keep))
+    inside = slot[term] >= 0
+    r, c, m = row[inside], slot[term[inside]], len(keep)
+    n, toxic = np.bincount(c, minlength=m), np.bincount(c, y[r], m)
+    share = np.bincount(c, np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())[r], m)
+    pull = np.minimum(L1 / 8, share / 16)
+    told = _descend(r, c, y, None, np.full(m, L1), epochs)[1] != 0
+    while True:
+        at, own = np.cumsum(told) - 1, told[c]
+        v = np.random.default_rng(7).normal(0, 0.02, (int(told.sum()), factors))
+        bias, w, v, z = _descend(r[own], at[c[own]], y, v, pull[told], epochs)
+        p = sigmoid(z + prior)                              # the classes as frequent as in the sample
+        new = (evidence(n, toxic, np.bincount(c, p[r], m)) >= np.log(max(m, 1) / CHANCE)) & ~told
+        if not new.any():
+            new = telling_pairs(r, c, y, p, m) & ~told
+        if not new.any():
+            break
+        told |= new
+    keep = keep[told]
     model["bias"], model["w"][keep], model["v"][keep] = bias, w, v
     model["live"][keep] = True
     return model

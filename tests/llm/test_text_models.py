@@ -71,6 +71,40 @@ def test_toxicity_pairs():
     assert float(model["v"][1] @ model["v"][2]) > 0.1
 
 
+def noisy(rng, found):
+    """Rows and terms of texts: the terms of each in ``found``, and 60 of 3,000 others."""
+    import numpy as np
+    rows = [np.unique(np.concatenate([np.array(x, int), rng.choice(np.arange(100, 3100), 60, False)])) for x in found]
+    return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)
+
+
+def test_toxicity_pair_without_marginal_signal():
+    """Toxic if exactly one of two terms is there: neither tells anything alone."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    has = rng.integers(0, 2, (2000, 2))
+    y = has.sum(1) % 2
+    row, term = noisy(rng, [np.flatnonzero(h) + 1 for h in has])
+    learned = row < 1500
+    model = toxicity.train(row[learned], term[learned], y[:1500])
+    p = toxicity.sigmoid(toxicity.margins(row, term, 2000, model))[1500:]
+    assert ((p >= 0.5) == y[1500:]).mean() > 0.95
+    assert float(model["v"][1] @ model["v"][2]) < 0
+
+
+def test_toxicity_rare_insult():
+    """An insult in 1% of the toxic texts and in no clean one, beside one that most toxic texts hold."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    y = np.arange(6000) % 2
+    common, rare = (y == 1) & (rng.random(6000) < 0.9), np.zeros(6000, bool)
+    rare[rng.choice(np.flatnonzero((y == 1) & ~common), 30, False)] = True
+    row, term = noisy(rng, [[1] * int(a) + [2] * int(b) for a, b in zip(common, rare)])
+    model = toxicity.train(row, term, y)
+    p = toxicity.sigmoid(toxicity.margins(row, term, 6000, model))
+    assert model["w"][2] > 0 and (p[rare] >= 0.5).mean() > 0.9 and (p[y == 0] < 0.5).mean() > 0.97
+
+
 def test_quality_held_out(spark, docs, labels):
     out = quality_mil.score(docs, quality_mil.fit(docs, labels)).join(labels, "doc_id").where(fold_of("doc_id", 3) == 1)
     rate = {r.quality: r.p for r in out.groupBy("quality").agg(F.avg("predicted").alias("p")).collect()}
