@@ -130,3 +130,20 @@ def test_extract(spark):
         assert "Head\n\nOne & two three\n\nFour" in text[1] and text[2] == text[3] == [""] and text[4] == ["plain <text> 5 < 6"] and text[None] == ["null id"]
     assert text[12] == ["2 own text"]
     assert html_suffix.extract(df.limit(0)).count() == 0
+
+
+def test_extract_counts_runs_over_the_whole_host(spark):
+    """A notice of 5 pages in 300 goes however the host is dealt; one of two pages stays; a small host keeps its own."""
+    notice, pair = "this section is kept by the friends of the old mill", "only two pages of all have this line of words here"
+    rows = []
+    for i in range(300):
+        own = " ".join(f"w{i}x{k}" for k in range(20))
+        more = f"<p>{notice}</p>" if i % 60 == 0 else f"<p>{pair}</p>" if i in (7, 8) else ""
+        rows.append((i, f"http://big.org/{i}", f"<html><body><p>{own}</p>{more}</body></html>"))
+    rows.append((900, "http://big.org/a", f"<html><body><article><p>{notice}</p></article></body></html>"))
+    rows.append((901, "http://small.org/a", f"<html><body><p>{notice}</p></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    dealt, whole = ({r.page_id: (r.text, r.n_cut) for r in html_suffix.extract(df, n).collect()} for n in (10, 1000))
+    assert dealt == whole and len(dealt) == len(rows)
+    assert [i for i, (t, _) in dealt.items() if notice in t] in ([900, 901], [901, 900])
+    assert pair in dealt[7][0] and pair in dealt[8][0] and "w60x3" in dealt[60][0] and dealt[60][1] == 1
