@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import grid_join, html_suffix, langid, mixing, ngram_join, packing, quality_mil, quality_rules, toxicity, warc
+from . import (conversation_repair, grid_join, html_suffix, langid, mixing, ngram_join, packing, periodic_runs, quality_mil, quality_rules, toxicity,
+               warc, window_fill)
 from .textkit import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_warc_derivatives")
@@ -89,3 +90,24 @@ def op10(spark, sf_dir):
     model = langid.fit(docs, modulo=3, held_out=1)
     return langid.predict(docs.drop("lang"), model).select(
         "doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op11_lightest_repair")
+def op11(spark, sf_dir):
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repaired_pieces(rows, present="present"))
+
+
+@query("op12_window_fill")
+def op12(spark, sf_dir):
+    return window_fill.fill_windows(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    found = periodic_runs.find_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return (found.withColumn("_best", periodic_runs.strongest("runs"))
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+                    F.expr("_best.length * 1000 div _best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
