@@ -9,13 +9,14 @@ import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..common import ratio
 from ..functions import calendar as K, text as T
 from ..session import settle
 from .. import fixed_values as V
-from . import graph
+from . import auction as auctions, graph
 from .cells import most_frequent
 
 ID = "product_id"
@@ -318,15 +319,23 @@ def _assign(edges: pd.DataFrame) -> pd.DataFrame:
     return edges.loc[[e for e in range(len(edges)) if (left[e], right[e]) in kept]]
 
 
-def assign_links(edges: DataFrame) -> DataFrame:
-    """One-to-one links with most pairs first, then the highest total score, solved per component.
+SMALL_LINKS = 20_000        # a component of so many links at most is solved in one call
 
-    Blocking (at most 25 IDs a group) keeps components small. A large component is solved whole, in one task,
-    in time that grows with its groups times its edges.
+
+def assign_links(edges: DataFrame, small: int = SMALL_LINKS, chunk_links: int = auctions.CHUNK_LINKS) -> DataFrame:
+    """One-to-one links with most pairs first, then the highest total score.
+
+    Components of up to ``small`` links are solved one by one, each in one call; larger ones bid in an auction whose
+    tasks hold ``chunk_links`` links at most, so that no component, however large, meets in one task.
     """
     tier = F.when(F.col("gap_days") <= V.SHORT_GAP_DAYS, "5_handover_short_gap").otherwise("5_handover_long_gap")
-    parts = components(edges)
-    return parts.groupBy("component").applyInPandas(_assign, parts.schema).drop("component").withColumn("tier", tier)
+    parts = settle(components(edges), "parts")
+    large = settle(parts.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("component"), "large")
+    links = parts.join(large, "component", "left_anti").select(*parts.columns).groupBy("component").applyInPandas(_assign, parts.schema)
+    if not large.isEmpty():
+        won = auctions.auction(parts.join(large, "component", "left_semi").select(*parts.columns), chunk_links)
+        links = links.unionByName(won.select(*parts.columns))
+    return links.drop("component").withColumn("tier", tier)
 
 
 # --- unified map --------------------------------------------------------------------------------------------------
@@ -391,31 +400,36 @@ def method_rank(method: Column, ranks: Mapping[str, int] = V.METHOD_RANK) -> Col
     return F.try_element_at(table, F.split_part(method, F.lit("+"), F.lit(1)))
 
 
+def _first_come(batches):
+    """(name, kept) of names sorted by series and priority. A series is one number whose bits are its busy days."""
+    series, busy = None, 0
+    for b in batches:
+        kept = []
+        for s, days in zip(b.column("series_id").to_pylist(), b.column("days").to_pylist()):
+            if s != series:
+                series, busy = s, 0
+            own = 0
+            for d in days:
+                own |= 1 << d
+            kept.append(not own & busy)
+            busy |= own if kept[-1] else 0
+        yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(kept, pa.bool_())], ["name", "kept"])
+
+
 def one_name_per_day(pre_map: DataFrame, pre: DataFrame) -> DataFrame:
     """Keeps names of a series in priority order and demotes a name that shares a day with a kept one.
 
-    Equal to the sequential greedy choice: in each round a name that is the best undecided name on all of its
-    days is kept, and names sharing a day with it are demoted. No pair of names is ever built.
+    One pass: names are dealt by series, sorted by priority and streamed, and only the busy days of the series at
+    hand are held (one bit a day). A name is one row, whose days are bounded by the calendar.
     """
-    days = pre.select("name", "date").distinct()
-    rows = pre.groupBy("name").agg(F.count("*").alias("rows"))
-    ranked = pre_map.join(rows, "name").withColumn("_o", F.struct(method_rank(F.col("method")).alias("r"), (-F.col("rows")).alias("n"), F.col("name").alias("x")))
-    open_ = settle(ranked.join(days, "name").select("series_id", "name", "date", "_o"), "overlap")
-    demoted = None
-    while True:      # the best undecided name of a series is kept in every round, so the rounds end
-        best = open_.groupBy("series_id", "date").agg(F.min("_o").alias("_best"))
-        seen = open_.join(best, ["series_id", "date"])
-        kept = seen.groupBy("series_id", "name").agg(F.min((F.col("_o") == F.col("_best")).cast("int")).alias("_k")).where("_k = 1").drop("_k")
-        state = settle(seen.join(kept.withColumn("_kept", F.lit(True)), ["series_id", "name"], "left")
-                       .select("series_id", "name", "date", "_o", F.coalesce("_kept", F.lit(False)).alias("_kept")), "overlap")
-        busy = state.where("_kept").select("series_id", "date").distinct()
-        lost = state.where("not _kept").join(busy, ["series_id", "date"], "left_semi").select("series_id", "name").distinct()
-        demoted = lost if demoted is None else demoted.unionByName(lost)
-        demoted = settle(demoted, "demoted")
-        open_ = settle(state.where("not _kept").join(lost, ["series_id", "name"], "left_anti").select("series_id", "name", "date", "_o"), "overlap")
-        if open_.limit(1).count() == 0:
-            break
-    out = pre_map.join(demoted.select("name").distinct().withColumn("_d", F.lit(True)), "name", "left")
+    first = pre.agg(F.min("date")).first()[0]
+    day = F.datediff("date", F.lit(first).cast("date"))
+    own = pre.groupBy("name").agg(F.count("*").alias("rows"), F.array_compact(F.collect_set(day)).alias("days"))
+    order = ["series_id", "_rank", F.desc("rows"), "name"]
+    ranked = pre_map.join(own, "name").withColumn("_rank", method_rank(F.col("method")))
+    judged = settle(ranked.repartition("series_id").sortWithinPartitions(*order).select("series_id", "name", "days")
+                    .mapInArrow(_first_come, "name string, kept boolean"), "judged")
+    out = pre_map.join(judged.where("not kept").select("name", F.lit(True).alias("_d")), "name", "left")
     fresh = numbered(out.where("_d"), "name", "d_", "_new")
     return out.join(fresh, "name", "left").select(
         "name", F.coalesce("_new", "series_id").alias("series_id"),

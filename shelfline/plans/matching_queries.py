@@ -213,6 +213,46 @@ def _(spark, sf):
     return M.assign_links(edges(spark, sf)[0])
 
 
+# Customers of a block of 150 keys want slots in a band: customer i wants slots 2i/3 and 2i/3 + 1, three customers to two slots.
+CHAIN = """
+WITH RECURSIVE c AS (SELECT c_custkey // 150 AS block, c_custkey % 150 AS i, (CAST(round(c_acctbal * 100) AS BIGINT) + 100000) % 997 AS p,
+  (CAST(round(c_acctbal * 100) AS BIGINT) + 100000) // 7 % 991 AS q FROM customer),
+walk(block, i, used, v) AS (SELECT DISTINCT block, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM c UNION ALL
+  SELECT block, i + 1, CASE WHEN 2 * (i + 1) // 3 > 2 * i // 3 THEN w >> 1 ELSE w END, max(v + g)
+  FROM (SELECT d.block, d.i, d.used | t.bit AS w, d.v, CASE t.bit WHEN 0 THEN 0 WHEN 1 THEN 1000000000 + p ELSE 1000000000 + q END AS g
+        FROM walk d LEFT JOIN c USING (block, i), (VALUES (CAST(0 AS BIGINT)), (1), (2)) t(bit) WHERE d.i < 150 AND d.used & t.bit = 0 AND (t.bit = 0 OR c.p IS NOT NULL))
+  GROUP BY ALL)"""
+
+
+@query("l6_assignment_chains", CHAIN + " SELECT block, max(v) // 1000000000 AS links, max(v) % 1000000000 AS points FROM walk WHERE i = 150 GROUP BY block")
+def _(spark, sf):
+    a = F.round(F.col("c_acctbal") * 100).cast("long") + 100_000
+    block, slot = F.expr("c_custkey div 150"), F.expr("2 * (c_custkey % 150) div 3")
+    ways = F.explode(F.array(F.struct(slot.alias("s"), (a % 997).alias("p")), F.struct((slot + 1).alias("s"), (F.floor(a / 7) % 991).alias("p"))))
+    rows = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("group"), block.alias("block"), ways.alias("_w"))
+    links = rows.select("group", "block", (F.col("block") * 1000 + F.col("_w.s")).alias("series_id"), (F.col("_w.p") / 1000).alias("score"), F.lit(1).alias("gap_days"))
+    chosen = M.assign_links(settle(links, "wants"), small=50)
+    return chosen.groupBy("block").agg(F.count("*").alias("links"), F.sum(F.round(F.col("score") * 1000).cast("long")).alias("points"))
+
+
+# Parts of a supplier are names of one series, months of shipping their days.
+FIRST_COME = """
+WITH RECURSIVE own AS (SELECT l_suppkey, l_partkey, count(*) AS n, bit_or(CAST(1 AS HUGEINT) << CAST(datediff('month', DATE '1992-01-01', l_shipdate) AS INT)) AS days FROM lineitem GROUP BY ALL),
+o AS (SELECT *, l_suppkey || '-' || l_partkey AS name, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey % 2, n DESC, l_suppkey || '-' || l_partkey) AS k FROM own),
+walk(l_suppkey, k, name, busy, kept) AS (SELECT DISTINCT l_suppkey, CAST(0 AS BIGINT), '', CAST(0 AS HUGEINT), true FROM own UNION ALL
+  SELECT w.l_suppkey, o.k, o.name, CASE WHEN w.busy & o.days = 0 THEN w.busy | o.days ELSE w.busy END, w.busy & o.days = 0 FROM walk w JOIN o ON o.l_suppkey = w.l_suppkey AND o.k = w.k + 1),
+lost AS (SELECT name, 'd_' || lpad(CAST(row_number() OVER (ORDER BY name) - 1 AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY name) - 1 AS VARCHAR))) AS INT), '0') AS own_id FROM walk WHERE NOT kept)"""
+
+
+@query("l8_first_come_names", FIRST_COME + """ SELECT o.name, coalesce(own_id, CAST(l_suppkey AS VARCHAR)) AS series_id,
+ CASE WHEN own_id IS NOT NULL THEN '6_own_series (demoted overlap)' WHEN l_partkey % 2 = 0 THEN '1_exact' ELSE '3c_normalized' END AS method FROM o LEFT JOIN lost USING (name)""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_suppkey", "l_partkey").alias("name"), F.col("l_suppkey").cast("string").alias("series_id"),
+        F.when(F.col("l_partkey") % 2 == 0, "1_exact").otherwise("3c_normalized").alias("method"), F.trunc("l_shipdate", "month").alias("date"))
+    return M.one_name_per_day(rows.select("name", "series_id", "method").distinct(), rows.select("name", "date"))
+
+
 def full_map(spark, sf):
     e, groups, n, pre, post, rules, linked = edges(spark, sf)
     links = M.assign_links(e)
