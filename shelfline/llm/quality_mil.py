@@ -21,6 +21,20 @@ CLASSES = 5 + len(_SIGNS)
 WIDTH = CLASSES + 8 + BAG
 
 
+def own_line_feeds(w) -> np.ndarray:
+    """Per line feed inside a text the word after it, or the text's last word behind which it stands.
+
+    The line feed that joins a text to the next one is no part of either. Texts without words have none.
+    """
+    at = np.setdiff1d(np.flatnonzero(w.buf == 10), np.append(w.doc_start[1:], len(w.buf)) - 1, assume_unique=True)
+    doc = np.searchsorted(w.doc_start, at, "right") - 1
+    after = np.searchsorted(w.start, at)
+    follows = w.doc[after.clip(max=len(w.doc) - 1)] == doc
+    follows &= after < len(w.doc)
+    word = np.where(follows, after, after - 1)
+    return word[(word >= 0) & (w.doc[word] == doc)]
+
+
 def passages(texts) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature vector) of the consecutive passages of every whole text; an empty text has one of zeros."""
     texts = [raw(t) for t in texts]
@@ -46,8 +60,7 @@ def passages(texts) -> tuple[np.ndarray, np.ndarray]:
             distinct = np.bincount(p[one], minlength=n)
             top = np.zeros(n)
             np.maximum.at(top, p[one], often)
-            breaks = np.searchsorted(w.start, np.flatnonzero(w.buf == 10)).clip(0, len(p) - 1)
-            lines = np.bincount(p[breaks], minlength=n)
+            lines = np.bincount(p[own_line_feeds(w)], minlength=n)
             x[:, CLASSES:CLASSES + 8] = np.stack([
                 np.log1p(count) / 5, chars / count / 10, np.bincount(p, same, n) / count, distinct / count, top / count,
                 np.minimum(lines / count, 1), np.bincount(p, (w.length > 20), n) / count, np.bincount(p, w.length <= 2, n) / count], 1)
@@ -142,7 +155,8 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
         f = attend(owner, x, len(texts), model)
         n = np.bincount(owner, minlength=len(texts))
         best = [int(np.argmax(f["w"][a:a + k])) for a, k in zip(f["at"], n)]
-        return {"score": f["p"], "predicted": (f["p"] >= 0.5).astype("int32"), "n_passages": n.astype("int64"),
+        p = np.round(f["p"], 9)         # sums of a batch may differ by its size in the last digits
+        return {"score": p, "predicted": (p >= 0.5).astype("int32"), "n_passages": n.astype("int64"),
                 "top_passage": np.array(best, "int64")}
     return with_columns_from_text(documents, [
         T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
