@@ -5,6 +5,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .session import settle
+
 MAX_SIDE_ROWS = 10_000
 
 
@@ -54,57 +56,60 @@ def calendar_days(df: DataFrame, date: str = "date", keys: Sequence[str] = ()) -
             .select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(date)))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    accuracy: int = 20_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per ``keys`` for groups of any size.
 
-    ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch first finds
-    a narrow band around each wanted rank. The second pass counts the rows below the band (map-side) and
-    ranks only the distinct values inside it, so no task holds a whole group. The sketch's error bound puts
-    the wanted rank inside the band, and the result is the exact order statistic.
+    ``percentile`` keeps every distinct value of a group in one buffer. Here the rows are counted per key and value
+    once (map-side), and the counts are dealt out in ranges of key and value. A range runs up its own counts; what
+    lies before it in its key is one number per (key, range). A quantile is the smallest value whose running count
+    passes the wanted rank, so no task holds more than a range, however large or hot the key.
+    """
+    by = {f"_k{i}": k for i, k in enumerate(keys)} or {"_k0": None}
+    part = [F.col(k) for k in by]
+    known = df.where(F.col(value).isNotNull()).select(
+        *[(F.col(k) if k else F.lit(0)).alias(a) for a, k in by.items()], F.col(value).cast("double").alias("_v"))
+    counts = settle(known.groupBy(*part, "_v").agg(F.count("*").alias("_c")), "counts")
+    cut = settle(counts.repartitionByRange(*part, "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*part, "_p").agg(F.sum("_c").alias("_s"))
+    before = sizes.select(
+        *[F.col(k).alias(f"{k}_") for k in by], F.col("_p").alias("_q"), F.sum("_s").over(Window.partitionBy(*part)).alias("_n"),
+        (F.sum("_s").over(Window.partitionBy(*part).orderBy("_p")) - F.col("_s")).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    upto = F.sum("_c").over(Window.partitionBy(*part, "_p").orderBy("_v"))
+    ran = cut.withColumn("_upto", upto).join(before, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    rank = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in probs.items()}
+    passed = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
+    found = ran.groupBy(*part).agg(F.first("_n").alias("_n"), *[
+        x for i, at in enumerate(rank.values()) for x in (passed(F.floor(at)).alias(f"_lo{i}"), passed(F.ceil(at)).alias(f"_hi{i}"))])
+    between = lambda i, at: F.col(f"_lo{i}") + (at - F.floor(at)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+    return found.select(*[F.col(a).alias(k) for a, k in by.items() if k], *[between(i, at).alias(n) for i, (n, at) in enumerate(rank.items())])
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Adds the place of every row within its key, dense from 0 in ``order``; no key meets in one task.
+
+    Rows are dealt out in ranges of key and order; a range numbers its own rows, and what lies before it in its key
+    is one number per (key, range). Rows that are equal in ``keys`` and ``order`` may swap places.
+    """
+    cut = settle(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*keys, "_p").agg(F.count("*").alias("_s"))
+    before = sizes.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_p").alias("_q"),
+                          (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).alias("_before"))
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)) - 1
+    return cut.withColumn("_i", inside).join(before, same).select(*df.columns, (F.col("_before") + F.col("_i")).alias(out))
+
+
+def list_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, out: str, size: int = 1_000) -> DataFrame:
+    """(keys, part, ``out``): the items of every key in order, in numbered lists of at most ``size``.
+
+    A key of any size becomes many short rows instead of one that has to fit into a task's memory.
     """
-    keys = list(keys)
-    names = list(probs)
-    margin = 4.0 / accuracy
-    edges = [p for q in probs.values() for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if not keys:
-        known = known.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    joined_keys = [F.coalesce(F.col(k).cast("string"), F.lit("\x00null")).alias(f"_k{i}") for i, k in enumerate(keys)]
-    jk = [f"_k{i}" for i in range(len(keys))]
-    known = known.select("*", *joined_keys)
-    sketch = known.groupBy(*jk).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-        *[F.first(k).alias(k) for k in keys])
-    counts = known.groupBy(*jk, "_v").agg(F.count("*").alias("_c"))
-    banded = counts.join(sketch.select(*jk, "_n", "_e"), jk)
-    band_of = []
-    for i, name in enumerate(names):
-        # a quantile at either end of the scale needs an open band on that side
-        lo = F.lit(float("-inf")) if edges[2 * i] <= 0 else F.col("_e")[2 * i]
-        hi = F.lit(float("inf")) if edges[2 * i + 1] >= 1 else F.col("_e")[2 * i + 1]
-        band_of.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi")))
-    banded = banded.withColumn("_b", F.array(*band_of))
-    below = banded.groupBy(*jk).agg(*[
-        F.sum(F.when(F.col("_v") < F.col("_b")[i]["lo"], F.col("_c")).otherwise(0)).alias(f"_below{i}")
-        for i in range(len(names))])
-    inside = (banded
-              .withColumn("_i", F.explode(F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))))
-              .withColumn("_i", F.col("_i.i"))
-              .withColumn("_cum", F.sum("_c").over(Window.partitionBy(*jk, "_i").orderBy("_v")))
-              .select(*jk, "_n", "_i", "_v", "_cum")
-              .join(below, jk))
-    base = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(names))]), F.col("_i") + 1)
-    target = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_i") + 1) * (F.col("_n") - 1)
-    inside = inside.withColumn("_cum", F.col("_cum") + base).withColumn("_pos", target)
-    picked = inside.groupBy(*jk, "_i").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_pos"), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > F.ceil("_pos"), F.col("_v"))).alias("_hi"),
-        F.first("_pos").alias("_pos"))
-    value_at = F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo"))
-    wide = picked.groupBy(*jk).agg(*[
-        F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(names)])
-    out_keys = [k for k in keys if k != "_all"]
-    return sketch.select(*jk, *keys).join(wide, jk).select(*out_keys, *names)
+    placed = positions(df.withColumn("_item", item), keys, order, "_pos")
+    return (placed.groupBy(*keys, F.floor(F.col("_pos") / size).cast("long").alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct("_pos", "_item"))).alias("_l"))        # at most ``size`` items
+            .select(*keys, "part", F.transform("_l", lambda x: x["_item"]).alias(out)))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..common import exact_quantiles, moved, ratio
+from ..common import exact_quantiles, list_chunks, moved, ratio
 from ..fixed_values import OUTAGE_FRACTION, SAME_PRICE_TOL
 
 SERIES = ("store", "name")
@@ -106,10 +106,10 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str, out: str | Non
         F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(out or value), F.max("n").alias("n"))
 
 
-def sorted_sets(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Sorted distinct values per key; duplicates vanish before anything is collected."""
-    return (df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out)))
+def sorted_sets(df: DataFrame, keys: Sequence[str], value: str, out: str, size: int = 1_000) -> DataFrame:
+    """Sorted distinct values per key, in numbered parts of at most ``size``; duplicates vanish before anything is collected."""
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    return list_chunks(distinct, keys, [value], F.col(value), out, size)
 
 
 def share_table(df: DataFrame, key: str, rows: str | None = None) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..common import moved, ratio, rel_change
 from ..functions.prices import clip, direction, to_price
+from ..session import settle
 from .. import fixed_values as V
 
 
@@ -122,25 +125,33 @@ def gain(pred: Column) -> Column:
     return F.abs(F.col("base_price") - F.col("target_price")) - F.abs(pred - F.col("target_price"))
 
 
-def threshold_table(valid: DataFrame, grid: Sequence[float] = V.THRESHOLD_GRID, keys: Sequence[str] = ("block",)) -> DataFrame:
-    """MAE of every (on, off) threshold pair.
+def threshold_bins(rows: DataFrame, steps: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Sums of both errors a row can have (``m`` moved, ``k`` kept) per ``keys``, gate and number of steps passed.
 
-    A row's error takes one of two values, so rows are summed once per (gate, probability bin) and the grid
-    is evaluated on those few sums. The cost does not depend on the size of the grid.
+    All that thresholds among ``steps`` can do to the rows is in these few sums: a row is moved by a threshold
+    if it passes more steps than lie before it.
     """
     y, base = F.col("target_price"), F.col("base_price")
-    moved_err, kept_err = F.abs(base * (1 + clip("size")) - y), F.abs(base - y)
-    passed = sum(((F.col("prob") > t).cast("int") for t in grid), F.lit(0))
-    bins = valid.groupBy(*keys, "is_target_data", passed.alias("passed")).agg(
-        F.sum(moved_err).alias("m"), F.sum(kept_err).alias("k"), F.count("*").alias("n"))
+    passed = sum(((F.col("prob") > t).cast("int") for t in steps), F.lit(0))
+    return rows.groupBy(*keys, "is_target_data", passed.alias("passed")).agg(
+        F.sum(F.abs(base * (1 + clip("size")) - y)).alias("m"), F.sum(F.abs(base - y)).alias("k"), F.count("*").alias("n"))
+
+
+def _pairs(bins: DataFrame, steps: Sequence[float], grid: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    at = {t: i for i, t in enumerate(steps)}
     total = bins.groupBy(*keys).agg(F.sum("n").alias("n"), *[
-        F.sum(F.when(F.col("is_target_data") == gate, F.when(F.col("passed") > i, F.col("m")).otherwise(F.col("k"))).otherwise(0.0)).alias(f"{side}{i}")
-        for gate, side in ((True, "on"), (False, "off")) for i in range(len(grid))])
+        F.sum(F.when(F.col("is_target_data") == gate, F.when(F.col("passed") > at[t], F.col("m")).otherwise(F.col("k"))).otherwise(0.0)).alias(f"{side}{i}")
+        for gate, side in ((True, "on"), (False, "off")) for i, t in enumerate(grid)])
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("thr_on"), F.lit(b).alias("thr_off"), (F.col(f"on{i}") + F.col(f"off{j}")).alias("e"))
                                 for i, a in enumerate(grid) for j, b in enumerate(grid)]))
     return total.select(*keys, "n", pairs.alias("_p")).select(*keys, "_p.thr_on", "_p.thr_off", ratio("_p.e", "n").alias("mae"))
 
 
+def threshold_table(valid: DataFrame, grid: Sequence[float] = V.THRESHOLD_GRID, keys: Sequence[str] = ("block",)) -> DataFrame:
+    """MAE of every (on, off) threshold pair, from one pass over the rows. The cost does not depend on the grid."""
+    return _pairs(threshold_bins(valid, grid, keys), grid, grid, keys)
+
+
 def best_thresholds(table: DataFrame, dual: bool, keys: Sequence[str] = ("block",)) -> DataFrame:
     """Pair with the lowest error (equal pair unless ``dual``); ties go to the first in grid order."""
     rows = table if dual else table.where("thr_on = thr_off")
@@ -149,22 +160,29 @@ def best_thresholds(table: DataFrame, dual: bool, keys: Sequence[str] = ("block"
 
 
 def policies(rows: DataFrame, pilot_thr: float, grid: Sequence[float] = V.THRESHOLD_GRID) -> DataFrame:
-    """Error and gains by day kind and class of five policies, per block. Thresholds come from its validation rows."""
-    table = threshold_table(rows.where("split = 'valid'"), grid)
+    """Error and gains by day kind and class of five policies, per block. Thresholds come from its validation rows.
+
+    The rows are read once: thresholds are chosen and every policy is judged on the sums per block, split, class, gate
+    and number of thresholds passed.
+    """
+    steps = sorted({*grid, pilot_thr, 1.0})
+    bins = settle(threshold_bins(rows, steps, ["block", "split", "cls"]), "bins")
+    table = settle(_pairs(bins.where("split = 'valid'"), steps, grid, ["block"]), "pairs")
     tuned = (best_thresholds(table, False).select("block", F.col("thr_on").alias("t_all"))
              .join(best_thresholds(table, True), "block"))
-    test = rows.where("split = 'test'").join(tuned, "block")
-    on, pilot, one = F.col("is_target_data"), F.lit(pilot_thr), F.lit(1.0)
+    pilot, one = F.lit(float(pilot_thr)), F.lit(1.0)
     plan = {"persistence": (one, one), "calendar gate, pilot threshold": (pilot, one), "every day, pilot threshold": (pilot, pilot),
             "every day, tuned threshold": (F.col("t_all"), F.col("t_all")), "dual thresholds": (F.col("thr_on"), F.col("thr_off"))}
-    pick = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), a.alias("a"), b.alias("b"), threshold_price(on, a, b).alias("p")) for n, (a, b) in plan.items()]))
-    long = test.withColumn("_x", pick).select("*", "_x.policy", F.col("_x.p").alias("pred"), F.col("_x.a").alias("used_on"), F.col("_x.b").alias("used_off"))
-    y, base = F.col("target_price"), F.col("base_price")
-    gains = [F.sum(F.when((on == flag) & (F.col("cls") == c), gain(F.col("pred"))).otherwise(0.0)).alias(f"gain_{day}_{c}")
+    pick = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), a.alias("a"), b.alias("b")) for n, (a, b) in plan.items()]))
+    long = bins.where("split = 'test'").join(tuned, "block").withColumn("_x", pick)     # a few hundred sums per block
+    on = F.col("is_target_data")
+    step = F.array_position(F.array(*[F.lit(float(t)) for t in steps]), F.when(on, F.col("_x.a")).otherwise(F.col("_x.b"))) - 1
+    long = long.withColumn("e", F.when(F.col("passed") > step, F.col("m")).otherwise(F.col("k")))
+    gains = [F.sum(F.when((on == flag) & (F.col("cls") == c), F.col("k") - F.col("e")).otherwise(0.0)).alias(f"gain_{day}_{c}")
              for day, flag in (("target", True), ("other", False)) for c in V.ROW_CLASSES]
-    out = long.groupBy("block", "policy").agg(
-        F.count("*").alias("rows"), F.avg(F.abs(F.col("pred") - y)).alias("mae"), F.avg(F.abs(base - y)).alias("_b"),
-        F.first("used_on").alias("thr_on"), F.first("used_off").alias("thr_off"), *gains)
+    out = long.groupBy("block", "_x.policy").agg(
+        F.sum("n").alias("rows"), (F.sum("e") / F.sum("n")).alias("mae"), (F.sum("k") / F.sum("n")).alias("_b"),
+        F.first("_x.a").alias("thr_on"), F.first("_x.b").alias("thr_off"), *gains)
     return out.withColumn("vs_persistence_pct", 100 * ratio(F.col("_b") - F.col("mae"), "_b")).drop("_b")
 
 
@@ -263,30 +281,53 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 def spearman(frame: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Spearman correlation of every column pair on complete rows, long form.
 
-    Ranks come from value counts: a running count over each column's distinct values, cut into value ranges so
-    that no task ranks a whole column.
+    Columns are melted into (column, value) counts, and all are ranked by one range partitioning. The ranks go back
+    to the rows with one join, whatever the number of columns; each task then sums the products of its rows'
+    ranks into one matrix, of which the upper triangle is summed up.
+    """
+    cols, n_cols = list(cols), len(cols)
+    if n_cols == 0:
+        raise ValueError("no columns")
+    whole = frame.select(*[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]).where(
+        " and ".join(f"_c{i} is not null" for i in range(n_cols)))
+    whole = settle(whole.withColumn("_row", F.monotonically_increasing_id()), "complete")
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_c{i}").alias("v")) for i in range(n_cols)]))
+    cells = whole.select("_row", cell.alias("_x")).select("_row", "_x.c", "_x.v")
+    ranks = average_ranks(cells.groupBy("c", "v").agg(F.count("*").alias("n")))
+    center = F.lit((whole.count() + 1) / 2)       # ranks from 1 to n, centred so that sums stay small
+    ranked = (cells.join(ranks, ["c", "v"]).groupBy("_row")
+              .agg(F.array_sort(F.collect_list(F.struct("c", (F.col("rank") - center).alias("r")))).alias("_r")))     # one per column
+    vectors = ranked.select(F.transform("_r", lambda x: x["r"]).alias("r"))
+
+    def products(batches):
+        total = np.zeros((n_cols, n_cols))
+        for b in batches:
+            x = b.column("r").flatten().to_numpy().reshape(-1, n_cols)
+            total += x.T @ x
+        i, j = np.triu_indices(n_cols)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
+    sums = settle(vectors.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "products")
+    own = sums.where("i = j")
+    a, b = (own.select(F.col("i").alias(k), F.col("s").alias(f"s{k}")) for k in ("i", "j"))
+    rho = F.try_divide(F.col("s"), F.sqrt(F.col("si") * F.col("sj")))
+    upper = sums.join(a, "i").join(b, "j").select("i", "j", rho.alias("rho"))
+    both = upper.unionByName(upper.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "rho"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "rho")
+
+
+def average_ranks(counts: DataFrame) -> DataFrame:
+    """(c, v, rank) from the counts (c, v, n) of each column's distinct values: the average rank of the equal ones.
+
+    One range partitioning by column and value; a partition runs up its own counts, and what lies before it in the same
+    column is one number per (partition, column).
     """
-    whole = frame.select(*cols).where(" and ".join(f"`{c}` is not null" for c in cols))
-    ranked = whole
-    for c in cols:
-        ranked = ranked.join(average_ranks(whole, c), c).withColumnRenamed("_rank", f"_r_{c}")
-    pairs = [(a, b) for a in cols for b in cols]
-    wide = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("rho")) for i, (a, b) in enumerate(pairs)]))
-    return wide.select(rows.alias("_r")).select("_r.*")
-
-
-def average_ranks(frame: DataFrame, col: str, pieces: int = 256) -> DataFrame:
-    """Average rank of each distinct value: (value, _rank). Two levels, value ranges first, values inside them second."""
-    counts = frame.groupBy(col).agg(F.count("*").alias("_n"))
-    edges = counts.agg(F.percentile_approx(col, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_edges"))
-    binned = counts.join(F.broadcast(edges), F.lit(True)).withColumn(  # one row of at most ``pieces`` numbers
-        "_bin", F.size(F.filter("_edges", lambda e: e < F.col(col))))
-    sizes = binned.groupBy("_bin").agg(F.sum("_n").alias("_s"))
-    before = sizes.select("_bin", F.coalesce(F.sum("_s").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_bin").orderBy(col))
-    return binned.withColumn("_upto", inside).join(before, "_bin").select(
-        col, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("_rank"))
+    cut = settle(counts.repartitionByRange("c", "v").withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("c", "_p").agg(F.sum("n").alias("_s"))
+    before = sizes.select("c", "_p", F.coalesce(F.sum("_s").over(Window.partitionBy("c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy("c", "_p").orderBy("v"))
+    return (cut.withColumn("_upto", upto).join(before, ["c", "_p"])
+            .select("c", "v", (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2.0).alias("rank")))
 
 
 # --- exports --------------------------------------------------------------------------------------------------------

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..common import r6
 from ..operators import features as X, grid as G
-from ..session import settle
+from ..session import scratch_path, settle
+from ..streaming import causal as ST
 from . import datasets as D
 from .datasets import with_sql
 from .registry import query
@@ -41,6 +42,22 @@ for _name, _sql, _fn in (("events", D.EVENT_GRID, event_grid), ("sparse", D.SPAR
         return build(spark, sf).select(*KEYS, "shelf_price", "observed", "R", "on_sale", r6("sale_depth").alias("sale_depth"), "days_in_sale")
 
 
+@query("t4_stream_causal_grid", D.LONG_GRID + " SELECT store, segment_id, date, shelf_price, observed, R, on_sale, round(sale_depth, 6) AS sale_depth, days_in_sale FROM grid")
+def _(spark, sf):
+    """The panel arrives as files, a year each, and is streamed; days after the last one of the data are left out."""
+    obs = settle(D.as_segments(D.long_panel(spark, sf)), "observed")
+    arriving, out, state = (scratch_path(spark, x) for x in ("arriving", "streamed", "state"))
+    years = [r[0] for r in obs.select(F.year("date")).distinct().orderBy(F.year("date")).collect()]      # calendar years
+    for y in years:
+        obs.where(F.year("date") == y).coalesce(1).write.mode("append").parquet(arriving)
+    ST.clock(obs, KEYS[:2]).coalesce(1).write.mode("append").parquet(arriving)
+    files = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    ST.run_to_end(ST.causal_stream(files), out, state)
+    last = obs.agg(F.max("date")).first()[0]
+    got = spark.read.parquet(out).where(F.col("date") <= F.lit(last))
+    return got.select(*KEYS, "shelf_price", "observed", "R", "on_sale", r6("sale_depth").alias("sale_depth"), "days_in_sale")
+
+
 # --- per-segment features on the long panel -----------------------------------------------------------------
 W = "WINDOW w AS (PARTITION BY store, segment_id ORDER BY date)"
 

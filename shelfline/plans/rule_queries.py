@@ -102,12 +102,18 @@ best AS (SELECT c.store, c.origin, 'store_best' AS method, days, sel_days, chang
 res2 AS (SELECT *, CAST(NULL AS VARCHAR) AS picked FROM res UNION ALL BY NAME SELECT * FROM best)"""
 
 
-def backtest(spark, sf):
+def gate_rates(spark, sf):
+    """Daily rates of the back-test, and every month it starts from."""
     rows = D.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("store"), (F.col("l_linenumber") % 2).cast("string").alias("name"),
                                                  F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("price"))
     daily = settle(S.daily_rates(S.count_changes(S.regular_prices(shelf_cells(rows)))), "daily")
     months = daily.where(F.col("products") >= MIN).select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()   # one per calendar month
-    return R.rolling_origins(daily, [str(r["m"]) for r in months], HOLIDAYS, min_products=MIN)
+    return daily, [str(r["m"]) for r in months]
+
+
+def backtest(spark, sf):
+    daily, origins = gate_rates(spark, sf)
+    return R.rolling_origins(daily, origins, HOLIDAYS, min_products=MIN)
 
 
 @query("r4_rolling_origins", ORIGIN_SQL + " SELECT * REPLACE (round(err, 4) AS err, round(sel_err, 4) AS sel_err) FROM res")
