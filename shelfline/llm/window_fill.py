@@ -1,7 +1,6 @@
 """Training windows without padding: minimum bin slack over remaining lengths, and cuts where a window stays open."""
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -14,58 +13,55 @@ from shelfline.session import settle
 
 WINDOW = 2048
 END_ID = 1
-CACHE_CHUNKS = 400_000      # text chunks whose ids a Python worker remembers
 GROUP_ROWS = 50_000         # pieces of one length that are numbered in one group
 _workers: dict = {}
 
-# In a text with none of these, a blank opens a token and a line feed is one, so the text may be cut there.
-_UNUSUAL = re.compile(r"[\t\r\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
-
 
 # --- tokens ------------------------------------------------------------------------------------------------------
+def _ranked(tokenizer_json: str):
+    """A byte-level merge encoder of the tokenizer's own vocabulary, and the strings it must not see; None where
+    the tokenizer is of another kind. Ids of such a vocabulary are the ranks of its merges."""
+    import json
+    import public_tokenizers
+    import tiktoken
+    told = json.loads(tokenizer_json)
+    pre, model, added = told.get("pre_tokenizer") or {}, told["model"], told.get("added_tokens", [])
+    if told.get("normalizer") or model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space"):
+        return None
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]         # bytes that stand for themselves
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+    special = {t["content"] for t in added}
+    ranks = {bytes(map(byte.__getitem__, k)): i for k, i in model["vocab"].items() if k not in special}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+
+
 def _worker(tokenizer_json: str):
     key = zlib.crc32(tokenizer_json.encode())
     if key not in _workers:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]      # bytes that stand for themselves
-        shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
-        _workers[key] = Tokenizer.from_str(tokenizer_json), {}, shown
+        _workers[key] = Tokenizer.from_str(tokenizer_json), _ranked(tokenizer_json)
     return _workers[key]
 
 
 def token_bytes(texts: list[str | None], tokenizer_json: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers, exactly as the byte-level tokenizer gives them.
+    """The ids of each text as little-endian 32-bit numbers, exactly as the tokenizer gives them.
 
-    Each distinct chunk (a word with the blank before it and the stops behind it, or a line feed) is tokenized
-    once; texts with other blanks, doubled ones or special tokens go through the tokenizer whole.
+    A byte-level vocabulary whose ids are merge ranks is encoded by a faster encoder of the same vocabulary; texts
+    with special tokens, and other tokenizers, go through the tokenizer itself.
     """
-    tokenizer, cache, shown = _worker(tokenizer_json)
-    model, out = tokenizer.model, []
-
-    def whole(text: str) -> bytes:
-        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def chunk(c: str) -> bytes:
-        word = c.rstrip(".,;:!?")
-        letters = word[1:] if word[:1] == " " else word
-        if not (letters.isalpha() and max(letters) < "ɐ"):
-            return whole(c) if c else b""
-        ids = array("I", [t.id for t in model.tokenize(word.encode("utf-8").decode("latin-1").translate(shown))])
-        return ids.tobytes() + (whole(c[len(word):]) if len(word) < len(c) else b"")
-
-    for at in range(0, len(texts), 400):
-        parts = [t or "" for t in texts[at:at + 400]]
-        cut = [None if _UNUSUAL(t) or any(p in t for p in _PAIRS)
-               else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in parts]
-        fresh = set().union(*filter(None, cut)).difference(cache)
-        cache.update((c, chunk(c)) for c in fresh)
-        out += [whole(t) if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(parts, cut)]
-        if len(cache) > CACHE_CHUNKS:
-            for c in fresh:
-                del cache[c]
+    tokenizer, ranked = _worker(tokenizer_json)
+    out = []
+    for t in texts:
+        t = t or ""
+        if ranked and not any(s in t for s in ranked[1]):
+            out.append(array("I", ranked[0].encode_ordinary(t)).tobytes())
+        else:
+            out.append(array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
     return out
 
 

@@ -136,6 +136,24 @@ def test_byte_ids_equal_the_tokenizer():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS * 2]
 
 
+def test_byte_ids_of_random_texts():
+    """Rare merges: random bytes, letters of many scripts, blanks and signs, in long words and short ones."""
+    rng = random.Random(11)
+    alphabets = ["abcdefghij", "ABcd ef", "aeiouéèêçöüß ", " \n\t ", "0123456789 .", "!?#$%&'\"-_ ", "абвгд ", "漢字かな ", "\u0301\u200d\u2028\xa0a ", "ſƒɐʒ "]
+    texts = ["".join(rng.choice(rng.choice(alphabets) if rng.random() < .2 else a) for _ in range(rng.randint(1, 80))) for _ in range(400) for a in alphabets]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800)])) for _ in range(60)) for _ in range(600)]
+    tokenizer = Tokenizer.from_file(tokenizer_path(BYTES))
+    got = window_fill.token_bytes(texts, window_fill.read_tokenizer(tokenizer_path(BYTES)))
+    assert window_fill._worker(window_fill.read_tokenizer(tokenizer_path(BYTES)))[1] is not None
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_go_through_themselves():
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = window_fill.token_bytes(TEXTS, window_fill.read_tokenizer(tokenizer_path()))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plan_fills_windows(seed):
     rng = random.Random(seed)
