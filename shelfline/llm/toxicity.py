@@ -13,6 +13,7 @@ FACTORS = 4
 STEMS = (4, 5)              # leading bytes of a word that are terms of their own
 EPOCHS = 80
 L1 = 0.01                   # a weight's pull towards zero while the frequent terms are chosen
+MISJUDGED = 3               # misjudged texts that a pair of terms must share to be tried
 CHANCE = 0.05               # chance that a term, or a pair, without a tie to the classes is told
 
 
@@ -62,31 +63,38 @@ def evidence(n: np.ndarray, toxic: np.ndarray, expected: np.ndarray) -> np.ndarr
 def telling_pairs(r: np.ndarray, c: np.ndarray, y: np.ndarray, p: np.ndarray, m: int, chance: float = CHANCE) -> np.ndarray:
     """Which of ``m`` terms form, with another, a pair whose texts the model ``p`` misjudges beyond chance.
 
-    All pairs are tried of terms frequent enough to tell: the evidence of fewer texts than ``least`` cannot
-    reach the bound at the classes' shares.
+    A pair that tells something makes the model err, so pairs are looked for in the misjudged texts only: those
+    of terms that share at least MISJUDGED of them. Their evidence then counts over all texts. The bound is that of
+    all pairs of the terms tried. Terms are met in blocks, so working arrays stay small.
     """
-    told, share, n = np.zeros(m, bool), min(y.mean(), 1 - y.mean()), len(y)
-    least = np.log(max(m * m / 2, 1) / chance) / -np.log(share)
-    often = np.flatnonzero(np.bincount(c, minlength=m) >= least)
+    told, wrong = np.zeros(m, bool), np.abs(y - p) >= 0.5
+    at = wrong[r]
+    often = np.flatnonzero(np.bincount(c[at], minlength=m) >= MISJUDGED)
     q = len(often)
+    if q < 2:
+        return told
     slot = np.full(m, -1)
     slot[often] = np.arange(q)
-    inside = slot[c] >= 0
-    x = np.zeros((n, q), bool)
-    x[r[inside], slot[c[inside]]] = True
+    inside = at & (slot[c] >= 0)
+    line = np.cumsum(wrong) - 1
+    x = np.zeros((q, int(wrong.sum())), np.float32)
+    x[slot[c[inside]], line[r[inside]]] = 1
     bound = np.log(max(q * q / 2, 1) / chance)
-    few = bound / -np.log(max(min(p.min(), 1 - p.max()), 1e-9))          # fewer texts cannot reach it under any of p
-    for lo in range(0, q, 512):
-        left = x[:, lo:lo + 512].astype(np.float32).T
-        toxic, expected = left * y.astype(np.float32), left * p.astype(np.float32)
-        for at in range(lo, q, 2048):
-            right = x[:, at:at + 2048].astype(np.float32)
-            both = left @ right
-            i, j = np.nonzero(both >= few)
-            other = i + lo != j + at
-            i, j = i[other], j[other]
-            found = evidence(both[i, j], (toxic @ right)[i, j], (expected @ right)[i, j]) >= bound
-            told[often[i[found] + lo]] = told[often[j[found] + at]] = True
+    order = np.argsort(c, kind="stable")
+    cut = np.searchsorted(c[order], np.arange(m + 1))
+    texts = lambda k: r[order[cut[k]:cut[k + 1]]]
+    has = np.zeros(len(y), bool)
+    for i in range(q):
+        both = np.flatnonzero(x[i + 1:] @ x[i] >= MISJUDGED) + i + 1
+        if not len(both):
+            continue
+        has[:] = False
+        has[texts(often[i])] = True
+        found = [t[has[t]] for t in (texts(k) for k in often[both])]
+        n, toxic, expected = (np.array([f(t) for t in found], float) for f in (len, lambda t: y[t].sum(), lambda t: p[t].sum()))
+        beyond = evidence(n, toxic, expected) >= bound
+        if beyond.any():
+            told[often[i]] = told[often[both[beyond]]] = True
     return told
 
 
@@ -168,12 +176,12 @@ def fit(documents: DataFrame, labels: DataFrame, modulo: int = 5, held_out: int
         for b in batches:
             r, t = terms(b["text"])
             cut = np.searchsorted(r, np.arange(1, len(b)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "y": b["target"].to_numpy(), "t": np.split(t.astype(np.int32), cut)})
-    rows = sorted(sampled_texts(documents, sample).mapInPandas(gather, "doc_id long, y int, t array<int>").toLocalIterator(),
-                  key=lambda r: r["doc_id"])
-    t = [np.array(r["t"], np.int64) for r in rows]
-    return train(np.repeat(np.arange(len(t)), [len(x) for x in t]) if t else np.zeros(0, int),
-                 np.concatenate(t) if t else np.zeros(0, int), np.array([r["y"] for r in rows]))
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "y": b["target"].to_numpy(),
+                                "t": [x.tobytes() for x in np.split(t.astype("<i4"), cut)]})
+    rows = sorted(((r["doc_id"], r["t"], r["y"]) for r in sampled_texts(documents, sample)
+                   .mapInPandas(gather, "doc_id long, y int, t binary").toLocalIterator()), key=lambda x: x[:2])
+    term = np.frombuffer(b"".join(t for _, t, _ in rows), "<i4")
+    return train(np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) // 4 for _, t, _ in rows]), term, np.array([y for *_, y in rows]))
 
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
