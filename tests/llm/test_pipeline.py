@@ -58,3 +58,12 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_no_model_is_no_filter(spark, tmp_path):
+    """Without languages, and without labels or with labels of one class, the filters keep every document."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}", None, "a", 20) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language(spark, docs, SF).count() == 8
+    for k, rows in enumerate(([], [(1, 1, 1), (2, 1, 1)], [(1, None, None)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert corpus_pipeline.harmless(spark, docs, f"{tmp_path}/{k}").count() == 8

@@ -129,3 +129,51 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     sample = labelled_sample(labels, "toxic", 5, 0, 200)
     assert sample.where(fold_of("doc_id", 5) == 0).isEmpty() and sample.count() == sample.select("doc_id").distinct().count()
     assert all(100 < r["count"] < 300 for r in sample.groupBy("target").count().collect())
+
+
+def test_quality_of_a_text_does_not_depend_on_its_neighbours(spark, docs, labels):
+    model = quality_mil.fit(docs, labels)
+    again = quality_mil.fit(docs.repartition(7, "text"), labels.repartition(3))
+    texts = docs.select("doc_id", "text").unionByName(odd(spark).select("doc_id", F.concat("text", F.lit("\n\n")).alias("text")))
+    first = quality_mil.score(texts, model)
+    mixed = quality_mil.score(texts.orderBy(F.xxhash64("text")), again).select("text", F.col("score").alias("other"))
+    both = first.join(mixed.distinct(), first["text"].eqNullSafe(mixed["text"]))
+    assert both.where("abs(score - other) > 1e-6").isEmpty() and both.count() >= texts.count()
+
+
+def test_line_feeds_count_for_their_own_text():
+    import numpy as np
+    from shelfline.llm.textkit import SPACE, raw, words
+    texts = ["a\nb", "", "\n", "c", "\n\nd\n", "e f\n\n"]
+    w = words([raw(t) for t in texts], ~SPACE)
+    counted = np.bincount(w.doc[quality_mil.own_line_feeds(w)], minlength=len(texts))
+    assert counted.tolist() == [1, 0, 0, 0, 3, 2]
+
+
+def plain_margin(terms, model):
+    """Bias, weights, and the sum over all pairs of the products of their factors."""
+    live = [t for t in terms if model["live"][t]]
+    pairs = sum(float(model["v"][a] @ model["v"][b]) for i, a in enumerate(live) for b in live[i + 1:])
+    return model["bias"] + sum(model["w"][t] for t in live) + pairs
+
+
+def test_toxicity_margin_is_the_sum_over_pairs(docs, labels):
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    row, term = toxicity.terms(texts)
+    fast = toxicity.margins(row, term, len(texts), model)
+    assert fast.tolist() == pytest.approx([plain_margin(term[row == i].tolist(), model) for i in range(len(texts))])
+
+
+def test_attention_is_the_plain_weighted_sum():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    m = quality_mil.train(*quality_mil.passages(["good words here. " * 90, "spam $$$ !!! " * 200, "fine text, again. " * 130, "### win *** "]), np.array([1, 0, 1, 0]), epochs=5)
+    owner, x = quality_mil.passages(["one two three " * 150, "", "win $$$ " * 5])
+    f = quality_mil.attend(owner, x, 3, m)
+    for i in range(3):
+        h = [np.tanh(((v - m["mean"]) / m["scale"]) @ m["E"] + m["e"]) for v in x[owner == i]]
+        a = np.array([float((np.tanh(v @ m["V"]) / (1 + np.exp(-(v @ m["U"])))) @ m["a"]) for v in h])
+        w = np.exp(a) / np.exp(a).sum()
+        z = sum(k * v for k, v in zip(w, h))
+        assert f["p"][i] == pytest.approx(1 / (1 + np.exp(-(z @ m["c"] + m["b"]))))
