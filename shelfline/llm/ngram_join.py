@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shelfline.operators.graph import components
 from shelfline.session import settle
 
-from .textkit import LOWER_AZ, SPACE, chunks, mix, raw, signed, words
+from .textkit import LOWER_AZ, SPACE, chunks, mix, raw, release, releasing, signed, words
 
 WORDS = 5
 PERCENT = 80
@@ -242,7 +242,7 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
             if often.any():
                 yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": np.int64(0),
                                     "h1": signed(grams[at[often]]), "h2": np.int64(0), "docs": held[often].astype(np.int64)})
-    return documents.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, h1 long, h2 long, docs long")
+    return documents.select("doc_id", "text").mapInPandas(releasing(sign), "doc_id long, n_shingles long, h1 long, h2 long, docs long")
 
 
 def common_grams(signs: DataFrame, most: int) -> np.ndarray:
@@ -304,9 +304,9 @@ def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray |
             _, _, edge = _chain(key[~pair], a[~pair])
             edge = np.unique(np.concatenate([edge, np.stack([a[pair], b[pair]], 1)]), axis=0)
             yield pd.DataFrame({"a": edge[:, 0], "b": edge[:, 1]})
-    rows = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(emit, "key long, a long, b long")
+    rows = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(releasing(emit), "key long, a long, b long")
     tasks = max(1, -(-grams * 3 * (100 - percent) // (100 * KEYS_PER_TASK)))
-    return settle(rows.repartition(tasks, "key").mapInPandas(join, "a long, b long").distinct(), "candidates")
+    return settle(rows.repartition(tasks, "key").mapInPandas(releasing(join), "a long, b long").distinct(), "candidates")
 
 
 def _compare(members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -318,6 +318,7 @@ def _compare(members: DataFrame, n: int, percent: int) -> DataFrame:
             for i, j in spanning_links(sets, part["comp"].tolist(), percent, part["needed"].to_numpy()):
                 a.append(ids[i])
                 b.append(ids[j])
+        release()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
     return members.groupBy("bin").applyInPandas(trees, "a long, b long")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shelfline.session import settle
 
+from .textkit import releasing
+
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 300_000       # words whose ids a Python worker remembers
@@ -129,7 +131,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = C
                 columns += [pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(fields)]
                 columns += [pa.array(ids, pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[n for n, _ in fields], *(["ids"] if with_ids else [])])
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+    return documents.select("doc_id", "text").mapInArrow(releasing(cut), schema)
 
 
 def fullest(available: list[tuple[int, int]], seed: int, capacity: int) -> Counter:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -74,6 +75,23 @@ def words(texts: Sequence[bytes], member: np.ndarray) -> Words:
     return Words(buf, start, length, doc, run_hash(buf, start, length), doc_start)
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task. Python workers live on for the tasks and stages
+    that follow, and what their allocators keep counts against the executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):         # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(make):
+    """A function from batches to batches that releases memory when its task ends."""
+    def run(batches):
+        yield from make(batches)
+        release()
+    return run
+
+
 def raw(text: str | None) -> bytes:
     return text.encode("utf-8") if isinstance(text, str) else b""
 
@@ -128,4 +146,4 @@ def with_columns_from_text(df: DataFrame, fields: Sequence[T.StructField], make,
                 made = make(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(made[f.name]) for f in fields]],
                                                  [*part.schema.names, *[f.name for f in fields]])
-    return base.mapInArrow(apply, T.StructType([*base.schema.fields, *fields]))
+    return base.mapInArrow(releasing(apply), T.StructType([*base.schema.fields, *fields]))
