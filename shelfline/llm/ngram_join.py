@@ -15,6 +15,9 @@ PERCENT = 80
 BLOCK_ROWS = 1_000          # sets of a block that one tree holds
 PIVOTS = 16                 # sets that every part of a split block also holds
 KEYS_PER_TASK = 700_000     # candidate keys that a task holds and compares, about
+SHARE = 4                   # how the shares of keys grow from one round to the next
+MOST_SHARES = 3             # the first round has a SHARE ** MOST_SHARES-th of the keys at least
+DEAL_ROWS = 2_000           # documents of a chunk whose keys are thinned together
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
 SIGN_ROWS = 3_000           # documents of a batch in which n-grams are counted
 COMMON_DOCS = 3             # different sets of a batch that make an n-gram common there
@@ -271,24 +274,51 @@ def _chain(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(([True], ~again)) if len(key) else np.zeros(0, bool), order, edge[edge[:, 0] != edge[:, 1]]
 
 
+def _shares(tasks: float) -> list[float]:
+    """Upper ends of the shares of keys that the rounds take; a few tasks' worth of keys needs one round."""
+    first = 0
+    while first < MOST_SHARES and SHARE ** first < tasks:
+        first += 1
+    return [1 / SHARE ** k for k in range(first, -1, -1)]
+
+
 def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray | None, grams: int) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a key of ``Segments``; settled.
 
-    ``grams`` is the number of n-grams of all sets. From it follows how many tasks the keys are dealt to: a
-    pair with many keys in common is found by each task that gets one of them.
+    ``grams`` is the number of n-grams of all sets. From it follows how many tasks the keys are dealt to. A
+    pair with many keys in common would be found by each task that gets one of them, so the keys are dealt in
+    rounds of growing shares, each key in one round, by a hash. After a round, documents go by the smallest
+    id of their component so far, so what is connected already makes no rows. Keys are made in one pass over
+    the texts and set aside, one column for each round.
 
     Keys of a chunk of documents are thinned before the shuffle: of the documents with a key in common one
     goes on, and the others are chained to it. So a frequent key is one row per chunk, and a key shared by
     k documents makes k - 1 edges, never all pairs.
     """
+    tasks = grams * 3 * (100 - percent) / (100 * KEYS_PER_TASK)
+    shares = _shares(tasks)
+    ends = np.array([min(int(x * 2 ** 32), 2 ** 32) for x in shares], np.uint64)
+    names = [f"k{i}" for i in range(len(shares))]
+
     def emit(batches):
         maker = Segments(percent, common)
         for b in batches:
-            ids = b["doc_id"].to_numpy()
-            for at in range(0, len(b), 2000):
-                keys = [maker.keys(s) for s in ngram_sets(b["text"].iloc[at:at + 2000], n)]
-                doc = np.repeat(ids[at:at + 2000], [len(k) for k in keys])
-                key = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            for at in range(0, len(b), DEAL_ROWS):
+                part = b.iloc[at:at + DEAL_ROWS]
+                rows = []
+                for s in ngram_sets(part["text"], n):
+                    key = maker.keys(s)
+                    turn = np.searchsorted(ends, mix(key) >> np.uint64(32), "right")
+                    rows.append([key[turn == i].tobytes() for i in range(len(names))])
+                yield pd.DataFrame(rows, columns=names).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", *names]]
+
+    def deal(batches):
+        for b in batches:
+            for at in range(0, len(b), DEAL_ROWS):
+                part = b.iloc[at:at + DEAL_ROWS]
+                keys = [np.frombuffer(k, np.int64) for k in part["keys"]]
+                doc = np.repeat(part["doc_id"].to_numpy(), [len(k) for k in keys])
+                key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 first, order, edge = _chain(key, doc)
                 alone = doc[order][first]
                 yield pd.DataFrame({"key": key[order][first], "a": alone, "b": alone})
@@ -304,9 +334,18 @@ def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray |
             _, _, edge = _chain(key[~pair], a[~pair])
             edge = np.unique(np.concatenate([edge, np.stack([a[pair], b[pair]], 1)]), axis=0)
             yield pd.DataFrame({"a": edge[:, 0], "b": edge[:, 1]})
-    rows = documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(releasing(emit), "key long, a long, b long")
-    tasks = max(1, -(-grams * 3 * (100 - percent) // (100 * KEYS_PER_TASK)))
-    return settle(rows.repartition(tasks, "key").mapInPandas(releasing(join), "a long, b long").distinct(), "candidates")
+    schema = ", ".join(["doc_id long", *[f"{k} binary" for k in names]])
+    keys = settle(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(releasing(emit), schema), "keys")
+    found, before = None, 0.0
+    for name, share in zip(names, shares):
+        rows = keys.select("doc_id", F.col(name).alias("keys")).where(F.octet_length("keys") > 0)
+        if found is not None:
+            so_far = components(found)
+            rows = rows.join(so_far, rows["doc_id"] == so_far["node"], "left").select(F.coalesce("component", "doc_id").alias("doc_id"), "keys")
+        dealt = rows.mapInPandas(releasing(deal), "key long, a long, b long").repartition(max(1, round(tasks * (share - before))), "key")
+        edges = settle(dealt.mapInPandas(releasing(join), "a long, b long").distinct(), "candidates")
+        found, before = edges if found is None else found.unionByName(edges), share
+    return found
 
 
 def _compare(members: DataFrame, n: int, percent: int) -> DataFrame:

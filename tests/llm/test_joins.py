@@ -54,6 +54,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, n, percent, block)
     monkeypatch.setattr(ngram_join, "COMMON_DOCS", 2 + seed)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(ngram_join, "PIVOTS", 1 if block < 10 else 16)
+    monkeypatch.setattr(ngram_join, "KEYS_PER_TASK", 100 if seed % 2 else 700_000)      # keys in several rounds, or in one
     texts = corpus(seed)
     out = ngram_join.link_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(texts, n, percent)
