@@ -340,7 +340,7 @@ def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray |
     for name, share in zip(names, shares):
         rows = keys.select("doc_id", F.col(name).alias("keys")).where(F.octet_length("keys") > 0)
         if found is not None:
-            so_far = components(found)
+            so_far = settle(components(found), "so_far")       # so that Spark knows its size when it picks the join
             rows = rows.join(so_far, rows["doc_id"] == so_far["node"], "left").select(F.coalesce("component", "doc_id").alias("doc_id"), "keys")
         dealt = rows.mapInPandas(releasing(deal), "key long, a long, b long").repartition(max(1, round(tasks * (share - before))), "key")
         edges = settle(dealt.mapInPandas(releasing(join), "a long, b long").distinct(), "candidates")
