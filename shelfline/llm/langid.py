@@ -1,18 +1,26 @@
 """Language identification by the nearest of several TF-IDF n-gram centroids per language."""
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from shelfline.session import settle
+
 from .textkit import chunks, fold_of, hash_share, raw, with_columns_from_text
 
 DIMS = 4096
 PER_LANGUAGE = 1_500        # sampled training documents per language for the clustering
 CENTROIDS = 4               # clusters per language
 ROUNDS = 12                 # k-means rounds
-SLACK = 0.35                # a text is rejected below this share of the similarity that is usual for its length
-LENGTHS = (0, 16, 64, 256, 1024)   # lower ends of the length classes, in n-grams
+LENGTHS = (0, 8, 16, 32, 64, 128, 256, 1024)   # lower ends of the length classes, in n-grams
+JUDGED = 5                  # one text in so many is left out of the clustering and judges the similarity that is usual
+STRETCHES = 1_500           # stretches of judging texts per language and length class, at most
+LOST = 0.002                # share of a language's own stretches that may be rejected, at most
+NOISE = 0.99                # share of stretches with shuffled letters that is rejected, where LOST allows it
+NEAR_ZERO = 0.01            # a cosine up to this is no likeness at any length
 
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -76,50 +84,97 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def stretches(texts: list[str], size: int, upto: int, most: int, rng: np.random.Generator) -> list[str]:
+    """Stretches of whole words of ``size`` to ``upto`` bytes, drawn evenly from the texts that are that long."""
+    split = [w for w in (t.split() for t in texts) if w]
+    out = []
+    for k in range(most):
+        own = split[k % len(split)] if split else []
+        goal, at, got = int(rng.integers(size, upto)), int(rng.integers(0, len(own) or 1)), 0
+        end = at
+        while end < len(own) and got < goal:
+            got, end = got + len(own[end].encode("utf-8", "replace")) + 1, end + 1
+        if size <= got < upto:
+            out.append(" ".join(own[at:end]))
+    return out
+
+
+def shuffled(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """The same letters and blanks in random order: what a text without a language looks like."""
+    return ["".join(np.array(list(t))[rng.permutation(len(t))]) for t in texts]
+
+
+def least_cosines(texts: list[str], centroids: np.ndarray, idf: np.ndarray) -> list[float]:
+    """Per length class the cosine below which a text is rejected.
+
+    Stretches of the judging texts are measured for every class, so that a class that no whole text has is
+    judged too. The limit is what NOISE of them stay under once their letters are shuffled, but never more than
+    what all but LOST of them reach. A class without a stretch takes the limit of the nearest class with one.
+    """
+    rng, found = np.random.default_rng(len(texts)), {}
+
+    def nearest(some):
+        parts = [vectors(gram_counts(some[at:at + 256]), idf) @ centroids.T for at in range(0, len(some), 256)]
+        return np.concatenate([p.max(axis=1) for p in parts])
+    for j, size in enumerate(LENGTHS):
+        upto = LENGTHS[j + 1] if j + 1 < len(LENGTHS) else 2 * size
+        some = stretches(texts, max(size, 2), upto, STRETCHES, rng)
+        if some:
+            found[j] = max(NEAR_ZERO, min(float(np.quantile(nearest(some), LOST)), float(np.quantile(nearest(shuffled(some, rng)), NOISE))))
+    return [found[min(found, key=lambda i: (abs(i - j), i))] if found else NEAR_ZERO for j in range(len(LENGTHS))]
+
+
 def fit(documents: DataFrame, modulo: int = 3, held_out: int = 1, per_language: int = PER_LANGUAGE,
         k: int = CENTROIDS) -> dict:
     """Learns the model from text and non-null language of the rows outside the held-out fold.
 
     Inverse document frequencies cover every such row. Sizes per language, one row each, are broadcast. Clustering runs as one Spark task per language on at
-    most about ``per_language`` texts. The model holds k centroids per language and the similarity that all
-    but one in a thousand of a centroid's own texts reach. No training rows give a model without languages.
+    most about ``per_language`` texts. One text in JUDGED, by a hash, takes no part in the clustering: from it
+    come the cosines below which a text is rejected (``least_cosines``). A language of too few texts to leave
+    some out is judged by those it has. The model holds k centroids and these limits per language. No training
+    rows give a model without languages.
     """
     training = _training(documents, modulo, held_out)
     n, df = _document_frequency(training)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     sizes = training.groupBy("lang").agg(F.count("*").alias("_n"))
     sample = training.join(F.broadcast(sizes), "lang").where(hash_share("doc_id") < F.lit(float(per_language)) / F.col("_n")).select("lang", "text")
+    sample = settle(sample, "languages")
+
+    def lettered(rows):
+        """Texts with a vector, in order, and which of them judge."""
+        texts = [t for t in sorted(rows["text"]) if len(raw(t.lower()).translate(_PLAIN).split())]
+        judge = np.array([zlib.crc32(raw(t)) % JUDGED == 0 for t in texts], bool)
+        return texts, judge if judge.any() and not judge.all() else None
 
     def centroids(key, rows):
-        parts = [gram_counts(rows["text"].iloc[at:at + 256]) for at in range(0, len(rows), 256)]
-        size = np.concatenate([length_class(c) for c in parts])
-        x = np.vstack([vectors(c, idf) for c in parts])
-        size, x = size[x.any(axis=1)], x[x.any(axis=1)]
-        if not len(x):
-            return pd.DataFrame({"lang": [], "vector": [], "usual": []})
-        c = cluster(x, k)
-        near, usual, least = (x @ c.T).max(axis=1), [], 1.0
-        for j in range(len(LENGTHS)):
-            own = near[size == j]
-            usual.append(float(np.quantile(own, 0.001)) if len(own) else least if usual else 0.0)
-            least = min(usual)
-        return pd.DataFrame({"lang": [key[0]] * len(c), "vector": [v.astype(np.float32) for v in c], "usual": [usual] * len(c)})
-    rows = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>, usual array<double>").collect(),
-                  key=lambda r: (r["lang"], r["vector"]))
-    return {"idf": idf, "langs": [r["lang"] for r in rows], "usual": np.array([r["usual"] for r in rows]).reshape(len(rows), len(LENGTHS)),
-            "centroids": np.array([r["vector"] for r in rows], np.float32).reshape(len(rows), DIMS)}
+        texts, judge = lettered(rows)
+        texts = [t for i, t in enumerate(texts) if judge is None or not judge[i]]
+        if not texts:
+            return pd.DataFrame({"lang": [], "vector": []}, dtype=object)
+        c = cluster(np.vstack([vectors(gram_counts(texts[at:at + 256]), idf) for at in range(0, len(texts), 256)]), k)
+        return pd.DataFrame({"lang": [key[0]] * len(c), "vector": [v.astype(np.float32) for v in c]})
+    found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>").collect(), key=lambda r: (r["lang"], r["vector"]))
+    c = np.array([r["vector"] for r in found], np.float32).reshape(len(found), DIMS)
+
+    def limits(key, rows):
+        texts, judge = lettered(rows)
+        return pd.DataFrame({"lang": [key[0]], "least": [least_cosines([t for i, t in enumerate(texts) if judge is None or judge[i]], c, idf)]})
+    least = {r["lang"]: r["least"] for r in sample.groupBy("lang").applyInPandas(limits, "lang string, least array<double>").collect()}
+    return {"idf": idf, "langs": [r["lang"] for r in found], "centroids": c,
+            "least": np.array([least[r["lang"]] for r in found]).reshape(len(found), len(LENGTHS))}
 
 
 def predict(documents: DataFrame, model: dict) -> DataFrame:
     """Adds lang_pred, score (cosine, 0 to 1) and rejected to every row; other columns are kept.
 
     A text that is null or has no letter gets ``und``, score 0, and is rejected. Any other text gets the
-    language of the nearest centroid; it is rejected when its cosine is under SLACK times what texts of that
-    language and length class usually reach. Ties take the first centroid in order of language. Columns with the
+    language of the nearest centroid; it is rejected when its cosine is under the limit of that language and
+    length class, which is NEAR_ZERO at least. Ties take the first centroid in order of language. Columns with the
     names of the three results are replaced.
     """
     def label(texts):
-        langs, c, usual = np.array(model["langs"], object), model["centroids"].T, model["usual"]
+        langs, c, least = np.array(model["langs"], object), model["centroids"].T, model["least"]
         lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
         if not len(langs):
             return {"lang_pred": ["und"] * len(texts), "rejected": [True] * len(texts), "score": [0.0] * len(texts)}
@@ -127,7 +182,7 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
         s = vectors(counts, model["idf"]) @ c
         best = s.argmax(axis=1)
         score = np.clip(s[np.arange(len(s)), best], 0, 1).astype(float)
-        return {"lang_pred": np.where(lettered, langs[best], "und"), "rejected": ~lettered | (score < SLACK * usual[best, length_class(counts)]),
+        return {"lang_pred": np.where(lettered, langs[best], "und"), "rejected": ~lettered | (score < least[best, length_class(counts)]),
                 "score": np.where(lettered, score, 0.0)}
     return with_columns_from_text(documents, [
         T.StructField("lang_pred", T.StringType()), T.StructField("rejected", T.BooleanType()),

@@ -42,6 +42,53 @@ def test_language_odd_rows(spark, docs):
         assert (r.lang_pred == "und") == (not lettered) and (lettered or (r.score == 0 and r.rejected)) and 0 <= r.score <= 1
 
 
+FOREIGN = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. ",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。"}
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    import random
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    draw = random.Random(4)
+    model = langid.fit(docs)
+    rows = [(n, "none", "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))) for n in (16, 32, 100, 400, 2000) for _ in range(200)]
+    rows += [(n, name, (text * 60)[:n]) for name, text in FOREIGN.items() for n in (16, 32, 100, 400, 2000)]
+    out = langid.predict(spark.createDataFrame(rows, "n int, kind string, text string"), model).toPandas()
+    passed = (~out.rejected).groupby([out.kind, out.n]).mean().unstack()
+    assert (passed.loc["none", [32, 100, 400, 2000]] <= 0.03).all() and passed.loc["none", 16] <= 0.1, passed
+    assert (passed.loc[["el", "ja", "ru"]] == 0).all().all()
+    held = langid.predict(docs, model).where((fold_of("doc_id", 3) == 1) & F.col("lang").isNotNull())
+    assert held.where("rejected").count() <= 0.005 * held.count()
+
+
+def test_language_score_is_the_plain_cosine(docs):
+    """Counts, weights, cosine and nearest centroid in plain loops, with the hash of the operator."""
+    import math
+    import re
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
+    fast = langid.vectors(langid.gram_counts(texts), model["idf"]) @ model["centroids"].T
+    for text, row in zip(texts, fast):
+        data = b" " + b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+        count = {}
+        for i in range(len(data) - 2):
+            dim = (int.from_bytes(data[i:i + 3], "big") * 2654435761 % 2 ** 32) >> 20
+            count[dim] = count.get(dim, 0) + 1
+        weight = {d: math.log(1 + n) * float(model["idf"][d]) for d, n in count.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        plain = [sum(w * float(c[d]) for d, w in weight.items()) / norm for c in model["centroids"]]
+        assert row.tolist() == pytest.approx(plain, abs=1e-5)
+
+
+def test_limits_of_languages_with_few_texts(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("one", "en"), ("ein", "de"), ("", "fr"), ("12", "it")] * 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=9)
+    assert set(model["langs"]) == {"de", "en"} and (model["least"] >= langid.NEAR_ZERO).all() and (model["least"] <= 1).all()
+    assert langid.stretches(["", "  "], 2, 8, 5, __import__("numpy").random.default_rng(1)) == []
+
+
 def test_language_without_training(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(none)
