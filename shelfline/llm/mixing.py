@@ -98,7 +98,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
     one source. A null source is a source of its own; a null or empty text counts as one character, so that
     it has a place. ``weights`` maps sources to positive numbers; sources that it leaves out follow with
     weights by size once the named ones are mixed. Without it, target weights are shares of characters to
-    the power ``temper``. The driver holds one row per source. Results of these names replace input columns.
+    the power ``temper``. The driver holds one row per source, and sends it to the tasks. Results of these names replace input columns.
 
     A source of any size is split: rows are summed within groups of about GROUP_ROWS rows, and groups are
     offset by running totals of one row per group.
@@ -120,8 +120,9 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
         after = phases[-1]["end"] if phases else 0
         rest = schedule({s: n for s, n in blocks.items() if s not in named}, by_size)
         phases += [p | {"base": p["base"] + after, "end": p["end"] + after} for p in rest]
-    groups = documents.sparkSession.createDataFrame([(s, -(-n // GROUP_ROWS)) for s, (n, _) in total.items()] or [("", 1)],
-                                                    "_source string, _groups long")
+    # one row per source, which the driver holds anyway: the rows of a hot source are salted where they are read
+    groups = F.broadcast(documents.sparkSession.createDataFrame([(s, -(-n // GROUP_ROWS)) for s, (n, _) in total.items()] or [("", 1)],
+                                                                "_source string, _groups long"))
     salted = sized.join(groups, "_source").withColumn("_group", F.pmod("_hash", "_groups")).drop("_groups")
     offset = (salted.groupBy("_source", "_group").agg(F.sum("mix_chars").alias("_sum"))
               .withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_group")) - F.col("_sum")).drop("_sum"))
