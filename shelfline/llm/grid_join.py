@@ -54,7 +54,8 @@ def principal(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float):
-    """Linked positions (i, j) of two sequences in grid order; within one sequence each pair once.
+    """Pairs of intervals (first positions a and c, matrix of linked positions) of two sequences in grid order;
+    within one sequence each pair once, as a position and a later one.
 
     An interval pair whose boxes in the leading dimensions lie further apart than the radius cannot link and
     is skipped; others are halved until they are small and compared by dot products in doubles.
@@ -69,10 +70,11 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
         if (apart * apart).sum() > radius * radius:
             continue
         if b - a <= LEAF_ROWS and d - c <= LEAF_ROWS:
-            i, j = np.nonzero(x[a:b] @ y[c:d].T >= cosine)
+            hits = x[a:b] @ y[c:d].T >= cosine
             if same and a == c:
-                i, j = i[i < j], j[i < j]
-            yield i + a, j + c
+                hits = np.triu(hits, 1)
+            if hits.any():
+                yield a, c, hits
             continue
         e, f = (a + b) // 2, (c + d) // 2
         left = [(a, e), (e, b)] if b - a > LEAF_ROWS else [(a, b)]
@@ -80,22 +82,29 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
         stack += [(*p, *q) for p in left for q in right]
 
 
-def _forest_edges(edge: np.ndarray) -> np.ndarray:
-    """A spanning forest of some edges."""
-    root: dict[int, int] = {}
+class Connected:
+    """Which rows of two sequences are connected, and a forest of links that connects them."""
 
-    def find(v):
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-    kept = []
-    for a, b in edge.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return np.array(kept, np.int64).reshape(-1, 2)
+    def __init__(self, n: int):
+        self.label, self.links = np.arange(n), []
+
+    def join(self, rows: np.ndarray, cols: np.ndarray, hits: np.ndarray) -> None:
+        """Connects what a matrix of links between ``rows`` and ``cols`` connects.
+
+        Links within a component count for nothing. Of the others one per row is taken, as often as there are any: each
+        time every component with such a link joins another, so a few times suffice and only rows that join
+        something are touched one by one.
+        """
+        while True:
+            new = hits & (self.label[rows][:, None] != self.label[cols][None, :])
+            some = np.flatnonzero(new.any(axis=1))
+            if not len(some):
+                return
+            for i, j in zip(rows[some].tolist(), cols[new[some].argmax(axis=1)].tolist()):
+                x, y = self.label[i], self.label[j]
+                if x != y:
+                    self.label[self.label == max(x, y)] = min(x, y)
+                    self.links.append((i, j))
 
 
 def _blocks(points: DataFrame, axes: dict[int, np.ndarray], radius: float) -> DataFrame:
@@ -188,13 +197,15 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
                 x = unit_rows(np.asarray(r.v1).reshape(-1, r.dims))
                 y = x if same else unit_rows(np.asarray(r.v2).reshape(-1, r.dims))
                 ids1, ids2, c1, c2 = (np.asarray(v) for v in (r.ids1, r.ids2, r.copies1, r.copies2))
-                n1, n2, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-                for i, j in join_intervals(x, x @ axis, y, y @ axis, same, cosine):
-                    np.add.at(n1, i, c2[j])
-                    np.add.at(n1 if same else n2, j, c1[i])
-                    edges.append(_forest_edges(np.stack([ids1[i], ids2[j]], 1)))
-                edge = _forest_edges(np.concatenate(edges)) if edges else np.zeros((0, 2), np.int64)
-                count = [(v, n) for ids, m in ((ids1, n1), (ids2, n2)) for v, n in zip(ids[m > 0], m[m > 0])]
+                n1, n2 = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+                ids, shift, whole = (ids1, 0, Connected(len(x))) if same else (np.concatenate([ids1, ids2]), len(x), Connected(len(x) + len(y)))
+                for at, on, hits in join_intervals(x, x @ axis, y, y @ axis, same, cosine):
+                    i, j = np.arange(at, at + hits.shape[0]), np.arange(on, on + hits.shape[1])
+                    n1[i] += hits @ c2[j]
+                    (n1 if same else n2)[j] += c1[i] @ hits
+                    whole.join(i, j + shift, hits)
+                edge = ids[np.array(whole.links, np.int64).reshape(-1, 2)]
+                count = [(v, n) for some, m in ((ids1, n1), (ids2, n2)) for v, n in zip(some[m > 0], m[m > 0])]
                 out = [(v, None, n) for v, n in count] + [(a, c, 0) for a, c in edge.tolist()]
                 yield pd.DataFrame({"a": np.array([o[0] for o in out], np.int64), "b": pd.array([o[1] for o in out], "Int64"),
                                     "n": np.array([o[2] for o in out], np.int64)})

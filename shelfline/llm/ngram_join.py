@@ -450,5 +450,8 @@ def deduplicate(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     and documents without shingles, stay: they link with nothing. Empty documents are no copies.
     """
     standing = link_documents(documents, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(standing, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(documents.where("doc_id is null"))
+    columns = [F.col(f"`{f.name}`") for f in documents.schema.fields]
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    kept = (documents.join(standing, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("_row"), F.xxhash64(*hashed).alias("_hash"))
+            .groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")))
+    return kept.select("_row.*").unionByName(documents.where("doc_id is null"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,36 @@ def test_vectors_empty_and_repeated(spark):
     assert grid_join.link_vectors(spark.createDataFrame([], schema)).count() == 0
     out = grid_join.link_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], schema)).collect()
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in out) == [("1", 1, True), ("1", 1, True), ("None", 0, False)]
+
+
+def test_a_forest_connects_what_links_connect():
+    rng = np.random.default_rng(8)
+    for density in (0.002, 0.02, 0.2):
+        whole, root = grid_join.Connected(120), list(range(120))
+        for _ in range(6):
+            a, b = rng.permutation(120)[:50], rng.permutation(120)[:40]
+            hits = rng.random((50, 40)) < density
+            whole.join(a, b, hits)
+            for i, j in zip(*np.nonzero(hits)):
+                p, q = sorted((find(root, int(a[i])), find(root, int(b[j]))))
+                root[q] = p
+        assert whole.label.tolist() == [find(root, i) for i in range(120)]
+        assert len(whole.links) == 120 - len(set(whole.label.tolist()))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """20,000 vectors that all link: 200 million links, counted and connected without touching each."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=32) + rng.normal(scale=0.01, size=(20_000, 32))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x), "label": 1}), "vec_id long, embedding array<double>, label int")
+    out = grid_join.link_vectors(df).toPandas()
+    assert (out.n_links == 19_999).all() and (out.component_id == 0).all() and out.kept.sum() == 1
+
+
+def test_of_repeated_ids_the_smallest_hash_stays(spark):
+    rows = [(1, f"words of text number {i} are here", i, {"k": i}) for i in range(20)] + [(2, "other words", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, m map<string,int>")
+    want = df.where("doc_id = 1").select("text", F.xxhash64("doc_id", "text", "n").alias("h")).orderBy("h").first()["text"]
+    for copies in (df, df.repartition(7, "text")):
+        kept = ngram_join.deduplicate(copies)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, want), (2, "other words")]
