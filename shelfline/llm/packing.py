@@ -183,9 +183,12 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, C
     return bins
 
 
-def _slots(bins: list[tuple[int, Counter]]) -> dict[int, np.ndarray]:
-    """Per length, rows (first rank, per bin, first sequence, offset): where the pieces of that length go, by rank."""
-    found, used, sequence = {}, Counter(), 0
+def _slots(bins: list[tuple[int, Counter]], sequence: int = 0) -> tuple[dict[int, np.ndarray], int]:
+    """Per length, rows (first rank, per bin, first sequence, offset): where the pieces of that length go, by rank.
+
+    Sequences are numbered from ``sequence``; the number after the last one is returned too.
+    """
+    found, used = {}, Counter()
     for times, bin_ in bins:
         offset = 0
         for length, k in sorted(bin_.items(), reverse=True):
@@ -193,40 +196,50 @@ def _slots(bins: list[tuple[int, Counter]]) -> dict[int, np.ndarray]:
             used[length] += times * k
             offset += k * length
         sequence += times
-    return {length: np.array(rows, np.int64) for length, rows in found.items()}
+    return {length: np.array(rows, np.int64) for length, rows in found.items()}, sequence
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, turn: str | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces with a length from 1 to ``capacity``.
 
     The histogram of lengths has at most ``capacity`` rows whatever the data, so the packing is planned on
     it. Pieces of a length are interchangeable: each gets a rank among them, and the plan gives ranges of
     ranks their places. Ranks come from groups of about GROUP_ROWS pieces, so no length, however frequent,
     meets in one task. Ties in rank order do not matter. No pieces give no sequences.
+
+    ``turn`` names an integer column of a few values, nulls excluded: pieces of a turn are packed among
+    themselves, and the sequences of a lesser turn have lesser numbers. A plan is made for each turn.
     """
-    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = _slots(plan(lengths, capacity))
+    by = ["length"] if turn is None else [turn, "length"]
+    counts = {(r[turn] if turn else 0, r["length"]): r["n"] for r in pieces.groupBy(*by).agg(F.count("*").alias("n")).collect()}
+    slots, sequence = {}, 0
+    for t in sorted({t for t, _ in counts}):
+        own, sequence = _slots(plan({x: n for (u, x), n in counts.items() if u == t}, capacity), sequence)
+        slots |= {(t, x): rows for x, rows in own.items()}
     spark = pieces.sparkSession
-    groups = F.broadcast(spark.createDataFrame([(x, -(-n // GROUP_ROWS)) for x, n in lengths.items()], "length long, _groups long"))
+    sized = [(*((t, x) if turn else (x,)), -(-n // GROUP_ROWS)) for (t, x), n in counts.items()]
+    groups = F.broadcast(spark.createDataFrame(sized, (f"`{turn}` long, " if turn else "") + "length long, _groups long"))
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = pieces.join(groups, "length").withColumn("_group", F.pmod(F.xxhash64(*order), "_groups")).drop("_groups")
-    base = (salted.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-            .withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).drop("_n"))
-    within = Window.partitionBy("length", "_group").orderBy(*order)
-    ranked = (salted.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_group"])
+    salted = pieces.join(groups, by).withColumn("_group", F.pmod(F.xxhash64(*order), "_groups")).drop("_groups")
+    base = (salted.groupBy(*by, "_group").agg(F.count("*").alias("_n"))
+            .withColumn("_base", F.sum("_n").over(Window.partitionBy(*by).orderBy("_group")) - F.col("_n")).drop("_n"))
+    within = Window.partitionBy(*by, "_group").orderBy(*order)
+    ranked = (salted.withColumn("_rank", F.row_number().over(within) - 1).join(base, [*by, "_group"])
               .withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_group", "_base"))
     kept = [f for f in ranked.schema.fields if f.name not in ("_rank", "sequence_id", "offset")]
 
     def place(batches):
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
+            turns = b.column(turn).to_numpy() if turn else np.zeros(len(length), np.int64)
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length):
-                own = length == x
-                first, per, start, begin = slots[x].T
-                at = np.searchsorted(first, rank[own], "right") - 1
-                copy, turn = np.divmod(rank[own] - first[at], per[at])
-                sequence[own], offset[own] = start[at] + copy, begin[at] + turn * x
+            for t in np.unique(turns):
+                for x in np.unique(length[turns == t]):
+                    own = (length == x) & (turns == t)
+                    first, per, start, begin = slots[t, x].T
+                    at = np.searchsorted(first, rank[own], "right") - 1
+                    copy, again = np.divmod(rank[own] - first[at], per[at])
+                    sequence[own], offset[own] = start[at] + copy, begin[at] + again * x
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(sequence), pa.array(offset)],
                                              [*[f.name for f in kept], "sequence_id", "offset"])
     return ranked.mapInArrow(place, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
