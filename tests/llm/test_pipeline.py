@@ -67,3 +67,23 @@ def test_no_model_is_no_filter(spark, tmp_path):
     for k, rows in enumerate(([], [(1, 1, 1), (2, 1, 1)], [(1, None, None)])):
         spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
         assert corpus_pipeline.harmless(spark, docs, f"{tmp_path}/{k}").count() == 8
+
+
+def test_sequences_follow_the_mix(spark):
+    """Sources of very different sizes: each turn of sequences holds them as its slots of the mix do."""
+    rows = [(i, f"w{i} " * 4000, "hot" if i % 3 else "s1") for i in range(150)] + [(None, "nobody", "s1"), (3, "again", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.packed(spark, docs, SF).toPandas()
+    slot = {r.doc_id: r.s for r in corpus_pipeline.mixing.mix(docs).groupBy("doc_id").agg(F.min("mix_slot").alias("s")).collect()}
+    turns = corpus_pipeline.MIX_TURNS
+    last = max(s for i, s in slot.items() if i is not None) + 1
+    want = [turns - 1 if np.isnan(i) else slot[i] * turns // last for i in out.doc_id]
+    assert out.mix_turn.tolist() == want and len(out.doc_id.unique()) == 151
+    range_ = out.groupby("mix_turn").sequence_id.agg(["min", "max"]).sort_index()
+    assert (range_["min"].to_numpy()[1:] > range_["max"].to_numpy()[:-1]).all()
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 4096
+    sources = {i: s for i, _, s in rows}
+    share = out[out.mix_turn < turns - 2].assign(hot=[sources.get(i) == "hot" for i in out[out.mix_turn < turns - 2].doc_id])
+    share = share[share.hot].groupby("mix_turn").length.sum() / share.groupby("mix_turn").length.sum()
+    assert len(share) == turns - 2 and share.max() - share.min() < 0.35
