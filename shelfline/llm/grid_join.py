@@ -83,10 +83,10 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
 
 
 class Connected:
-    """Which rows of two sequences are connected, and a forest of links that connects them."""
+    """Which rows of two sequences are connected; ``label`` is the first row of each row's component."""
 
     def __init__(self, n: int):
-        self.label, self.links = np.arange(n), []
+        self.label = np.arange(n)
 
     def join(self, rows: np.ndarray, cols: np.ndarray, hits: np.ndarray) -> None:
         """Connects what a matrix of links between ``rows`` and ``cols`` connects.
@@ -104,7 +104,13 @@ class Connected:
                 x, y = self.label[i], self.label[j]
                 if x != y:
                     self.label[self.label == max(x, y)] = min(x, y)
-                    self.links.append((i, j))
+
+    def stars(self, ids: np.ndarray) -> np.ndarray:
+        """Per component of several ids, edges from its smallest id to the others."""
+        least = ids.copy()
+        np.minimum.at(least, self.label, ids)
+        centre = least[self.label]
+        return np.unique(np.stack([centre, ids], 1)[centre != ids], axis=0)
 
 
 def _blocks(points: DataFrame, axes: dict[int, np.ndarray], radius: float) -> DataFrame:
@@ -163,7 +169,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Equal vectors of a label are one point with a number of copies. Points are sorted in grid order and cut
     into blocks; pairs of blocks that lie within the radius on every leading dimension are joined
-    recursively, each in one task, which sends link counts and a spanning forest, never all pairs. The
+    recursively, each in one task, which sends link counts and one edge per connected vector, never all pairs. The
     search is exact: a grid cell or block of any size is split further.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
@@ -204,7 +210,7 @@ def link_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
                     n1[i] += hits @ c2[j]
                     (n1 if same else n2)[j] += c1[i] @ hits
                     whole.join(i, j + shift, hits)
-                edge = ids[np.array(whole.links, np.int64).reshape(-1, 2)]
+                edge = whole.stars(ids)
                 count = [(v, n) for some, m in ((ids1, n1), (ids2, n2)) for v, n in zip(some[m > 0], m[m > 0])]
                 out = [(v, None, n) for v, n in count] + [(a, c, 0) for a, c in edge.tolist()]
                 yield pd.DataFrame({"a": np.array([o[0] for o in out], np.int64), "b": pd.array([o[1] for o in out], "Int64"),

@@ -147,7 +147,7 @@ def test_vectors_empty_and_repeated(spark):
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in out) == [("1", 1, True), ("1", 1, True), ("None", 0, False)]
 
 
-def test_a_forest_connects_what_links_connect():
+def test_stars_connect_what_links_connect():
     rng = np.random.default_rng(8)
     for density in (0.002, 0.02, 0.2):
         whole, root = grid_join.Connected(120), list(range(120))
@@ -159,7 +159,8 @@ def test_a_forest_connects_what_links_connect():
                 p, q = sorted((find(root, int(a[i])), find(root, int(b[j]))))
                 root[q] = p
         assert whole.label.tolist() == [find(root, i) for i in range(120)]
-        assert len(whole.links) == 120 - len(set(whole.label.tolist()))
+        stars = whole.stars(np.arange(120) * 3 + 7)
+        assert stars.tolist() == [[3 * find(root, i) + 7, 3 * i + 7] for _, i in sorted((find(root, i), i) for i in range(120)) if find(root, i) != i]
 
 
 def test_a_large_group_of_near_copies(spark):
