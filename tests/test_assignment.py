@@ -86,3 +86,15 @@ def test_first_come_names_equal_a_loop(spark):
             own |= set(days[n])
     assert {n for n, r in out.items() if "demoted" in r.method} == set(lost) and len(out) == len(mapped)
     assert [out[n].series_id for n in sorted(lost)] == [f"d_{i:04}" for i in range(len(lost))]
+
+
+def test_components_of_a_chunk_need_no_rounds(spark, monkeypatch):
+    """Many components that fit into a chunk, together far more than one: none of them is cut up."""
+    rng = random.Random(9)
+    rows = [(f"c{c}", f"g{c}-{i}", f"s{c}-{i * 2 // 3 + j}", round(rng.random(), 3)) for c in range(30) for i in range(9) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "component string, group string, series_id string, score double")
+    monkeypatch.setattr(auction, "_round", lambda *_: pytest.fail("a component of one chunk was cut up"))
+    got = auction.auction(df, chunk_links=100).collect()
+    best = [M._assign(pd.DataFrame([r[1:] for r in rows if r[0] == c], columns=["group", "series_id", "score"])) for c in {r[0] for r in rows}]
+    assert len(got) == len({r.group for r in got}) == len({r.series_id for r in got}) == sum(map(len, best))
+    assert sum(r.score for r in got) == pytest.approx(sum(b.score.sum() for b in best))
