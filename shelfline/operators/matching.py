@@ -99,7 +99,8 @@ def prefix_hits(short: DataFrame, full: DataFrame, prefix: str, text: str) -> Da
         lengths = [0]
     cut = full.withColumn("_n", F.explode(F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(text))))
     cut = cut.withColumn("_prefix", F.substring(F.col(text), F.lit(1), F.col("_n"))).drop("_n")
-    return short.join(cut, short[prefix] == cut["_prefix"]).drop("_prefix")
+    # every text is cut many times: its size on disk says little about the join, so nothing is broadcast
+    return short.join(cut.hint("merge"), short[prefix] == cut["_prefix"]).drop("_prefix")
 
 
 def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> DataFrame:
@@ -109,9 +110,10 @@ def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> Da
     tried only if the earlier one found nothing.
     """
     info = names.select("name", "norm", "word_key", "pack", "truncated")
-    cand = candidates.select(ID, "name").distinct().join(info, "name").select(
-        ID, *[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "word_key", "pack", "truncated")])
-    cand = settle(cand, "candidates")      # name-level tables, read by several rules
+    # names of many IDs are looked up once; a name-ID table is small on disk and large in memory, so it is never broadcast
+    ids = settle(candidates.select(F.col("name").alias("c_name"), ID).distinct(), "candidate_ids").hint("merge")
+    cand = settle(ids.select(F.col("c_name").alias("name")).distinct().join(info, "name").select(
+        *[F.col(c).alias(f"c_{c}") for c in ("name", "norm", "word_key", "pack", "truncated")]), "candidates")
     mine = settle(todo.select("name").distinct().join(info, "name"), "todo")
     cut = F.regexp_replace("name", r"\s*\.\.\.$", "")
     short = mine.where("truncated").withColumn("prefix", cut).withColumn("norm_prefix", T.normalize(cut))
@@ -119,28 +121,33 @@ def rule_matches(todo: DataFrame, candidates: DataFrame, names: DataFrame) -> Da
     rest = short.join(raw.select("name").distinct(), "name", "left_anti")
     loose = prefix_hits(rest, cand, "norm_prefix", "c_norm")
     fits = T.same_pack("pack", "truncated", "c_pack", "c_truncated")
-    by_prefix = raw.unionByName(loose).where(fits).select("name", ID, F.lit("3b_truncated_prefix").alias("rule"))
+    by_prefix = (raw.unionByName(loose).where(fits).select("name", "c_name").join(ids, "c_name")
+                 .select("name", ID, F.lit("3b_truncated_prefix").alias("rule")))
     few = (F.countDistinct(ID).alias("n_ids"), F.min(ID).alias("_id"))
 
     def equal(key: str, rule: str) -> DataFrame:
         """IDs are counted per key first: a frequent key is one row of the join, not one per ID."""
-        ids = cand.groupBy(F.col(f"c_{key}").alias(key)).agg(*few)
-        return mine.join(ids, key).select("name", F.lit(rule).alias("rule"), "n_ids", "_id")
+        found = cand.select("c_name", F.col(f"c_{key}").alias(key)).join(ids, "c_name").groupBy(key).agg(*few)
+        return mine.join(found, key).select("name", F.lit(rule).alias("rule"), "n_ids", "_id")
     found = (by_prefix.groupBy("name", "rule").agg(*few)
              .unionByName(equal("norm", "3c_normalized")).unionByName(equal("word_key", "3d_word_order")))
     best = found.groupBy("name").agg(F.min(F.struct("rule", "n_ids", "_id")).alias("_b"))   # rule names sort in priority order
     one = F.col("_b.n_ids") == 1
-    return mine.select("name").join(best, "name", "left").select(
+    rules = mine.select("name").join(best, "name", "left").select(
         "name", F.when(F.col("_b").isNull(), "no_rule_match").when(one, F.col("_b.rule")).otherwise(F.concat("_b.rule", F.lit("_ambiguous"))).alias("rule"),
         F.when(one, F.col("_b._id")).alias("series_id"), F.coalesce("_b.n_ids", F.lit(0)).alias("n_ids"))
+    return settle(rules, "rules")
 
 
 def never_same_day(pairs: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of names without a common day."""
-    days = rows.select("name", "date").distinct()
-    left = pairs.select(a, b).join(days.withColumnRenamed("name", a), a)
-    shared = left.join(days.withColumnRenamed("name", b), [b, "date"], "left_semi").select(a, b).distinct()
-    return pairs.join(shared, [a, b], "left_anti")
+    pairs = settle(pairs, "pairs")
+    used = pairs.select(F.explode(F.array(a, b)).alias("name")).distinct()
+    days = rows.join(used, "name", "left_semi").groupBy("name").agg(F.collect_set(F.unix_date("date")).alias("_d"))    # calendar days
+    side = lambda c: days.select(F.col("name").alias(c), F.col("_d").alias(f"_{c}_days")).hint("merge")
+    both = pairs.join(side(a), a, "left").join(side(b), b, "left")
+    shared = F.coalesce(F.arrays_overlap(f"_{a}_days", f"_{b}_days"), F.lit(False))
+    return both.where(~shared).select(*pairs.columns)
 
 
 def truncation_groups(leftover: DataFrame, pre: DataFrame, names: DataFrame) -> DataFrame:
@@ -150,7 +157,7 @@ def truncation_groups(leftover: DataFrame, pre: DataFrame, names: DataFrame) ->
     hits = prefix_hits(info.where("truncated"), full, "norm", "c_norm").where(T.same_pack("pack", "truncated", "c_pack", "c_truncated"))
     free = never_same_day(hits.select("name", "c_name"), pre, "name", "c_name")
     link = free.groupBy("name").agg(F.count("*").alias("_n"), F.min("c_name").alias("_g")).where("_n = 1")
-    return info.select("name").join(link, "name", "left").select("name", F.coalesce("_g", "name").alias("group"))
+    return settle(info.select("name").join(link, "name", "left").select("name", F.coalesce("_g", "name").alias("group")), "groups")
 
 
 # --- blocking ------------------------------------------------------------------------------------------------
