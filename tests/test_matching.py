@@ -1,6 +1,7 @@
 """Rule cascade, nearest names and links against plain loops, and what their plans must not hold."""
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfline.operators import matching as M
@@ -36,3 +37,36 @@ def test_never_same_day(spark):
     own = {n: {d for m, d in days if m == n and d} for n in {p for q in pairs for p in q}}
     got = M.never_same_day(spark.createDataFrame(pairs, "a string, b string"), rows, "a", "b").collect()
     assert sorted(map(tuple, got)) == sorted(p for p in pairs if not own[p[0]] & own[p[1]])
+
+
+def test_nearest_norms_in_blocks_equal_a_loop(spark):
+    rng = random.Random(5)
+    words = ["red", "blue", "ring", "nut", "brand", "b1", "b22", "large", "xyzzy", "quux"]
+    texts = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)})
+    q, c = texts[::3] + texts[:5], texts[1:]
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "norm string")
+    w = M.gram_weights(frame(q).unionAll(frame(c)).groupBy("norm").agg(F.count("*").alias("copies")))
+    vec: dict = {}
+    for r in w.collect():
+        vec.setdefault(r.norm, {})[r.gram] = r.w
+    want = []
+    for a in sorted(set(q)):
+        sims = [(round(sum(x * vec[b][g] for g, x in vec[a].items() if g in vec[b]), 7), b) for b in sorted(set(c)) if set(vec[a]) & set(vec[b])]
+        want += [(a, b, s) for s, b in sorted(sims, key=lambda x: (-x[0], x[1]))[:4]]
+    for block in ((3, 7), (1_000, 20_000)):
+        got = M.nearest_norms(frame(q), frame(c), w, 4, block=block, tasks=4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_rare_and_frequent_grams_add_up():
+    import pyarrow as pa
+    rng = random.Random(1)
+    side = lambda n, at: [(at + i, sorted(rng.sample(range(40), 6))) for i in range(n)]
+    table = lambda rows: pa.table({"n": pa.array([r[0] for r in rows], pa.int64()), "grams": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                                   "w": pa.array([[.1 + g / 100 for g in r[1]] for r in rows], pa.list_(pa.float64()))})
+    q, c = side(30, 0), side(50, 100)
+    for dense_bytes in (1, 8 * 50 * 10, 1 << 20):          # one, ten and all columns dense
+        out = M._nearest_in_block(5, 7, dense_bytes)(table(q), table(c)).to_pylist()
+        for (n, grams), row in zip(q, out):
+            sims = [(-int(np.floor(sum((.1 + g / 100) ** 2 for g in set(grams) & set(h)) * 1e7 + .5)), m) for m, h in c if set(grams) & set(h)]
+            assert row["q"] == n and sorted((t["n"], t["c"]) for t in row["top"]) == sorted(sims)[:5]
