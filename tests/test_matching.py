@@ -1,5 +1,6 @@
 """Rule cascade, nearest names and links against plain loops, and what their plans must not hold."""
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -70,3 +71,10 @@ def test_rare_and_frequent_grams_add_up():
         for (n, grams), row in zip(q, out):
             sims = [(-int(np.floor(sum((.1 + g / 100) ** 2 for g in set(grams) & set(h)) * 1e7 + .5)), m) for m, h in c if set(grams) & set(h)]
             assert row["q"] == n and sorted((t["n"], t["c"]) for t in row["top"]) == sorted(sims)[:5]
+
+
+def test_links_are_solved_once(spark):
+    rows = [(f"g{i}", f"s{i + j}", .5 + j / 10, 3) for i in range(40) for j in (0, 1)]
+    links = M.assign_links(spark.createDataFrame(rows, "group string, series_id string, score double, gap_days int"))
+    assert "InPandas" not in plan(links) and "InArrow" not in plan(links)
+    assert Counter(r.tier for r in links.collect()) == {"5_handover_short_gap": 40}
