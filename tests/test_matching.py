@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from shelfline import session
 from shelfline.operators import matching as M
 
 
@@ -78,3 +79,52 @@ def test_links_are_solved_once(spark):
     links = M.assign_links(spark.createDataFrame(rows, "group string, series_id string, score double, gap_days int"))
     assert "InPandas" not in plan(links) and "InArrow" not in plan(links)
     assert Counter(r.tier for r in links.collect()) == {"5_handover_short_gap": 40}
+
+
+def test_neighbours_are_numbers_until_the_last_join(spark, tmp_path):
+    """Blocks hand on one number a neighbour, and what only they read is deleted once the neighbours are written."""
+    texts = [f"nut {i} ring {i % 3} bolt" for i in range(12)]
+    frame = spark.createDataFrame([(t,) for t in texts], "norm string")
+    w = M.gram_weights(frame.groupBy("norm").agg(F.count("*").alias("copies")))
+    before = len(session._settled)
+    pairs, places = M.nearest_places(frame, frame, w, 3, block=(2, 5), tasks=4)
+    assert dict(pairs.dtypes) == {"q": "bigint", "c": "bigint", "sim": "double"}
+    assert sorted(r.norm for r in places.orderBy("n").collect()) == [r.norm for r in places.orderBy("n").collect()] == sorted(texts)
+    left = [p.rsplit("/", 1)[1].split("-")[1] for p in session._settled[before:]]
+    assert "nearest" in left and not {"grams", "gram_numbers", "vectors"} & set(left)
+    best = pairs.groupBy("q").agg(F.max_by("c", "sim").alias("c")).collect()
+    assert len(best) == 12 and all(r.q == r.c for r in best)
+
+
+def test_blocked_candidates_equal_a_plain_ranking(spark):
+    rng = random.Random(8)
+    words = ["red", "blue", "ring", "nut", "brand", "large", "xyzzy"]
+    groups = sorted({" ".join(rng.sample(words, 3)) for _ in range(15)})
+    rows = sorted({(f"p{rng.randrange(25)}", " ".join(rng.sample(words, rng.randint(2, 4)))) for _ in range(60)})
+    rows += [(f"p{i}", f"{n.upper()}") for i, (_, n) in enumerate(rows[:20])]      # other names of the same text
+    g, c = spark.createDataFrame([(x,) for x in groups], "group string"), spark.createDataFrame(rows, "product_id string, name string")
+    names = M.name_table(g.select(F.col("group").alias("name")).unionByName(c.select("name")))
+    norm = {r.name: r.norm for r in names.collect()}
+    near = M.nearest_norms(*[spark.createDataFrame([(norm[x],) for x in xs], "norm string") for xs in (groups, [n for _, n in rows])],
+                           M.gram_weights(spark.createDataFrame([(norm[x],) for x in groups + [n for _, n in sorted(set(rows))]], "norm string")
+                                          .groupBy("norm").agg(F.count("*").alias("copies"))), 7).collect()
+    want = []
+    for group in groups:
+        sims = {r.c: r.sim for r in near if r.q == norm[group]}
+        ranked = sorted((-sims[norm[n]], norm[n], p, n) for p, n in set(rows) if norm[n] in sims)[:7]
+        seen: dict = {}
+        for s, _, p, n in ranked:
+            seen.setdefault(p, (n, -s))
+        want += [(group, p, n, round(s, 6), i + 1) for i, (p, (n, s)) in enumerate(list(seen.items())[:4])]
+    got = M.blocked_candidates(g, c, names, top_names=7, top_ids=4)
+    assert sorted((r.group, r.product_id, r.candidate_name, round(r.cosine, 6), r.place) for r in got.collect()) == sorted(want)
+
+
+def test_grams_are_never_broadcast(spark):
+    """The texts are small, their grams are not; neither side of the join with the frequencies may go to the driver."""
+    docs = spark.createDataFrame([(f"nut {i} ring",) for i in range(30)], "norm string").groupBy("norm").agg(F.count("*").alias("copies"))
+    w = M.gram_weights(docs)
+    w.collect()
+    assert "Broadcast" not in plan(w)
+    sizes = w.groupBy("norm").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()
+    assert len(sizes) == 30 and all(abs(r.s - 1) < 1e-9 for r in sizes)
