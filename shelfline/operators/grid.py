@@ -16,9 +16,8 @@ def pack_segments(rows: DataFrame, keys: Sequence[str] = ("store", "series_id"),
     Rows without a pack inherit the previous one, or the next one at the start of the series.
     """
     w = Window.partitionBy(*keys).orderBy("date")
-    held = F.coalesce(
-        F.last(pack, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first(pack, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(""))
+    first = F.first(pack, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    held = F.coalesce(F.last(pack, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), first, F.lit(""))
     switched = F.col("_held") != F.lag("_held").over(w)
     return (rows.withColumn("_held", held)
             .withColumn("_new", F.coalesce(switched, F.lit(False)).cast("int"))
@@ -52,9 +51,10 @@ def next_observation(probe: DataFrame, cells: DataFrame, keys: Sequence[str], af
     """
     days = probe.select(*keys, F.col(after).alias("date")).distinct().withColumn("_probe", F.lit(True))
     seen = cells.groupBy(*keys, "date").agg(F.min(price).alias("_p"))
-    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends with the key is run through anew for every row, so the key is walked from its end
+    w = Window.partitionBy(*keys).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
     both = seen.join(days, [*keys, "date"], "full_outer")
-    found = (both.withColumn("_next", F.first(F.when(F.col("_p").isNotNull(), F.struct("date", "_p")), ignorenulls=True).over(w))
+    found = (both.withColumn("_next", F.last(F.when(F.col("_p").isNotNull(), F.struct("date", "_p")), ignorenulls=True).over(w))
              .where("_probe").select(*keys, F.col("date").alias(after), F.col("_next.date").alias("next_date"),
                                      F.col("_next._p").alias("next_price")))
     return probe.join(found, [*keys, after], "left")
@@ -76,9 +76,9 @@ def build_segments(regular: DataFrame, shelf: DataFrame, keys: Sequence[str] = (
                     F.first("unit_basis", ignorenulls=True).over(within).alias("unit_basis"))))
     # one as-of pass carries everything; the regular price counts only when the hit is of the same day
     joined = asof_backward(shelf, numbered, keys, ["_static", "unit_factor", "_day", "price", "sale_unresolved"])
-    forward = Window.partitionBy(*keys).orderBy("date").rowsBetween(0, Window.unboundedFollowing)
+    backward = Window.partitionBy(*keys).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     same_day = F.col("_day") == F.col("date")
-    return (joined.withColumn("_static", F.first("_static", ignorenulls=True).over(forward))
+    return (joined.withColumn("_static", F.last("_static", ignorenulls=True).over(backward))
             .select(*shelf.columns, F.coalesce("_static.pack_segment", F.lit(1)).alias("pack_segment"), "unit_factor",
                     F.when(same_day, F.col("price")).alias("regular_price"),
                     F.when(same_day, F.col("sale_unresolved")).alias("sale_unresolved"),
