@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..common import ratio
 from ..functions import text as T
+from ..session import settle
 from .. import fixed_values as V
 
 
@@ -128,15 +129,21 @@ def _sale_starts(obs: DataFrame, keys: Sequence[str], confirm: int, carry: int,
             .drop("_open"))
 
 
+TASK_ROWS = 100_000         # observations of one task, if no series has more; a series has one a day at most
+
+
 def causal_grid(obs: DataFrame, keys: Sequence[str] = ("store", "segment_id"), confirm: int = V.SALE_CONFIRM_DAYS,
-                carry: int = V.CARRY_DAYS, tol: float = V.SAME_PRICE_TOL, data_end: Column | None = None) -> DataFrame:
+                carry: int = V.CARRY_DAYS, tol: float = V.SAME_PRICE_TOL, data_end: Column | None = None,
+                task_rows: int = TASK_ROWS) -> DataFrame:
     """Every calendar day of a segment with the regular price a live system would have used.
 
     ``obs``: one row per (keys, date) with shelf_price, plus any static columns. Adds observed, R, on_sale,
     sale_depth, days_in_sale and, where present, the carried unit factor and regular price. The grid ends
     ``carry + 1`` days after the last observation, but not after the last day of the data.
     """
-    obs = obs.where("shelf_price is not null")
+    # a task gets a bounded number of observations: Spark joins partitions by their compressed bytes, a fraction of what a grid takes
+    obs = settle(obs.where("shelf_price is not null"), "observed")
+    obs = obs.repartition(max(1, -(-obs.count() // task_rows)), *keys)
     if data_end is None:
         data_end = obs.agg(F.max("date")).scalar()
     marked = _sale_starts(obs, keys, confirm, carry, tol)

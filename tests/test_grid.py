@@ -46,3 +46,16 @@ def test_pack_segments_equal_a_loop(spark, cells):
                 n += held is not None and now != held
                 held, want[key, d] = now, n
     assert {(r.series_id, r.d): r.pack_segment for r in out.collect()} == want
+
+
+def test_grid_is_dealt_by_observations(spark):
+    """A task's rows follow the number of observations, not Spark's guess by compressed bytes; the grid stays the same."""
+    rng = random.Random(6)
+    rows = sorted({(f"s{i}", rng.randrange(0, 90)): rng.choice([1.0, 2.0, 1.5]) for i in range(40) for _ in range(25)}.items())
+    obs = spark.createDataFrame([(*k, p) for k, p in rows], "segment_id string, d int, shelf_price double").select(
+        F.lit("x").alias("store"), "segment_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("date"), "shelf_price")
+    dealt, whole = G.causal_grid(obs, task_rows=100), G.causal_grid(obs)
+    assert "hashpartitioning(store#" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 4
+    assert whole.select(F.spark_partition_id()).distinct().count() == 1
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))
