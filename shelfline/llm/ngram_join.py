@@ -1,12 +1,15 @@
 """N-gram Jaccard join over prefix trees of globally ordered n-gram sets."""
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfline.operators.graph import components
-from shelfline.session import settle
+from shelfline.session import scratch_path, settle, settled_at
 
 from .textkit import LOWER_AZ, SPACE, chunks, mix, raw, release, releasing, signed, words
 
@@ -17,7 +20,10 @@ PIVOTS = 16                 # sets that every part of a split block also holds
 KEYS_PER_TASK = 700_000     # candidate keys that a task holds and compares, about
 SHARE = 4                   # how the shares of keys grow from one round to the next
 MOST_SHARES = 3             # the first round has a SHARE ** MOST_SHARES-th of the keys at least
-DEAL_ROWS = 2_000           # documents of a chunk whose keys are thinned together
+DEAL_ROWS = 2_000           # documents of a chunk whose keys are thinned together, less than 2 ** ROW_BITS
+ROW_BITS = 11               # bits of a document's number that hold its row in the chunk
+CHUNK_KEYS = 1_000_000      # keys of a chunk, about
+KEY_BYTES = 6               # bytes of a key that are sent
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
 SIGN_ROWS = 3_000           # documents of a batch in which n-grams are counted
 COMMON_DOCS = 3             # different sets of a batch that make an n-gram common there
@@ -282,70 +288,148 @@ def _shares(tasks: float) -> list[float]:
     return [1 / SHARE ** k for k in range(first, -1, -1)]
 
 
+def _packed(key: np.ndarray) -> bytes:
+    """The lower KEY_BYTES of every key. Keys that agree in them only make candidates, never links."""
+    return np.ascontiguousarray(key).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+def _nodes(chunk: int, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Numbers of the documents of a chunk: their own, or those they go by (``to``)."""
+    out = (np.int64(chunk) << ROW_BITS) + np.arange(1 << ROW_BITS)
+    out[at] = to
+    return out
+
+
+def _cuts(sizes: list[int]) -> list[int]:
+    """Ends of stretches of at most DEAL_ROWS documents and about CHUNK_KEYS keys."""
+    ends, rows, keys = [], 0, 0
+    for i, n in enumerate(sizes):
+        if rows and (rows == DEAL_ROWS or keys + n > CHUNK_KEYS):
+            ends.append(i)
+            rows = keys = 0
+        rows, keys = rows + 1, keys + n
+    return [*ends, len(sizes)] if sizes else []
+
+
+def _seats(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there."""
+    ids, found = 32 * n, {}
+    while len(found) < n:
+        place = spark.range(ids).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+        found, ids = {r["p"]: r["id"] for r in place.collect()}, 2 * ids
+    return [found[i] for i in range(n)]
+
+
+def _by_chunk(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` settled in buckets of their chunk, so that a join on the chunk leaves them where they are."""
+    path, name = scratch_path(rows.sparkSession, "keys"), f"shelfline_keys_{uuid.uuid4().hex[:12]}"
+    settled_at(path)
+    rows.write.bucketBy(buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
+    found = rows.sparkSession.table(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")         # the name only: files at a given path stay
+    return found
+
+
 def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray | None, grams: int) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a key of ``Segments``; settled.
 
     ``grams`` is the number of n-grams of all sets. From it follows how many tasks the keys are dealt to. A
     pair with many keys in common would be found by each task that gets one of them, so the keys are dealt in
     rounds of growing shares, each key in one round, by a hash. After a round, documents go by the smallest
-    id of their component so far, so what is connected already makes no rows. Keys are made in one pass over
-    the texts and set aside, one column for each round.
+    number of their component so far, so what is connected already makes no rows.
+
+    Keys are made in one pass over the texts and set aside by chunks of documents, one column for each round.
+    A document is numbered by its chunk and its row there. Chunks lie in buckets: before a round the numbers
+    that documents go by are sent to their chunk, and keys are not moved for it.
 
-    Keys of a chunk of documents are thinned before the shuffle: of the documents with a key in common one
-    goes on, and the others are chained to it. So a frequent key is one row per chunk, and a key shared by
-    k documents makes k - 1 edges, never all pairs.
+    Keys of a chunk are thinned before the shuffle: of the documents with a key in common one
+    goes on, and the others are chained to it. So a frequent key is sent once per chunk, and a key shared by
+    k documents makes k - 1 edges, never all pairs. What a chunk sends to a task is one row of packed keys.
     """
+    spark = documents.sparkSession
     tasks = grams * 3 * (100 - percent) / (100 * KEYS_PER_TASK)
     shares = _shares(tasks)
     ends = np.array([min(int(x * 2 ** 32), 2 ** 32) for x in shares], np.uint64)
-    names = [f"k{i}" for i in range(len(shares))]
+    names = [f"{c}{i}" for i in range(len(shares)) for c in "kr"]
 
     def emit(batches):
-        maker = Segments(percent, common)
+        maker, chunk = Segments(percent, common), TaskContext.get().partitionId() << 20
         for b in batches:
             for at in range(0, len(b), DEAL_ROWS):
                 part = b.iloc[at:at + DEAL_ROWS]
-                rows = []
-                for s in ngram_sets(part["text"], n):
-                    key = maker.keys(s)
+                ids, found, lo = part["doc_id"].to_numpy(np.int64), [maker.keys(s) for s in ngram_sets(part["text"], n)], 0
+                for hi in _cuts([len(k) for k in found]):
+                    key = np.concatenate(found[lo:hi])
+                    row = np.repeat(np.arange(hi - lo, dtype=np.uint16), [len(k) for k in found[lo:hi]])
                     turn = np.searchsorted(ends, mix(key) >> np.uint64(32), "right")
-                    rows.append([key[turn == i].tobytes() for i in range(len(names))])
-                yield pd.DataFrame(rows, columns=names).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", *names]]
-
-    def deal(batches):
-        for b in batches:
-            for at in range(0, len(b), DEAL_ROWS):
-                part = b.iloc[at:at + DEAL_ROWS]
-                keys = [np.frombuffer(k, np.int64) for k in part["keys"]]
-                doc = np.repeat(part["doc_id"].to_numpy(), [len(k) for k in keys])
-                key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                first, order, edge = _chain(key, doc)
-                alone = doc[order][first]
-                yield pd.DataFrame({"key": key[order][first], "a": alone, "b": alone})
-                if len(edge):
-                    yield pd.DataFrame({"key": signed(mix(edge[:, 0].astype(np.uint64))), "a": edge[:, 0], "b": edge[:, 1]})
+                    out = {"chunk": chunk, "ids": ids[lo:hi].tobytes()}
+                    for i in range(len(shares)):
+                        out |= {f"k{i}": _packed(key[turn == i]), f"r{i}": row[turn == i].tobytes()}
+                    yield pd.DataFrame([out])
+                    chunk, lo = chunk + 1, hi
+
+    def deal(seats):
+        def run(batches):
+            for b in batches:
+                for r in b.itertuples():
+                    at, to = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (r.at, r.to))
+                    own, row = _nodes(r.chunk, at, to), np.frombuffer(r.rows, np.uint16)
+                    key = _unpacked(r.keys)
+                    first, order, edge = _chain(key, own[row])
+                    key, row = key[order][first], row[order][first]       # in the order of the tasks, as keys are sorted
+                    task = ((key >> 16) * len(seats)) >> 32
+                    moved = own != _nodes(r.chunk, at[:0], to[:0])
+                    start = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1]))) if len(task) else task
+                    out = []
+                    for lo, hi in zip(start, [*start[1:], len(task)]):
+                        known = np.unique(row[lo:hi])
+                        known = known[moved[known]]
+                        out.append((seats[task[lo]], r.chunk, _packed(key[lo:hi]), row[lo:hi].tobytes(), known.tobytes(), own[known].tobytes(), b""))
+                    if len(edge):
+                        out.append((seats[r.chunk % len(seats)], r.chunk, b"", b"", b"", b"", edge.tobytes()))
+                    yield pd.DataFrame(out, columns=["task", "chunk", "keys", "rows", "at", "to", "pairs"])
+        return run
 
     def join(batches):
-        parts = [b.to_numpy(np.int64) for b in batches]
-        if parts:
-            key, a, b = np.concatenate(parts).T
-            parts.clear()
-            pair = a != b
-            _, _, edge = _chain(key[~pair], a[~pair])
-            edge = np.unique(np.concatenate([edge, np.stack([a[pair], b[pair]], 1)]), axis=0)
-            yield pd.DataFrame({"a": edge[:, 0], "b": edge[:, 1]})
-    schema = ", ".join(["doc_id long", *[f"{k} binary" for k in names]])
-    keys = settle(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(releasing(emit), schema), "keys")
+        keys, docs, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for b in batches:
+            for r in b.itertuples():
+                keys.append(_unpacked(r.keys))
+                docs.append(_nodes(r.chunk, np.frombuffer(r.at, np.uint16), np.frombuffer(r.to, np.int64))[np.frombuffer(r.rows, np.uint16)])
+                pairs.append(np.frombuffer(r.pairs, np.int64).reshape(-1, 2))
+        _, _, edge = _chain(np.concatenate(keys), np.concatenate(docs))
+        edge = np.unique(np.concatenate([edge, *pairs]), axis=0)
+        yield pd.DataFrame({"a": edge[:, 0], "b": edge[:, 1]})
+
+    def names_of(batches):
+        for b in batches:
+            for r in b.itertuples():
+                ids = np.frombuffer(r.ids, np.int64)
+                yield pd.DataFrame({"node": _nodes(r.chunk, ids[:0], ids[:0])[:len(ids)], "doc_id": ids})
+    schema = ", ".join(["chunk long, ids binary", *[f"{c} binary" for c in names]])
+    keys = _by_chunk(documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(releasing(emit), schema), max(1, round(tasks)))
     found, before = None, 0.0
-    for name, share in zip(names, shares):
-        rows = keys.select("doc_id", F.col(name).alias("keys")).where(F.octet_length("keys") > 0)
-        if found is not None:
-            so_far = settle(components(found), "so_far")       # so that Spark knows its size when it picks the join
-            rows = rows.join(so_far, rows["doc_id"] == so_far["node"], "left").select(F.coalesce("component", "doc_id").alias("doc_id"), "keys")
-        dealt = rows.mapInPandas(releasing(deal), "key long, a long, b long").repartition(max(1, round(tasks * (share - before))), "key")
+    for i, share in enumerate(shares):
+        rows = keys.select("chunk", F.col(f"k{i}").alias("keys"), F.col(f"r{i}").alias("rows"))
+        if found is None:
+            rows = rows.withColumns({"at": F.lit(None).cast("array<long>"), "to": F.lit(None).cast("array<long>")})
+        else:
+            row = F.struct(F.col("node").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row"), "component")
+            go_by = components(found).where("node <> component").groupBy(F.shiftright("node", ROW_BITS).alias("chunk")).agg(F.collect_list(row).alias("_go"))
+            rows = rows.join(settle(go_by, "go_by"), "chunk", "left").select("chunk", "keys", "rows", F.col("_go.row").alias("at"), F.col("_go.component").alias("to"))
+        seats = _seats(spark, max(1, round(tasks * (share - before))))
+        dealt = rows.mapInPandas(releasing(deal(seats)), "task long, chunk long, keys binary, rows binary, at binary, to binary, pairs binary").repartition(len(seats), "task")
         edges = settle(dealt.mapInPandas(releasing(join), "a long, b long").distinct(), "candidates")
         found, before = edges if found is None else found.unionByName(edges), share
-    return found
+    named = components(found).join(keys.select("chunk", "ids").mapInPandas(names_of, "node long, doc_id long"), "node").select("component", F.col("doc_id").alias("a"))
+    named = settle(named, "named")
+    return settle(named.join(named.groupBy("component").agg(F.min("a").alias("b")), "component").select("a", "b"), "candidates")
 
 
 def _compare(members: DataFrame, n: int, percent: int) -> DataFrame:

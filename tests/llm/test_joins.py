@@ -97,6 +97,29 @@ def test_prefix_tree_finds_what_pairs_find():
         assert [find(root, i) for i in range(40)] == [find(want, i) for i in range(40)]
 
 
+def test_a_join_on_the_chunk_leaves_the_keys_where_they_are(spark):
+    rows = spark.range(400).select(F.col("id").alias("chunk"), F.expr("cast(uuid() as binary)").alias("keys"))
+    keys = ngram_join._by_chunk(rows, 7)
+    go_by = ngram_join.settle(spark.range(0, 400, 3).select(F.col("id").alias("chunk"), F.col("id").alias("to")), "go_by")
+    both = keys.join(go_by.hint("merge"), "chunk", "left")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and both.count() == 400 and both.where("to is not null").count() == 134
+
+
+def test_keys_are_packed_and_seated():
+    key = np.sort(np.random.default_rng(1).integers(-2 ** 63, 2 ** 63, 1000))
+    data = ngram_join._packed(key)
+    assert len(data) == 6 * len(key) and (ngram_join._unpacked(data) == key & (2 ** 48 - 1)).all()
+    assert ngram_join._cuts([]) == [] and ngram_join._cuts([1] * 5_000) == [2_000, 4_000, 5_000]
+    assert ngram_join._cuts([600_000, 600_000, 5, 2_000_000, 1]) == [1, 3, 4, 5]
+
+
+def test_every_seat_is_a_partition_of_its_own(spark):
+    seats = ngram_join._seats(spark, 13)
+    got = spark.createDataFrame([(x,) for x in seats], "task long").repartition(13, "task").select(F.spark_partition_id().alias("p"), "task").collect()
+    assert [r.task for r in sorted(got, key=lambda r: r.p)] == seats
+
+
 def test_odd_documents(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, long), (7, long + " end"), (6, long), (None, long), (8, "one"), (9, "two one")]
