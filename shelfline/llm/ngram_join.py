@@ -25,8 +25,8 @@ ROW_BITS = 11               # bits of a document's number that hold its row in t
 CHUNK_KEYS = 1_000_000      # keys of a chunk, about
 KEY_BYTES = 6               # bytes of a key that are sent
 BIN_ROWS = 2_000            # sets per task group, many small blocks together
-SIGN_ROWS = 3_000           # documents of a batch in which n-grams are counted
-COMMON_DOCS = 3             # different sets of a batch that make an n-gram common there
+SIGN_ROWS = 3_000           # documents of a stretch in which n-grams are counted
+COMMON_DOCS = 3             # different sets of a stretch that make an n-gram common there
 COMMON_GRAMS = 400_000      # common n-grams that tasks know, at most
 
 
@@ -235,22 +235,33 @@ def spanning_links(sets: list[np.ndarray], start: list[int], percent: int, neede
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
     """Per row doc_id, n_shingles and the 128-bit digest of the n-gram set (``docs`` is 0), and per task the
-    n-grams that at least COMMON_DOCS different sets of one batch hold (doc_id null, h1 the n-gram, ``docs``
-    how many): one pass over all texts for both."""
+    n-grams that at least COMMON_DOCS different sets of SIGN_ROWS documents in a row hold (doc_id null, h1 the n-gram, ``docs``
+    how many): one pass over all texts for both. Only sets are kept from batch to batch, so batches may be small."""
+    def often(different):
+        grams = np.sort(np.concatenate(list(different.values()))) if different else np.zeros(0, np.uint64)
+        at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+        held = np.diff(np.append(at, len(grams)))
+        some = held >= COMMON_DOCS
+        if some.any():
+            yield pd.DataFrame({"doc_id": pd.array([None] * int(some.sum()), "Int64"), "n_shingles": np.int64(0),
+                                "h1": signed(grams[at[some]]), "h2": np.int64(0), "docs": held[some].astype(np.int64)})
+
     def sign(batches):
-        for b in (whole.iloc[at:at + SIGN_ROWS] for whole in batches for at in range(0, len(whole), SIGN_ROWS)):
-            sets = ngram_sets(b["text"], n)
-            d = [digest(s) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": np.array([len(s) for s in sets], np.int64),
-                                "h1": np.array([x[0] for x in d], np.int64), "h2": np.array([x[1] for x in d], np.int64), "docs": np.int64(0)})
-            different = list(dict(zip(d, sets)).values())
-            grams = np.sort(np.concatenate(different)) if different else np.zeros(0, np.uint64)
-            at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
-            held = np.diff(np.append(at, len(grams)))
-            often = held >= COMMON_DOCS
-            if often.any():
-                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": np.int64(0),
-                                    "h1": signed(grams[at[often]]), "h2": np.int64(0), "docs": held[often].astype(np.int64)})
+        different, rows = {}, 0
+        for whole in batches:
+            at = 0
+            while at < len(whole):
+                b = whole.iloc[at:at + SIGN_ROWS - rows]
+                sets = ngram_sets(b["text"], n)
+                d = [digest(s) for s in sets]
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": np.array([len(s) for s in sets], np.int64),
+                                    "h1": np.array([x[0] for x in d], np.int64), "h2": np.array([x[1] for x in d], np.int64), "docs": np.int64(0)})
+                different.update(zip(d, sets))
+                at, rows = at + len(b), rows + len(b)
+                if rows == SIGN_ROWS:
+                    yield from often(different)
+                    different, rows = {}, 0
+        yield from often(different)
     return documents.select("doc_id", "text").mapInPandas(releasing(sign), "doc_id long, n_shingles long, h1 long, h2 long, docs long")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shelfline.session import settle
 
-from .textkit import releasing
+from .textkit import releasing, remembered
 
 CAPACITY = 4096
 END_ID = 1
@@ -21,19 +21,17 @@ GROUP_ROWS = 50_000         # pieces of one length that are numbered in one grou
 # Texts of these characters may be lower-cased and cut at blanks before tokenizing: none of them combines
 # with a neighbour, changes length or case by its neighbours, or is a blank that only some libraries know.
 _SIMPLE = "[\\t\\n\\r -~¡-į]*"
-_workers: dict = {}
 
 
 def _encoder(tokenizer_json: str):
     """The tokenizer and the word cache of this Python worker."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _workers:
+    def make():
         import os
         import re
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _workers[key] = (Tokenizer.from_str(tokenizer_json), {}, re.compile(_SIMPLE).fullmatch)
-    return _workers[key]
+        return Tokenizer.from_str(tokenizer_json), {}, re.compile(_SIMPLE).fullmatch
+    return remembered(("packing", zlib.crc32(tokenizer_json.encode())), make)
 
 
 def _printable() -> dict[int, str]:
@@ -131,7 +129,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = C
                 columns += [pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(fields)]
                 columns += [pa.array(ids, pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[n for n, _ in fields], *(["ids"] if with_ids else [])])
-    return documents.select("doc_id", "text").mapInArrow(releasing(cut), schema)
+    return documents.select("doc_id", "text").mapInArrow(releasing(cut, remembers=True), schema)
 
 
 def fullest(available: list[tuple[int, int]], seed: int, capacity: int) -> Counter:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 CHUNK_BYTES = 1_500_000
+_remembered: dict = {}      # what this Python worker keeps from task to task, as tokenizers and the words they have cut
 _BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,9 +85,23 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def releasing(make):
-    """A function from batches to batches that releases memory when its task ends."""
+def remembered(key, make):
+    """What ``make`` gave in this Python worker. It is kept until a task runs that does not use it (``releasing``)."""
+    if key not in _remembered:
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    _remembered.clear()
+
+
+def releasing(make, remembers: bool = False):
+    """A function from batches to batches that releases memory when its task ends. Unless it ``remembers``, it also
+    gives back at its start what tasks of other stages left in the worker, so stages do not add up."""
     def run(batches):
+        if not remembers:
+            forget()
         yield from make(batches)
         release()
     return run

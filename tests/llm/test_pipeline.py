@@ -1,10 +1,12 @@
 """The pipeline's stages, each on its own input, and odd rows through all of them."""
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_joins import brute
 
 import corpus_pipeline
+from shelfline.llm import ngram_join, packing, textkit
 
 SF = "/root/testdata/sf0.01"
 
@@ -87,3 +89,36 @@ def test_sequences_follow_the_mix(spark):
     share = out[out.mix_turn < turns - 2].assign(hot=[sources.get(i) == "hot" for i in out[out.mix_turn < turns - 2].doc_id])
     share = share[share.hot].groupby("mix_turn").length.sum() / share.groupby("mix_turn").length.sum()
     assert len(share) == turns - 2 and share.max() - share.min() < 0.35
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Python workers get no more than about BATCH_BYTES at a time, however long the documents are."""
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 50000)").alias("text"))
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64()), "bytes": pa.array([b.nbytes], pa.int64())})
+    stage = corpus_pipeline._in_batches(lambda s, d, _: d.mapInArrow(seen, "rows long, bytes long"))
+    got = stage(spark, docs, SF).collect()
+    assert sum(r["rows"] for r in got) == 400 and max(r["bytes"] for r in got) <= 2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_stages_give_back_what_others_remember():
+    """A tokenizer is kept from task to task of its stage, and not while the worker runs tasks of other stages."""
+    with open(corpus_pipeline.tokenizer_path(), encoding="utf-8") as f:
+        told = f.read()
+    first = packing._encoder(told)
+    assert list(textkit.releasing(lambda b: b, remembers=True)([1])) == [1] and packing._encoder(told) is first
+    assert list(textkit.releasing(lambda b: b)([1])) == [1] and not textkit._remembered
+    assert packing._encoder(told) is not first
+
+
+def test_common_ngrams_do_not_depend_on_batches(spark):
+    docs = spark.createDataFrame([(i, f"one passage of many documents w{i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    key, counted = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    held = spark.conf.get(key)
+    for rows in (2, 7, 10_000):
+        spark.conf.set(key, rows)
+        counted.append(sorted(tuple(r) for r in ngram_join.signatures(docs, 5).select("h1", "h2", "n_shingles", "docs").collect()))
+    spark.conf.set(key, held)
+    assert counted[0] == counted[1] == counted[2] and any(r[3] == 50 for r in counted[0])
