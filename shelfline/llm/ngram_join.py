@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfline.operators.graph import components
-from shelfline.session import scratch_path, settle, settled_at
+from shelfline.session import discard, scratch_path, settle, settled_at
 
 from .textkit import LOWER_AZ, SPACE, chunks, mix, raw, release, releasing, signed, words
 
@@ -440,6 +440,7 @@ def candidates(documents: DataFrame, n: int, percent: int, common: np.ndarray |
         found, before = edges if found is None else found.unionByName(edges), share
     named = components(found).join(keys.select("chunk", "ids").mapInPandas(names_of, "node long, doc_id long"), "node").select("component", F.col("doc_id").alias("a"))
     named = settle(named, "named")
+    discard(keys)       # about as large as the input
     return settle(named.join(named.groupBy("component").agg(F.min("a").alias("b")), "component").select("a", "b"), "candidates")
 
 
@@ -465,9 +466,9 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
 
     1. Documents with equal sets are linked through their digest and the smallest id stands for them.
     2. Representatives that share a key (``candidates``) form blocks; no link leaves a block.
-    3. A block's texts go through prefix trees. A large block is split into parts of BLOCK_ROWS that share
-       PIVOTS sets; what a part leaves apart from the block's largest component is then compared with the
-       whole block, part by part.
+    3. A block's texts go through prefix trees. A large block is split by the sizes of the sets into parts of
+       BLOCK_ROWS that share PIVOTS sets; what a part leaves apart from the block's largest component is then
+       compared with all parts of the block whose sizes are near enough for a link.
     4. Components of all links found.
 
     Null or empty texts have no shingles and link with nothing. A null doc_id links with nothing and has a
@@ -476,18 +477,17 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
     """
     passed = settle(signatures(documents, n), "signatures")
     signs = passed.where("docs = 0").drop("docs")
-    sets = signs.where("doc_id is not null and n_shingles > 0").select("doc_id", "h1", "h2").distinct()
+    sets = signs.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").distinct()
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    copies = settle(sets.join(reps, ["h1", "h2"]).select("doc_id", "rep"), "copies")
+    copies = settle(sets.join(reps, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"), "copies")
     grams = signs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     edges = candidates(documents, n, percent, common_grams(passed, COMMON_GRAMS), grams)
     blocks = components(edges)
     members = (copies.where("doc_id = rep").join(blocks, copies["doc_id"] == blocks["node"])
-               .select("doc_id", F.col("component").alias("block")))
+               .select("doc_id", "n_shingles", F.col("component").alias("block")))
     sizes = members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
     members = settle(members.join(sizes, "block"), "members")
     parts = F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")
-    where = F.when(F.col("size") <= BLOCK_ROWS, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), parts)).cast("int")
     # only members' texts are read again and again, so they are set aside once
     texts = settle(documents.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
@@ -498,16 +498,23 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
         return rows.withColumn("bin", bin_).join(texts, "doc_id").drop("size")
 
     split = members.where(F.col("size") > BLOCK_ROWS)
+    # in the order of their sizes, from one row per block and size; sets of one size are dealt by hash
+    counts = split.groupBy("block", "n_shingles").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("block").orderBy("n_shingles")) - F.col("_n"))
+    place = F.col("_before") + F.pmod(F.xxhash64("doc_id"), "_n")
+    split = settle(split.join(counts, ["block", "n_shingles"]).withColumn("part", F.floor(place / BLOCK_ROWS).cast("int")).drop("_n", "_before"), "split")
     drawn = split.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(1)), "size")).where(F.col("_h") < 4 * PIVOTS)
     pivots = (drawn.withColumn("_r", F.row_number().over(Window.partitionBy("block").orderBy("_h", "doc_id")))
               .where(F.col("_r") <= PIVOTS).drop("_h", "_r"))
     everywhere = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("doc_id", "block", "size", "part")
-    first = settle(members.withColumn("part", where).select("doc_id", "block", "size", "part").unionByName(everywhere).distinct()
+    first = members.where(F.col("size") <= BLOCK_ROWS).withColumn("part", F.lit(0)).unionByName(split).select("doc_id", "block", "size", "part")
+    first = settle(first.unionByName(everywhere).distinct()
                    .withColumn("comp", F.col("doc_id")).withColumn("needed", F.lit(True)), "parts")
     links = settle(_compare(with_texts(first), n, percent), "links")
     if not split.isEmpty():
         links = settle(links.unionByName(_across(split, links, with_texts, n, percent)), "links")
     comp = components(links)
+    discard(texts, first, members, split)
     comp = (copies.join(comp, copies["rep"] == comp["node"], "left")
             .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component")))
     return (signs.join(comp, "doc_id", "left")
@@ -517,24 +524,26 @@ def link_documents(documents: DataFrame, n: int = WORDS, percent: int = PERCENT)
 def _across(split: DataFrame, links: DataFrame, with_texts, n: int, percent: int) -> DataFrame:
     """Links between components of a split block that no part could see.
 
-    Everything outside a block's largest component is needed: it is cut into portions, and each portion
-    meets each part of the block. Pairs inside the largest component are connected and not compared.
+    Parts hold stretches of sizes, and sets that link differ little in size, so a part meets only the parts whose
+    sizes are near enough. Everything outside a block's largest component is needed; pairs inside it are connected
+    and not compared, and a part's own pairs were compared before. Of two parts the second one's needed sets are
+    probes only if the first holds some of the largest component, which are none.
     """
     comp = components(links).select(F.col("node").alias("doc_id"), "component")
     state = settle(split.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "state")
     by_comp = state.groupBy("block", "comp").agg(F.count("*").alias("n"))
     main = by_comp.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     state = settle(state.join(main, "block").withColumn("needed", F.col("comp") != F.col("main")), "state")
-    outside = state.where("needed").groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("portions"))
-    state = state.join(outside, "block").withColumn("parts", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
-    portion = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("portions")).cast("int")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    probes = (state.where("needed").withColumn("x", portion).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    block = state.withColumn("y", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
-    rows = (probes.select("doc_id", "block", "size", "comp", "needed", "x", "y", "parts").unionByName(
-                block.select("doc_id", "block", "size", "comp", F.lit(False).alias("needed"), "x", "y", "parts"))
-            .groupBy("doc_id", "block", "size", "comp", "x", "y", "parts").agg(F.max("needed").alias("needed"))
-            .withColumn("part", F.col("x") * F.col("parts") + F.col("y")).drop("x", "y", "parts"))
+    ranges = settle(state.groupBy("block", "part").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"),
+                                                       F.count_if("needed").alias("probes"), F.count_if(~F.col("needed")).alias("rest")), "ranges")
+    x, y = (ranges.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "lo", "hi", "probes", "rest")]) for s in "xy")
+    near = (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent)
+    pairs = x.join(y, "block").where("part_x < part_y and probes_x + probes_y > 0").where(near)
+    pairs = settle(pairs.select("block", "part_x", "part_y", (F.col("rest_x") > 0).alias("both")), "part_pairs")
+    to = F.col("part_x") * F.ceil(F.col("size") / BLOCK_ROWS).cast("int") + F.col("part_y")
+    side = lambda own, probe: (state.withColumnRenamed("part", own).join(pairs, ["block", own])
+                               .select("doc_id", "block", "size", "comp", probe.alias("needed"), to.alias("part")))
+    rows = side("part_x", F.col("needed")).unionByName(side("part_y", F.col("needed") & F.col("both")))
     return _compare(with_texts(settle(rows, "portions")), n, percent)
 
 
@@ -544,9 +553,16 @@ def deduplicate(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     Of rows that repeat the standing doc_id the one with the smallest hash stays. Rows with a null doc_id,
     and documents without shingles, stay: they link with nothing. Empty documents are no copies.
     """
-    standing = link_documents(documents, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    same = F.col("doc_id") == F.col("component_id")
+    ids = link_documents(documents, n, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.first(same).alias("stands"))
+    # only ids are grouped: texts are moved where an id is repeated, and not where it is the only one of its row
+    apart = settle(ids.where("rows > 1 or not stands"), "apart")
     columns = [F.col(f"`{f.name}`") for f in documents.schema.fields]
+    single = documents.join(apart.select("doc_id"), "doc_id", "left_anti").select(*columns)
+    repeated = apart.where("stands").select("doc_id")
+    if repeated.isEmpty():
+        return single
     hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
-    kept = (documents.join(standing, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("_row"), F.xxhash64(*hashed).alias("_hash"))
+    kept = (documents.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("_row"), F.xxhash64(*hashed).alias("_hash"))
             .groupBy("doc_id").agg(F.min_by("_row", "_hash").alias("_row")))
-    return kept.select("_row.*").unionByName(documents.where("doc_id is null"))
+    return single.unionByName(kept.select("_row.*"))
