@@ -57,3 +57,13 @@ def test_days_are_reduced_before_they_are_collected(spark):
     assert [tuple(r) for r in got.collect()] == [("a", "b")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [name") >= 2 and "_day" in plan and "collect_list" in plan
+
+
+def test_the_unified_map_counts_every_later_name_and_id_once(spark, monkeypatch):
+    settle, seen = Q.settle, {}
+    monkeypatch.setattr(Q, "settle", lambda df, label: seen.update({label: r}) or r if (r := settle(df, label)) is not None else r)
+    from shelfline.plans import all_queries
+    out = all_queries()["l7_l8_unified_map"](spark, SF)
+    known = seen["known"]
+    assert known.count() == known.distinct().count() == seen["cleaned"].where("product_id is not null").select("product_id", "name").distinct().count()
+    assert out.count() == seen["cleaned"].where("product_id is null").select("name").distinct().count()
